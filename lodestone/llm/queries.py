@@ -8,16 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing
-from lodestone.llm.common import table
+from lodestone.llm import bpe, packing, quality, winnowing
+from lodestone.llm.common import shared_dir, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statistics = stored(quality.measured(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/statistics")
+    return quality.scored(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, capacity=4096, keep_ids=False).drop("ids")
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.fingerprints_beside_next(table(spark, sf_dir, "documents"))
+    own, edited, following = (winnowing.hashes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    name = lambda c: F.sha2(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).cast("binary"), 256)
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        name("fingerprint").alias("fingerprint"),
+        name("edited_fingerprint").alias("edited_fingerprint"),
+        winnowing.likeness(own, edited).alias("near_edited"),
+        winnowing.likeness(own, following).alias("near_next"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -25,7 +45,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": op2_quality,
         "op6_packing": op6_packing,
+        "op8_winnowing": op8_winnowing,
         "op10_bpe": op10_bpe,
     }
 
