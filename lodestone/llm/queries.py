@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, quality, winnowing
+from lodestone.llm import bpe, ngram_join, packing, quality, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistics = stored(quality.measured(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/statistics")
     return quality.scored(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
@@ -45,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_quality": op2_quality,
         "op6_packing": op6_packing,
         "op8_winnowing": op8_winnowing,
