@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, ngram_join, packing, quality, winnowing
+from lodestone.llm import bpe, ngram_join, packing, quality, suffix_dedup, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +42,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op6_packing": op6_packing,
         "op8_winnowing": op8_winnowing,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
     }
 
