@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, ngram_join, packing, quality, suffix_dedup, winnowing
+from lodestone.llm import bpe, media, ngram_join, packing, quality, suffix_dedup, surrogates, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
+#: A deployment passes a secret of its own.
+KEY = b"lodestone surrogate key"
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -23,6 +25,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(statistics, quality.fit(statistics, table(spark, sf_dir, "labels")))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if (clash := surrogates.clashes(surrogates.entities(documents, KEY)).first()) is not None:
+        raise ValueError(f"two entities share a surrogate: {clash}")
+    return surrogates.replaced(documents, KEY, count_col="n_entities")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = stored(media.stored_media(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/media")
+    shown = media.resolved(media.sequences(kept, "doc_id", "html"), media.read_back(kept)).where("kind = 'media'")
+    return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, capacity=4096, keep_ids=False).drop("ids")
 
@@ -55,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_quality": op2_quality,
+        "op3_surrogates": op3_surrogates,
+        "op4_media": op4_media,
         "op6_packing": op6_packing,
         "op8_winnowing": op8_winnowing,
         "op9_suffix_dedup": op9_suffix_dedup,
