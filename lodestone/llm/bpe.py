@@ -27,8 +27,9 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: The contractions that the vocabulary's pre-tokenizer splits off.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-#: Words kept with their ids in each Python worker; beyond it the memory is emptied.
-REMEMBERED = 1 << 19
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Words, and chunks, kept with their ids in each Python worker; beyond it the memory is emptied.
+REMEMBERED = 3 << 17
 
 
 def byte_symbols() -> list[str]:
@@ -87,7 +88,7 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
 
-class Encoder(dict):
+class Words(dict):
     """Words to their packed ids (little-endian unsigned 32-bit), merged when first met."""
 
     def __init__(self, vocabulary: Vocabulary):
@@ -95,13 +96,44 @@ class Encoder(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
         self[word] = packed = np.array(self.vocabulary.merged(word), "<u4").tobytes()
         return packed
 
-    def words(self, text: str) -> bytes:
+
+class Chunks(dict):
+    """Runs of non-blank characters to the packed ids of their words."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, chunk: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        return b"".join(map(self.__getitem__, WORD.findall(normalized(text))))
+        words = self.words
+        if chunk.isalpha():
+            packed = words[chunk]
+        elif chunk[-1] in ".," and chunk[:-1].isalpha():
+            packed = words[chunk[:-1]] + words[chunk[-1]]
+        else:
+            packed = b"".join([words[w] for w in WORD.findall(chunk)])
+        self[chunk] = packed
+        return packed
+
+
+class Encoder:
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.by_word = Words(vocabulary)
+        self.by_chunk = Chunks(self.by_word)
+
+    def words(self, text: str) -> bytes:
+        text = normalized(text)
+        if SEPARATORS.search(text):  # blank to str.split(), but not to the pre-tokenizer
+            return b"".join([self.by_word[w] for w in WORD.findall(text)])
+        return b"".join(map(self.by_chunk.__getitem__, text.split()))
 
     def encode(self, text: str) -> bytes:
         v = self.vocabulary

@@ -1,5 +1,7 @@
 """Best-fit decreasing packing of tokenized documents into fixed windows.
 
+The ids are those of the public tokenizers library, from ``bpe``'s encoder.
+
 Defined cases: a null text is the empty text, whose only id is the end mark; equal texts and
 repeated rows are packed independently, each row in pieces of its own; other columns are left out;
 an empty table gives an empty table. Documents longer than a window are first cut into full
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import REMEMBERED, WORD, normalized
+from lodestone.llm.bpe import Encoder, Vocabulary
 from lodestone.llm.common import batch
 
 #: Ids in a block: 16 MB as 32-bit numbers, 1024 windows of 4096.
@@ -89,35 +91,6 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return placed
 
 
-class LibraryEncoder(dict):
-    """Packed ids by the public library, which is asked once for each word met for the first time."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        out: list = []
-        for text in texts:
-            if "<" in text and any(s in text for s in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(WORD.findall(normalized(text)))
-        new = list({w for words in out if isinstance(words, list) for w in words if w not in self})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return [x if isinstance(x, bytes) else b"".join(map(self.__getitem__, x)) for x in out]
-
-
 def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (packed, null unless keep_ids), ids_crc32, doc_tokens, sequence_id, offset."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -133,18 +106,17 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: st
         return batch(schema, list(map(list, zip(*rows)))), first + 1 + max(p[3] for p in pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, held = LibraryEncoder(path), [], 0
+        encoder, docs, held = Encoder(Vocabulary(path)), [], 0
         following = TaskContext.get().partitionId() << 36
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                b = whole.slice(at, 64)
-                for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
-                    docs.append((doc_id, ids + end))
-                    held += len(ids) // 4 + 1
-                    if held >= BLOCK:
-                        out, following = packed(docs, following)
-                        docs, held = [], 0
-                        yield out
+        for b in batches:
+            for doc_id, text in zip(b.column(0), b.column(1)):
+                ids = encoder.encode(text.as_py()) + end
+                docs.append((doc_id.as_py(), ids))
+                held += len(ids) // 4
+                if held >= BLOCK:
+                    out, following = packed(docs, following)
+                    docs, held = [], 0
+                    yield out
         if docs:
             yield packed(docs, following)[0]
 
