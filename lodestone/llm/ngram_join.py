@@ -165,27 +165,28 @@ def _grouped(sets: DataFrame) -> DataFrame:
 
 
 def _met(groups: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of groups (a, b) whose unions share a first shingle and whose sizes allow a link."""
-    sent = pa.schema([("bucket", pa.int32()), ("gid", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("tokens", pa.binary())])
+    """Pairs of groups (a: the one of fewer shingles, b) whose unions share a first shingle and whose sizes allow a link."""
+    sent = pa.schema([("bucket", pa.int32()), ("gid", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("weight", pa.int64()), ("tokens", pa.binary())])
     pairs = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for gid, sizes, first in zip(*(b.column(c).to_pylist() for c in ("gid", "sizes", "first"))):
+            for gid, sizes, first, weight in zip(*(c.to_pylist() for c in b.columns)):
                 sizes, first = np.frombuffer(sizes, np.int64), np.frombuffer(first, np.uint64)
                 bounds = np.searchsorted(first, np.arange(257, dtype=np.uint64)[:256] << np.uint64(56)).tolist() + [len(first)]
                 some = [k for k in range(256) if bounds[k + 1] > bounds[k]]
-                yield batch(sent, [some, [gid] * len(some), [int(sizes.min())] * len(some), [int(sizes.max())] * len(some), [first[bounds[k] : bounds[k + 1]].tobytes() for k in some]])
+                yield batch(sent, [some, [gid] * len(some), [int(sizes.min())] * len(some), [int(sizes.max())] * len(some), [weight] * len(some), [first[bounds[k] : bounds[k + 1]].tobytes() for k in some]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gids, least, most, tokens, index = [], [], [], [], {}
+        gids, least, most, weights, tokens, index = [], [], [], [], [], {}
         for b in batches:
-            for _, gid, lo, hi, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for _, gid, lo, hi, weight, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if gid not in index:
                     index[gid] = len(gids)
                     gids.append(gid)
                     least.append(lo)
                     most.append(hi)
+                    weights.append((weight, gid))
                 tokens.append((index[gid], np.frombuffer(raw, np.uint64)))
         if not tokens:
             return
@@ -211,13 +212,11 @@ def _met(groups: DataFrame, t: Fraction) -> DataFrame:
         seen = np.unique(np.concatenate([seen, *found]))
         for at in range(0, len(seen), 10_000):
             part = seen[at : at + 10_000]
-            yield batch(pairs, [[gids[k] for k in part // len(gids)], [gids[k] for k in part % len(gids)]])
+            both = [sorted((weights[i], weights[j])) for i, j in zip(part // len(gids), part % len(gids))]
+            yield batch(pairs, [[x[1] for x, _ in both], [y[1] for _, y in both]])
 
-    dealt = groups.select("gid", "sizes", "first").mapInArrow(deal, "bucket int, gid binary, least long, most long, tokens binary")
-    met = dealt.repartition("bucket").mapInArrow(meet, "a binary, b binary")
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    alone = groups.where(F.octet_length("sizes") > 8).select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    return met.union(alone)
+    dealt = groups.select("gid", "sizes", "first", F.octet_length("tokens").cast("long")).mapInArrow(deal, "bucket int, gid binary, least long, most long, weight long, tokens binary")
+    return dealt.repartition("bucket").mapInArrow(meet, "a binary, b binary").distinct()
 
 
 def tile_links(one: tuple, two: tuple, t: Fraction) -> list[tuple[bytes, bytes]]:
@@ -267,9 +266,16 @@ def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
                 if links := tile_links(tuple(row[:4]), tuple(row[4:]), t):
                     yield batch(schema, list(map(list, zip(*links))))
 
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                group = tuple(c[k].as_py() for c in b.columns)
+                if links := tile_links(group, group, t):
+                    yield batch(schema, list(map(list, zip(*links))))
+
     side = lambda s: groups.select(F.col("gid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*(f"{s}_{c}" for s in "ab" for c in columns))
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary").union(groups.where(F.octet_length("sizes") > 8).select(*columns).mapInArrow(within, "a binary, b binary"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
