@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, media, ngram_join, packing, quality, suffix_dedup, surrogates, winnowing
+from lodestone.llm import bpe, media, ngram_join, packing, preferences, quality, suffix_dedup, surrogates, templates, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
 #: A deployment passes a secret of its own.
@@ -38,10 +38,18 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.formatted(preferences.paired(table(spark, sf_dir, "conversations")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), end_id=2, capacity=4096, keep_ids=False).drop("ids")
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_slots")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnowing.fingerprints_beside_next(table(spark, sf_dir, "documents"))
     own, edited, following = (winnowing.hashes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
@@ -72,7 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_surrogates": op3_surrogates,
         "op4_media": op4_media,
+        "op5_preferences": op5_preferences,
         "op6_packing": op6_packing,
+        "op7_templates": op7_templates,
         "op8_winnowing": op8_winnowing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
@@ -80,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preferences": preferences.ORACLE_SQL}

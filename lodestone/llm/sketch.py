@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch
+from lodestone.llm.common import batch, shared_dir, stored
 
 SEGMENT_BITS, REST_BITS = 12, 28
 SEGMENTS = 1 << SEGMENT_BITS
@@ -52,7 +53,7 @@ def sent(tokens: list[np.ndarray]) -> pa.RecordBatch | None:
     return batch(SCHEMA, [pa.array(some.astype(np.int32)), [counts[s].tobytes() + low[edges[s] : edges[s + 1]].tobytes() for s in some], none, none, pa.nulls(len(some), pa.binary())])
 
 
-def _levels(payloads: list[bytes], slot_bits: int) -> bytes:
+def _levels(payloads: list[bytes], slot_bits: int, levels: tuple[int, ...]) -> bytes:
     parts = []
     for p in payloads:
         counts = np.frombuffer(p, "<u4", SUB)
@@ -61,13 +62,13 @@ def _levels(payloads: list[bytes], slot_bits: int) -> bytes:
     values, times = np.unique(np.concatenate(parts), return_counts=True)
     slots = values >> np.uint32(REST_BITS - (slot_bits - SEGMENT_BITS))
     out = np.zeros(1 << (slot_bits - SEGMENT_BITS), np.uint8)
-    for level, least in enumerate(LEVELS, 1):
+    for level, least in enumerate(levels, 1):
         out[slots[times >= least]] = level
     out = out.reshape(-1, 4)
     return (out[:, 0] | out[:, 1] << 2 | out[:, 2] << 4 | out[:, 3] << 6).astype(np.uint8).tobytes()
 
 
-def counted(rows: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+def counted(rows: DataFrame, slot_bits: int = SLOT_BITS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Of rows of SCHEMA: one row with the levels of each segment met; rows about documents (segment under 0) pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def counted(rows: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
                 if s >= 0:
                     held[s].append(p)
         for s, payloads in held.items():
-            yield batch(SCHEMA, [[s], [_levels(payloads, slot_bits)], [None], [None], [None]])
+            yield batch(SCHEMA, [[s], [_levels(payloads, slot_bits, levels)], [None], [None], [None]])
 
     return rows.repartition("segment").mapInArrow(run, DDL)
 
@@ -98,3 +99,30 @@ class Levels:
     def of(self, tokens: np.ndarray) -> np.ndarray:
         slots = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         return (np.frombuffer(self.packed.value, np.uint8)[slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
+
+
+def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose id may be among ids (one column of longs), and those whose id surely isn't.
+
+    The former are few more than needed, so a join with them moves few rows. Null ids are among the latter.
+    """
+    token = lambda x: mixed(x.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield sent([token(b.column(0).to_numpy())])
+
+    def split(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = b.column(id_col)
+                x = x.cast(pa.int64())
+                may = (held.of(token(np.array(x.fill_null(0)))) > 0) & np.array(x.is_valid())
+                yield b.filter(pa.array(may == wanted))
+
+        return df.mapInArrow(run, df.schema)
+
+    distinct = ids.toDF("id").where(F.col("id").isNotNull()).distinct()
+    held = Levels(stored(counted(distinct.mapInArrow(send, DDL), levels=(1, 2, 3)), f"{shared_dir(df.sparkSession)}/ids"))
+    return split(True), split(False)

@@ -3,6 +3,8 @@
 A byte goes if it is covered by a string of ``LENGTH`` bytes that also starts in a document with a
 smaller id. Strings are judged on the input, matches don't cross documents.
 
+0. Whole copies are settled first: a text's digest is counted (``sketch``); of texts that may occur
+   twice only the one of the smallest document goes on, the others lose all their bytes.
 1. Every window of LENGTH bytes has a key: the least hash of its K-grams. Equal windows have equal
    keys. One pass counts in how many documents each key occurs (``sketch``); windows whose key occurs
    once are settled.
@@ -88,22 +90,70 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield buffer, owner[starts] + first, (ends - lengths)[owner[starts]], starts, sizes, h[starts]
 
 
-def _surveyed(docs: DataFrame) -> DataFrame:
+def _text_token(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+
+
+def _texts_surveyed(docs: DataFrame) -> DataFrame:
+    """Levels of whole texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
+        held = []
         for b in batches:
-            for _, owner, _, _, _, key in runs(utf8(b.column(1))):
-                order = np.lexsort((key, owner))
-                o, k = owner[order], key[order]
-                held.append(k[np.r_[True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])]] if len(k) else k)
-                n_held += len(held[-1])
-                if n_held >= sketch.FLUSH:
-                    yield sketch.sent(held)
-                    held, n_held = [], 0
-        if n_held:
+            held += [np.array([_text_token(t)], np.uint64) for t in utf8(b.column(0)) if len(t) >= LENGTH]
+            if len(held) >= sketch.FLUSH // 16:
+                yield sketch.sent(held)
+                held = []
+        if held:
             yield sketch.sent(held)
 
-    return sketch.counted(docs.select("doc_id", "text").mapInArrow(run, sketch.DDL), SLOT_BITS)
+    return sketch.counted(docs.select("text").mapInArrow(run, sketch.DDL))
+
+
+def _perhaps_copied(docs: DataFrame, whole: sketch.Levels) -> DataFrame:
+    """doc_id, tag, digest, text of those whose text may be another's too."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("digest", pa.binary()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(1))
+            use = np.flatnonzero(_copied(texts, whole))
+            some = [texts[k] for k in use]
+            if some:
+                yield batch(schema, [b.column(0).take(pa.array(use)), [zlib.crc32(t) for t in some], [hashlib.blake2b(t, digest_size=16).digest() for t in some], some])
+
+    return docs.mapInArrow(run, "doc_id long, tag long, digest binary, text binary")
+
+
+def _copied(texts: list[bytes], whole: sketch.Levels | None) -> np.ndarray:
+    if whole is None or not texts:
+        return np.zeros(len(texts), bool)
+    return (whole.of(np.array([_text_token(t) for t in texts], np.uint64)) > 0) & np.array([len(t) >= LENGTH for t in texts])
+
+
+def _surveyed(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels) -> DataFrame:
+    """Levels of keys, over the documents that aren't copies and the first of each group of copies."""
+
+    def over(skip: sketch.Levels | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n_held = [], 0
+            for b in batches:
+                texts = utf8(b.column(0))
+                for _, owner, _, _, _, key in runs([b"" if c else t for t, c in zip(texts, _copied(texts, skip))]):
+                    order = np.lexsort((key, owner))
+                    o, k = owner[order], key[order]
+                    held.append(k[np.r_[True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])]] if len(k) else k)
+                    n_held += len(held[-1])
+                    if n_held >= sketch.FLUSH:
+                        yield sketch.sent(held)
+                        held, n_held = [], 0
+            if n_held:
+                yield sketch.sent(held)
+
+        return run
+
+    rows = docs.select("text").mapInArrow(over(whole), sketch.DDL).union(firsts.select("text").mapInArrow(over(None), sketch.DDL))
+    return sketch.counted(rows, SLOT_BITS)
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -115,7 +165,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _DEALT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _dealt(docs: DataFrame, levels: sketch.Levels, bits: int) -> DataFrame:
+def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: sketch.Levels, bits: int) -> DataFrame:
     """Segments by key: rows of a bucket and the distinct strings of a stretch of input with their occurrences."""
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
@@ -140,34 +190,39 @@ def _dealt(docs: DataFrame, levels: sketch.Levels, bits: int) -> DataFrame:
             )))
         return batch(_DEALT, [bucket[edges[:-1]].astype(np.int32), payloads])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-        for b in batches:
-            ids, texts = b.column(0).to_numpy(), utf8(b.column(1))
-            tags = np.array([zlib.crc32(t) for t in texts], np.int64)
-            for buffer, owner, base, start, windows, key in runs(texts):
-                use = levels.of(key) > 0
-                if not use.any():
-                    continue
-                owner, base, start, windows, key = (x[use] for x in (owner, base, start, windows, key))
-                pieces = -(-windows // LONGEST)
-                nth = _ragged(np.zeros(len(pieces), np.int64), pieces)
-                owner, base, start, key = (np.repeat(x, pieces) for x in (owner, base, start, key))
-                windows = np.minimum(np.repeat(windows, pieces) - nth * LONGEST, LONGEST)
-                start = start + nth * LONGEST
-                sizes = windows + LENGTH - 1
-                text = buffer[_ragged(start, sizes)]
-                at = np.cumsum(sizes) - sizes
-                seg_hash = mixed(np.add.reduceat(_BYTES[text] * _POWERS[_ragged(np.zeros(len(sizes), np.int64), sizes)], at) + windows.astype(np.uint64))
-                held.append((key, windows.astype(np.uint8), seg_hash, ids[owner], tags[owner], (start - base).astype(np.int32), text))
-                n_held += len(text)
-                if n_held >= FLUSH:
-                    yield rows(held)
-                    held, n_held = [], 0
-        if held:
-            yield rows(held)
-
-    return docs.mapInArrow(run, "bucket int, payload binary")
+    def over(skip: sketch.Levels | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n_held = [], 0
+            for b in batches:
+                ids, texts = b.column(0).to_numpy(), utf8(b.column(1))
+                texts = [b"" if c else t for t, c in zip(texts, _copied(texts, skip))]
+                tags = np.array([zlib.crc32(t) for t in texts], np.uint32)
+                for buffer, owner, base, start, windows, key in runs(texts):
+                    use = levels.of(key) > 0
+                    if not use.any():
+                        continue
+                    owner, base, start, windows, key = (x[use] for x in (owner, base, start, windows, key))
+                    pieces = -(-windows // LONGEST)
+                    nth = _ragged(np.zeros(len(pieces), np.int64), pieces)
+                    owner, base, start, key = (np.repeat(x, pieces) for x in (owner, base, start, key))
+                    windows = np.minimum(np.repeat(windows, pieces) - nth * LONGEST, LONGEST)
+                    start = start + nth * LONGEST
+                    sizes = windows + LENGTH - 1
+                    text = buffer[_ragged(start, sizes)]
+                    at = np.cumsum(sizes) - sizes
+                    seg_hash = mixed(np.add.reduceat(_BYTES[text] * _POWERS[_ragged(np.zeros(len(sizes), np.int64), sizes)], at) + windows.astype(np.uint64))
+                    held.append((key, windows.astype(np.uint8), seg_hash, ids[owner], tags[owner], (start - base).astype(np.int32), text))
+                    n_held += len(text)
+                    if n_held >= FLUSH:
+                        yield rows(held)
+                        held, n_held = [], 0
+            if held:
+                yield rows(held)
+
+        return run
+
+    one, two = (x.select("doc_id", "text").mapInArrow(over(skip), "bucket int, payload binary") for x, skip in ((docs, whole), (firsts, None)))
+    return one.union(two)
 
 
 def suffix_order(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,7 +311,7 @@ def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...] | None:
         at += length
         row.append(np.frombuffer(p, "<i4", o, at).astype(np.int64) + shift)
         at += 4 * o
-        for dtype in ("<i8", "<i8", "<i4"):
+        for dtype in ("<i8", "<u4", "<i4"):
             row.append(np.frombuffer(p, dtype, o, at))
             at += row[-1].nbytes
         parts.append(row)
@@ -350,25 +405,36 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag (crc32 of the text), spans (packed 64-bit pairs: from, to) for each document that loses bytes."""
+    """doc_id, tag (crc32 of the text), spans (packed 64-bit pairs: from, to), whole (all goes) for each document that loses bytes."""
     spark = df.sparkSession
     path = shared_dir(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
-    levels = sketch.Levels(stored(_surveyed(docs), f"{path}/levels"), SLOT_BITS)
+    whole = sketch.Levels(stored(_texts_surveyed(docs), f"{path}/texts"))
+    copies = stored(_perhaps_copied(docs, whole), f"{path}/copies")
+    least = stored(copies.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), f"{path}/firsts")
+    levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS)
     bits = max(12, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    return stored(_found(_dealt(docs, levels, bits)), f"{path}/spans")
+    found = stored(_found(_dealt(docs, least, whole, levels, bits)), f"{path}/spans")
+    copied = copies.join(least.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id > least").select("doc_id", "tag").distinct()
+    return stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all columns, and spans (null: nothing goes)."""
+    """df, all columns, then __spans and __whole (what goes: packed spans, or everything). Only rows that may lose bytes move."""
     spans = removed(df, id_col, text_col)
-    here = df.withColumn("__id", F.col(f"`{id_col}`").cast("long")).withColumn("__tag", F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
-    there = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    return here.join(there, ["__id", "__tag"], "left").drop("__id", "__tag")
+
+    here, rest = sketch.parted(df, id_col, spans.select("doc_id"))
+    tag = F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
+    here = here.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__tag": tag})
+    there = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
+    rest = rest.withColumns({"__spans": F.lit(None).cast("binary"), "__whole": F.lit(False)})
+    return here.join(there, ["__id", "__tag"], "left").drop("__id", "__tag").union(rest)
 
 
-def kept(text: bytes, spans: bytes | None) -> tuple[bytes, int, int]:
+def kept(text: bytes, spans: bytes | None, whole: bool | None = False) -> tuple[bytes, int, int]:
     """What stays of a text, bytes removed, maximal removed runs."""
+    if whole:
+        return b"", len(text), 1
     if not spans:
         return text, 0, 0
     pairs = np.frombuffer(spans, np.int64).reshape(-1, 2).tolist()
@@ -386,8 +452,26 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(1))
-            rest = [kept(t, s) for t, s in zip(texts, b.column(2).to_pylist())]
+            rest = [kept(*x) for x in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield batch(schema, [b.column(0), [len(t) for t in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
 
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_spans(docs).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "text", "__spans", "__whole").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+
+
+def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """df with what stays of its texts; size_col, if named, gets their new sizes in characters. A character that lost some of its bytes goes whole."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, names = list(b.columns)[:-2], list(b.schema.names)[:-2]
+            k = names.index(text_col)
+            texts = [t if t is None or not (s or w) else kept(t.encode("utf-8", "surrogatepass"), s, w)[0].decode("utf-8", "ignore") for t, s, w in zip(columns[k].to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())]
+            columns[k] = pa.array(texts, b.schema.field(k).type)
+            if size_col:
+                at = names.index(size_col)
+                columns[at] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return with_spans(df, id_col, text_col).mapInArrow(run, schema)
