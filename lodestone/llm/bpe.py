@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Words, and chunks, kept with their ids in each Python worker; beyond it the memory is emptied.
-REMEMBERED = 3 << 17
+REMEMBERED = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -98,7 +99,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = packed = np.array(self.vocabulary.merged(word), "<u4").tobytes()
+        self[word] = packed = struct.pack(f"<{len(ids := self.vocabulary.merged(word))}I", *ids)
         return packed
 
 
@@ -110,7 +111,7 @@ class Chunks(dict):
         self.words = words
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED // 2:
             self.clear()
         words = self.words
         if chunk.isalpha():
