@@ -9,6 +9,8 @@ by chance lets more through, never less.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -85,8 +87,12 @@ def counted(rows: DataFrame, slot_bits: int = SLOT_BITS, levels: tuple[int, ...]
     return rows.repartition("segment").mapInArrow(run, DDL)
 
 
+#: Levels that a Python worker has unpacked: those of the last two broadcasts.
+_unpacked: dict[int, np.ndarray] = {}
+
+
 class Levels:
-    """The levels of all segments, broadcast once."""
+    """The levels of all segments, broadcast once, compressed."""
 
     def __init__(self, counted_rows: DataFrame, slot_bits: int = SLOT_BITS):
         self.slot_bits = slot_bits
@@ -94,11 +100,16 @@ class Levels:
         width = len(packed) // SEGMENTS
         for r in counted_rows.where("segment >= 0").select("segment", "payload").toLocalIterator():
             packed[r[0] * width : (r[0] + 1) * width] = r[1]
-        self.packed = counted_rows.sparkSession.sparkContext.broadcast(bytes(packed))
+        self.key = uuid.uuid4().int
+        self.packed = counted_rows.sparkSession.sparkContext.broadcast(zlib.compress(packed, 1))
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
+        if self.key not in _unpacked:
+            while len(_unpacked) > 1:
+                _unpacked.pop(next(iter(_unpacked)))
+            _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint8)
         slots = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
-        return (np.frombuffer(self.packed.value, np.uint8)[slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
+        return (_unpacked[self.key][slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
 
 
 def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,10 @@ smaller id. Strings are judged on the input, matches don't cross documents.
 1. Every window of LENGTH bytes has a key: the least hash of its K-grams. Equal windows have equal
    keys. One pass counts in how many documents each key occurs (``sketch``); windows whose key occurs
    once are settled.
-2. Runs of windows with one key are cut out as segments and dealt by key; equal segments are one
-   string with its occurrences. Where a key has several strings, they form a collection.
+2. Runs of windows with one key are segments, dealt by key with a hash of their bytes. A key with
+   one string, wherever it occurs, is settled: the smallest document keeps it. Of the keys with several
+   strings the segments are dealt again with their bytes; equal ones are one string with its
+   occurrences, a key's strings form a collection.
 3. A collection's suffix order is built as for a multi-document Burrows-Wheeler transform: round j
    inserts each string's suffix of length j, whose place follows from the ranks of equal symbols in
    the transform so far; the common prefixes of new neighbours follow from minima over the prefixes
@@ -46,11 +48,37 @@ LENGTH, K = 50, 32
 WINDOWS = LENGTH - K + 1
 SLOT_BITS = 27
 #: Windows of a segment, bytes that are looked through at once, bytes of segments a task holds before sending, bytes of a collection.
-LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 23, 1 << 21
+LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 23, 1 << 18
 _BYTES = mixed(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
-_POWERS = np.array([pow(0xA0761D6478BD642F, k, 1 << 64) for k in range(LONGEST + LENGTH)], np.uint64)
+_MULTIPLIER = 0xA0761D6478BD642F
+
+
+class _Powers:
+    """Powers of a multiplier and their inverses, as far as the longest text so far."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, np.uint64)] * 2
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if n > len(self.tables[0]):
+            for k, base in enumerate((_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64))):
+                table = np.full(n, base, np.uint64)
+                table[0] = 1
+                self.tables[k] = np.multiply.accumulate(table)
+        return self.tables
+
+
+_powers = _Powers()
+
+
+def string_hashes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string buffer[start : start + size]."""
+    power, inverse = _powers(max(len(buffer), CHUNK))
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(_BYTES[buffer] * power[: len(buffer)], out=sums[1:])
+    return mixed((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64))
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -165,14 +193,15 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _DEALT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: sketch.Levels, bits: int) -> DataFrame:
-    """Segments by key: rows of a bucket and the distinct strings of a stretch of input with their occurrences."""
+def _payload(columns: list[np.ndarray]) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: sketch.Levels, bits: int, bytes_too: bool) -> DataFrame:
+    """Segments by key: rows of a bucket and the distinct strings of a stretch of input (with their bytes, if asked for) with their occurrences."""
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
         key, windows, seg_hash, doc, tag, start = (np.concatenate([x[k] for x in held]) for k in range(6))
-        text = np.concatenate([x[6] for x in held])
-        sizes = windows.astype(np.int64) + LENGTH - 1
-        offsets = np.cumsum(sizes) - sizes
         order = np.lexsort((seg_hash, key))
         k, s = key[order], seg_hash[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
@@ -181,13 +210,15 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
         bucket = (key[unique] >> np.uint64(64 - bits)).astype(np.int64)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         occurrence_edges = np.searchsorted(number, edges)
+        if bytes_too:
+            text = np.concatenate([x[6] for x in held])
+            sizes = windows.astype(np.int64) + LENGTH - 1
+            offsets = np.cumsum(sizes) - sizes
         payloads = []
         for u0, u1, o0, o1 in zip(edges[:-1], edges[1:], occurrence_edges[:-1], occurrence_edges[1:]):
             u, o = unique[u0:u1], order[o0:o1]
-            payloads.append(b"".join((
-                np.array([u1 - u0, o1 - o0], "<i8").tobytes(), key[u].tobytes(), seg_hash[u].tobytes(), windows[u].tobytes(), text[_ragged(offsets[u], sizes[u])].tobytes(),
-                (number[o0:o1] - u0).astype("<i4").tobytes(), doc[o].tobytes(), tag[o].tobytes(), start[o].tobytes(),
-            )))
+            strings = [text[_ragged(offsets[u], sizes[u])]] if bytes_too else []
+            payloads.append(_payload([np.array([u1 - u0, o1 - o0], "<i8"), key[u], seg_hash[u], windows[u], *strings, (number[o0:o1] - u0).astype("<i4"), doc[o], tag[o], start[o]]))
         return batch(_DEALT, [bucket[edges[:-1]].astype(np.int32), payloads])
 
     def over(skip: sketch.Levels | None):
@@ -208,11 +239,8 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
                     windows = np.minimum(np.repeat(windows, pieces) - nth * LONGEST, LONGEST)
                     start = start + nth * LONGEST
                     sizes = windows + LENGTH - 1
-                    text = buffer[_ragged(start, sizes)]
-                    at = np.cumsum(sizes) - sizes
-                    seg_hash = mixed(np.add.reduceat(_BYTES[text] * _POWERS[_ragged(np.zeros(len(sizes), np.int64), sizes)], at) + windows.astype(np.uint64))
-                    held.append((key, windows.astype(np.uint8), seg_hash, ids[owner], tags[owner], (start - base).astype(np.int32), text))
-                    n_held += len(text)
+                    held.append((key, windows.astype(np.uint8), string_hashes(buffer, start, sizes), ids[owner], tags[owner], (start - base).astype(np.int32), buffer[_ragged(start, sizes)] if bytes_too else None))
+                    n_held += int(sizes.sum())
                     if n_held >= FLUSH:
                         yield rows(held)
                         held, n_held = [], 0
@@ -296,91 +324,136 @@ def _least_documents(text: np.ndarray, sizes: np.ndarray, least: np.ndarray) ->
     return out
 
 
-def _spans(payloads: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """doc, tag, from, to of what goes, by the strings and occurrences of one bucket."""
-    parts, shift = [], 0
-    for p in payloads:
-        n, o = np.frombuffer(p, "<i8", 2).tolist()
-        at = 16
-        row = []
-        for dtype, count in (("<u8", n), ("<u8", n), ("u1", n)):
-            row.append(np.frombuffer(p, dtype, count, at))
-            at += row[-1].nbytes
-        length = int(row[2].sum()) + n * (LENGTH - 1)
-        row.append(np.frombuffer(p, "u1", length, at))
-        at += length
-        row.append(np.frombuffer(p, "<i4", o, at).astype(np.int64) + shift)
-        at += 4 * o
-        for dtype in ("<i8", "<u4", "<i4"):
-            row.append(np.frombuffer(p, dtype, o, at))
-            at += row[-1].nbytes
-        parts.append(row)
-        shift += n
-    key, seg_hash, windows, text, string, doc, tag, start = (np.concatenate([x[k] for x in parts]) for k in range(8))
-    windows = windows.astype(np.int64)
-    offsets = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
-    order = np.lexsort((seg_hash, key))
-    k, s = key[order], seg_hash[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    unique, string = order[new], number[string]
-    key, windows, offsets = key[unique], windows[unique], offsets[unique]
-    least = np.full(len(unique), np.iinfo(np.int64).max)
-    most = np.full(len(unique), np.iinfo(np.int64).min)
-    np.minimum.at(least, string, doc)
-    np.maximum.at(most, string, doc)
-    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    counts = np.diff(heads, append=len(key))
-    several = np.minimum.reduceat(least, heads) < np.maximum.reduceat(most, heads)  # documents
-    base = np.cumsum(windows) - windows
-    lowest = np.repeat(least, windows)
-    of_collections = np.flatnonzero(np.repeat(several & (counts > 1), counts))
-    sizes = windows + LENGTH - 1
-    at = 0
-    while at < len(of_collections):  # whole keys, up to COLLECTION bytes at once
-        filled = np.cumsum(sizes[of_collections[at:]])
-        to = at + max(1, int(np.searchsorted(filled, COLLECTION)))
-        while to < len(of_collections) and key[of_collections[to]] == key[of_collections[to - 1]]:
-            to += 1
-        u = of_collections[at:to]
-        lowest[_ragged(base[u], windows[u])] = _least_documents(text[_ragged(offsets[u], sizes[u])], sizes[u], least[u])
-        at = to
-    use = np.repeat(several, counts)[string]
-    string, doc, tag, start = string[use], doc[use], tag[use], start[use]
-    n = windows[string]
-    flag = lowest[_ragged(base[string], n)] < np.repeat(doc, n)
-    if not flag.any():
-        return None
-    occurrence = np.repeat(np.arange(len(string)), n)
-    nth = _ragged(np.zeros(len(n), np.int64), n)
-    link = flag[1:] & flag[:-1] & (occurrence[1:] == occurrence[:-1])
-    first, last = np.flatnonzero(flag & ~np.r_[False, link]), np.flatnonzero(flag & ~np.r_[link, False])
-    o = occurrence[first]
-    return doc[o], tag[o], start[o] + nth[first], start[o] + nth[last] + LENGTH
-
-
-def _found(dealt: DataFrame) -> DataFrame:
-    """doc_id, tag, spans (packed pairs of byte offsets): in two dealings, so that each document is one row."""
-    packed = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
-    out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.binary())])
+class _Bucket:
+    """The distinct strings of one bucket by key, and their occurrences."""
+
+    def __init__(self, payloads: list[bytes], bytes_too: bool):
+        parts, shift = [], 0
+        for p in payloads:
+            n, o = np.frombuffer(p, "<i8", 2).tolist()
+            at, row = 16, []
+            for dtype in ("<u8", "<u8", "u1"):
+                row.append(np.frombuffer(p, dtype, n, at))
+                at += row[-1].nbytes
+            if bytes_too:
+                row.append(np.frombuffer(p, "u1", int(row[2].sum()) + n * (LENGTH - 1), at))
+                at += row[-1].nbytes
+            row.append(np.frombuffer(p, "<i4", o, at).astype(np.int64) + shift)
+            at += 4 * o
+            for dtype in ("<i8", "<u4", "<i4"):
+                row.append(np.frombuffer(p, dtype, o, at))
+                at += row[-1].nbytes
+            parts.append(row)
+            shift += n
+        key, seg_hash, windows, *rest = (np.concatenate([x[k] for x in parts]) for k in range(len(parts[0])))
+        string, self.doc, self.tag, self.start = rest[-4:]
+        windows = windows.astype(np.int64)
+        order = np.lexsort((seg_hash, key))
+        k, s = key[order], seg_hash[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        unique, self.string = order[new], number[string]
+        self.key, self.windows = key[unique], windows[unique]
+        if bytes_too:
+            self.text = rest[0]
+            sizes = windows + LENGTH - 1
+            self.offsets = (np.cumsum(sizes) - sizes)[unique]
+        self.least = np.full(len(unique), np.iinfo(np.int64).max)
+        most = np.full(len(unique), np.iinfo(np.int64).min)
+        np.minimum.at(self.least, self.string, self.doc)
+        np.maximum.at(most, self.string, self.doc)
+        heads = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]])
+        counts = np.diff(heads, append=len(self.key))
+        shared = np.minimum.reduceat(self.least, heads) < np.maximum.reduceat(most, heads)  # by several documents
+        self.settled = np.repeat(shared & (counts == 1), counts)
+        self.open = np.repeat(shared & (counts > 1), counts)
+
+    def spans(self, lowest: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """doc, tag, from, to of what goes of the strings ``of``, by the least document of each window of all strings."""
+        base = np.cumsum(self.windows) - self.windows
+        use = of[self.string]
+        string, doc, tag, start = (x[use] for x in (self.string, self.doc, self.tag, self.start))
+        n = self.windows[string]
+        flag = lowest[_ragged(base[string], n)] < np.repeat(doc, n)
+        occurrence = np.repeat(np.arange(len(string)), n)
+        nth = _ragged(np.zeros(len(n), np.int64), n)
+        link = flag[1:] & flag[:-1] & (occurrence[1:] == occurrence[:-1])
+        first, last = np.flatnonzero(flag & ~np.r_[False, link][: len(flag)]), np.flatnonzero(flag & ~np.r_[link, False][: len(flag)])
+        o = occurrence[first]
+        return np.column_stack([doc[o], tag[o], start[o] + nth[first], start[o] + nth[last] + LENGTH]).astype(np.int64)
+
+    def settled_spans(self) -> np.ndarray:
+        return self.spans(np.repeat(self.least, self.windows), self.settled)
+
+    def open_spans(self) -> np.ndarray:
+        base = np.cumsum(self.windows) - self.windows
+        lowest = np.repeat(self.least, self.windows)
+        sizes = self.windows + LENGTH - 1
+        strings = np.flatnonzero(self.open)
+        at = 0
+        while at < len(strings):  # whole keys, COLLECTION bytes at once unless one key has more
+            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[strings[at:]]), COLLECTION)))
+            while to < len(strings) and self.key[strings[to]] == self.key[strings[to - 1]]:
+                to += 1
+            u = strings[at:to]
+            lowest[_ragged(base[u], self.windows[u])] = _least_documents(self.text[_ragged(self.offsets[u], sizes[u])], sizes[u], self.least[u])
+            at = to
+        return self.spans(lowest, self.open)
+
+
+def _parts(found: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    """Spans dealt by document."""
+    rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+    if not len(rows):
+        return [], []
+    part = (mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    return part[edges[:-1]].tolist(), [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], bytes_too: bool) -> Iterator[_Bucket]:
+    held: dict[int, list[bytes]] = defaultdict(list)
+    for b in batches:
+        for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held[k].append(p)
+    while held:
+        yield _Bucket(held.popitem()[1], bytes_too)
+
+
+def _settled(dealt: DataFrame) -> DataFrame:
+    """Spans of keys with one string (segment -1 - part), and levels of the keys with several."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
-        for b in batches:
-            for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[k].append(p)
-        found = []
-        while held:
-            if (x := _spans(held.popitem()[1])) is not None:
-                found.append(np.column_stack(x).astype(np.int64))
-        if found:
-            rows = np.concatenate(found)
-            part = (mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
-            rows = rows[np.argsort(part, kind="stable")]
-            part.sort()
-            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-            yield batch(packed, [part[edges[:-1]].astype(np.int32), [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, several = [], []
+        for bucket in _buckets(batches, False):
+            found.append(bucket.settled_spans())
+            several.append(np.unique(bucket.key[bucket.open]))
+        parts, payloads = _parts(found)
+        n = len(parts)
+        yield batch(sketch.SCHEMA, [[-1 - p for p in parts], payloads, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
+        if (sent := sketch.sent(several)) is not None:
+            yield sent
+
+    return sketch.counted(dealt.repartition("bucket").mapInArrow(run, sketch.DDL), levels=(1, 2, 3))
+
+
+def _searched(dealt: DataFrame) -> DataFrame:
+    """part, payload: spans of keys with several strings."""
+    schema = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, payloads = _parts([bucket.open_spans() for bucket in _buckets(batches, True)])
+        yield batch(schema, [pa.array(parts, pa.int32()), payloads])
+
+    return dealt.repartition("bucket").mapInArrow(run, "part int, payload binary")
+
+
+def _gathered(parts: DataFrame) -> DataFrame:
+    """doc_id, tag, spans (packed pairs of byte offsets): one row a document."""
+    out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(p, np.int64).reshape(-1, 4) for b in batches for p in b.column(1).to_pylist()]
@@ -393,8 +466,7 @@ def _found(dealt: DataFrame) -> DataFrame:
             a, z = edges[at : min(at + 10_000, len(edges) - 1)], edges[at + 1 : at + 10_001]
             yield batch(out, [rows[a, 0], rows[a, 1], [merged(rows[i:j, 2:]).tobytes() for i, j in zip(a, z)]])
 
-    found = dealt.repartition("bucket").mapInArrow(search, "part int, payload binary")
-    return found.repartition("part").mapInArrow(gather, "doc_id long, tag long, spans binary")
+    return parts.repartition("part").mapInArrow(gather, "doc_id long, tag long, spans binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -414,7 +486,10 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     least = stored(copies.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), f"{path}/firsts")
     levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS)
     bits = max(12, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    found = stored(_found(_dealt(docs, least, whole, levels, bits)), f"{path}/spans")
+    settled = stored(_settled(_dealt(docs, least, whole, levels, bits, False)), f"{path}/settled")
+    several = sketch.Levels(settled)
+    searched = _searched(_dealt(docs, least, whole, several, bits, True))
+    found = _gathered(settled.where("segment < 0").select((-1 - F.col("segment")).alias("part"), "payload").union(searched))
     copied = copies.join(least.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id > least").select("doc_id", "tag").distinct()
     return stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
 
