@@ -28,10 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that tasks hand to Python at once while a table is written; long texts make large batches.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here. Python gets ``rows`` rows at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

@@ -37,6 +37,8 @@ from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
 GROUP, GROUP_TOKENS = 64, 1 << 16
+#: Tiles that Python holds at once.
+TILES = 16
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -286,7 +288,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     levels = sketch.Levels(surveyed)
     sets = stored(_open_sets(docs, levels, words, threshold).dropDuplicates(["digest"]), f"{path}/sets")
     groups = stored(_grouped(sets), f"{path}/groups")
-    links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links")
+    links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links", rows=TILES)
     roots = components(links, path)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     own = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))

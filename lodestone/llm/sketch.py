@@ -16,8 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodestone.llm.common import batch, shared_dir, stored
 
@@ -112,10 +114,12 @@ class Levels:
         return (_unpacked[self.key][slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
 
 
-def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parted(df: DataFrame, id_col: str, ids: DataFrame, packed_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose id may be among ids (one column of longs), and those whose id surely isn't.
 
-    The former are few more than needed, so a join with them moves few rows. Null ids are among the latter.
+    The former are few more than needed, so a join with them moves few rows. Null ids are among the
+    latter. With packed_col, that text moves compressed: the former have it in a further column
+    __packed (binary) and null in its place; the latter have null in __packed.
     """
     token = lambda x: mixed(x.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
@@ -130,9 +134,19 @@ def parted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataF
                 x = b.column(id_col)
                 x = x.cast(pa.int64())
                 may = (held.of(token(np.array(x.fill_null(0)))) > 0) & np.array(x.is_valid())
-                yield b.filter(pa.array(may == wanted))
-
-        return df.mapInArrow(run, df.schema)
+                b = b.filter(pa.array(may == wanted))
+                if packed_col:
+                    k = b.schema.names.index(packed_col)
+                    packed = pa.nulls(b.num_rows, pa.binary())
+                    columns = list(b.columns)
+                    if wanted:
+                        squeeze = zstandard.ZstdCompressor(level=1).compress
+                        packed = pa.array([None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in columns[k].to_pylist()], pa.binary())
+                        columns[k] = pa.nulls(b.num_rows, columns[k].type)
+                    b = pa.RecordBatch.from_arrays([*columns, packed], names=[*b.schema.names, "__packed"])
+                yield b
+
+        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("__packed", BinaryType())]) if packed_col else df.schema)
 
     distinct = ids.toDF("id").where(F.col("id").isNotNull()).distinct()
     held = Levels(stored(counted(distinct.mapInArrow(send, DDL), levels=(1, 2, 3)), f"{shared_dir(df.sparkSession)}/ids"))

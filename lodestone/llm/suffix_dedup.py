@@ -37,6 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +75,11 @@ _powers = _Powers()
 
 
 def string_hashes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each string buffer[start : start + size]."""
+    """A 48-bit hash of each string buffer[start : start + size]; it tells strings of one (64-bit) key apart."""
     power, inverse = _powers(max(len(buffer), CHUNK))
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_BYTES[buffer] * power[: len(buffer)], out=sums[1:])
-    return mixed((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64))
+    return mixed((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64)) >> np.uint64(16)
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -193,8 +194,18 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 _DEALT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def _payload(columns: list[np.ndarray]) -> bytes:
-    return b"".join(c.tobytes() for c in columns)
+def _narrow(x: np.ndarray) -> bytes:
+    """Non-negative or any 64-bit integers with as many bytes each as the largest needs; first their number of bytes."""
+    x = np.ascontiguousarray(x, "<u8") if x.dtype.kind == "u" else np.ascontiguousarray(x, "<i8").view("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = raw[at]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(n, width)
+    return out.view("<u8").reshape(n), at + 1 + n * width
 
 
 def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: sketch.Levels, bits: int, bytes_too: bool) -> DataFrame:
@@ -217,8 +228,8 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
         payloads = []
         for u0, u1, o0, o1 in zip(edges[:-1], edges[1:], occurrence_edges[:-1], occurrence_edges[1:]):
             u, o = unique[u0:u1], order[o0:o1]
-            strings = [text[_ragged(offsets[u], sizes[u])]] if bytes_too else []
-            payloads.append(_payload([np.array([u1 - u0, o1 - o0], "<i8"), key[u], seg_hash[u], windows[u], *strings, (number[o0:o1] - u0).astype("<i4"), doc[o], tag[o], start[o]]))
+            strings = text[_ragged(offsets[u], sizes[u])].tobytes() if bytes_too else b""
+            payloads.append(b"".join((np.array([u1 - u0, o1 - o0], "<i8").tobytes(), *map(_narrow, (key[u], seg_hash[u], windows[u])), strings, *map(_narrow, (number[o0:o1] - u0, doc[o], tag[o], start[o])))))
         return batch(_DEALT, [bucket[edges[:-1]].astype(np.int32), payloads])
 
     def over(skip: sketch.Levels | None):
@@ -332,22 +343,21 @@ class _Bucket:
         for p in payloads:
             n, o = np.frombuffer(p, "<i8", 2).tolist()
             at, row = 16, []
-            for dtype in ("<u8", "<u8", "u1"):
-                row.append(np.frombuffer(p, dtype, n, at))
-                at += row[-1].nbytes
+            for _ in range(3):
+                values, at = _wide(p, at, n)
+                row.append(values)
+            row[2] = row[2].astype(np.int64)
             if bytes_too:
                 row.append(np.frombuffer(p, "u1", int(row[2].sum()) + n * (LENGTH - 1), at))
                 at += row[-1].nbytes
-            row.append(np.frombuffer(p, "<i4", o, at).astype(np.int64) + shift)
-            at += 4 * o
-            for dtype in ("<i8", "<u4", "<i4"):
-                row.append(np.frombuffer(p, dtype, o, at))
-                at += row[-1].nbytes
+            for _ in range(4):
+                values, at = _wide(p, at, o)
+                row.append(values.view(np.int64))
+            row[-4] = row[-4] + shift
             parts.append(row)
             shift += n
         key, seg_hash, windows, *rest = (np.concatenate([x[k] for x in parts]) for k in range(len(parts[0])))
         string, self.doc, self.tag, self.start = rest[-4:]
-        windows = windows.astype(np.int64)
         order = np.lexsort((seg_hash, key))
         k, s = key[order], seg_hash[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
@@ -495,15 +505,30 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all columns, then __spans and __whole (what goes: packed spans, or everything). Only rows that may lose bytes move."""
-    spans = removed(df, id_col, text_col)
+    """df, all columns, then __packed, __spans and __whole (what goes: packed spans, or everything).
 
-    here, rest = sketch.parted(df, id_col, spans.select("doc_id"))
-    tag = F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
-    here = here.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__tag": tag})
+    Only rows that may lose bytes move, and those have their text compressed in __packed (see ``text_of``).
+    """
+    spans = removed(df, id_col, text_col)
+    here, rest = sketch.parted(df, id_col, spans.select("doc_id"), text_col)
     there = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
-    rest = rest.withColumns({"__spans": F.lit(None).cast("binary"), "__whole": F.lit(False)})
-    return here.join(there, ["__id", "__tag"], "left").drop("__id", "__tag").union(rest)
+    # texts of one id are told apart by __tag; they are few, so the check comes after the join
+    joined = here.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(there.groupBy("__id").agg(F.collect_list(F.struct("__tag", "__spans", "__whole")).alias("__by_tag")), "__id", "left").drop("__id")
+    return joined.union(rest.withColumn("__by_tag", F.lit(None).cast(joined.schema["__by_tag"].dataType)))
+
+
+def texts_of(b: pa.RecordBatch, text_col: str) -> list[tuple[bytes, bytes | None, bool]]:
+    """Text, spans and whole of rows of ``with_spans``."""
+    out, expand = [], zstandard.ZstdDecompressor().decompress
+    for text, packed, by_tag in zip(b.column(text_col).to_pylist(), b.column("__packed").to_pylist(), b.column("__by_tag").to_pylist()):
+        if packed is None:
+            out.append(((text or "").encode("utf-8", "surrogatepass"), None, False))
+            continue
+        raw = expand(packed)
+        tag = zlib.crc32(raw)
+        mine = next((x for x in by_tag or () if x["__tag"] == tag), None)
+        out.append((raw, mine and mine["__spans"], bool(mine and mine["__whole"])))
+    return out
 
 
 def kept(text: bytes, spans: bytes | None, whole: bool | None = False) -> tuple[bytes, int, int]:
@@ -526,12 +551,12 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(1))
-            rest = [kept(*x) for x in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield batch(schema, [b.column(0), [len(t) for t in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
+            texts = texts_of(b, "text")
+            rest = [kept(*x) for x in texts]
+            yield batch(schema, [b.column(0), [len(x[0]) for x in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
 
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_spans(docs).select("doc_id", "text", "__spans", "__whole").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
@@ -542,7 +567,8 @@ def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         for b in batches:
             columns, names = list(b.columns)[:-2], list(b.schema.names)[:-2]
             k = names.index(text_col)
-            texts = [t if t is None or not (s or w) else kept(t.encode("utf-8", "surrogatepass"), s, w)[0].decode("utf-8", "ignore") for t, s, w in zip(columns[k].to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist())]
+            was = [t is None and p is None for t, p in zip(columns[k].to_pylist(), b.column("__packed").to_pylist())]
+            texts = [None if null else kept(*x)[0].decode("utf-8", "ignore") for null, x in zip(was, texts_of(b, text_col))]
             columns[k] = pa.array(texts, b.schema.field(k).type)
             if size_col:
                 at = names.index(size_col)
