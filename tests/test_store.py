@@ -1,0 +1,117 @@
+import hashlib
+
+import pytest
+
+from lodestone.functions.embedding import HashingEmbedder
+from lodestone.plans.reconcile import reconcile
+from lodestone.plans.search import context, search
+from lodestone.sources.store import IncompatibleStore, MissingStore, Store
+from lodestone.streaming.indexing import index_stream
+
+
+class Markers:
+    """Vectors by what a text holds, far away without a mark."""
+
+    model, dimension = "markers", 3
+
+    def __init__(self, marks):
+        self.marks = marks
+
+    def embed(self, texts):
+        return [next((v for k, v in self.marks.items() if k in t), [1000.0] * 3) for t in texts]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(p, s, f"/w/doc/{s}.md", hashlib.sha256(t.encode()).hexdigest(), bytearray(t.encode())) for p, s, t in rows], "package string, document_stem string, path string, document_hash string, content binary")
+
+
+def doc(title, body):
+    return f"---\ntitle: {title}\n---\n\n# {title}\n\n{body}\n"
+
+
+def test_reconcile(spark, tmp_path):
+    e = HashingEmbedder(8)
+    store = Store(spark, str(tmp_path / "s"), e.model, e.dimension)
+    two = doc("A", "intro") + "\n## One\n\nfirst\n\n## Two\n\nsecond\n"
+    rows = [(None, "spec-1-a", two), ("pkg", "spec-1-a", doc("B", "other")), (None, "spec-2-b", doc("C", "third")), (None, "spec-3-bad", "---\na: [b\n---\n"), (None, "spec-4-empty", "# only\n")]
+    r = reconcile(spark, store, table(spark, rows), e)
+    assert (r["reindexed"], r["skipped"], r["deleted"]) == (3, 0, 0)
+    assert [(f["document_stem"], f["error_kind"]) for f in r["failures"]] == [("spec-3-bad", "malformed_frontmatter"), ("spec-4-empty", "no_chunks")]
+    again = reconcile(spark, store, table(spark, rows), e)
+    assert (again["reindexed"], again["skipped"], again["embedded"]) == (0, 3, 0)
+    rows[0] = (None, "spec-1-a", two.replace("second", "changed"))
+    r = reconcile(spark, store, table(spark, [x for x in rows if x[1] != "spec-2-b"]), e)
+    assert (r["reindexed"], r["skipped"], r["deleted"], r["embedded"]) == (1, 1, 1, 2)  # the section and the one around it
+    assert {(d.package, d.document_stem) for d in store.documents().collect()} == {(None, "spec-1-a"), ("pkg", "spec-1-a")}
+    rows[0] = (None, "spec-1-a", "---\na: [b\n---\n")  # fails: old rows stay
+    reconcile(spark, store, table(spark, rows[:2]), e)
+    assert store.documents().count() == 2
+    assert store.delete_document(None, "spec-1-a") == 3 and store.delete_document(None, "spec-1-a") == 0
+    assert store.is_indexed("pkg", "spec-1-a", hashlib.sha256(rows[1][2].encode()).hexdigest()) and not store.is_indexed(None, "spec-1-a", "x")
+
+
+def test_store_contract(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), "m", 3)
+    with pytest.raises(MissingStore):
+        store.rows()
+    store.ensure()
+    assert store.rows().count() == 0
+    with pytest.raises(IncompatibleStore):
+        Store(spark, str(tmp_path / "s"), "m", 4).ensure()
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path), " ", 3)
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    e = Markers({"find": [0.0, 0, 0], "MIXED_ALPHA": [1.0, 0, 0], "MIXED_BETA": [2.0, 0, 0], "MIXED_GAMMA": [3.0, 0, 0]})
+    store = Store(spark, str(tmp_path_factory.mktemp("store") / "s"), e.model, e.dimension)
+    rows = [
+        (None, "spec-1-alpha", doc("Alpha", "MIXED_ALPHA filler needle")), (None, "spec-2-beta", doc("Beta", "MIXED_BETA needle needle")), (None, "spec-3-gamma", doc("Gamma", "MIXED_GAMMA needle")),
+        *((None, f"spec-{i}-decoy", doc(f"Decoy {i}", f"text {i}")) for i in range(10, 34)), ("pkg", "spec-1-alpha", doc("Alpha", "packaged needle")),
+        (None, "spec-9-long", "# Long\n\n## Section\n\n" + "\n\n".join(f"paragraph {i} " + "word " * 290 for i in range(3))),
+    ]
+    reconcile(spark, store, table(spark, rows), e)
+    return store, e
+
+
+def test_fusion(indexed):
+    rows = {r.document_stem: r for r in search(*indexed, "find needle").where("package is null").collect()}
+    beta, alpha = rows["spec-2-beta"], rows["spec-1-alpha"]
+    assert (alpha.semantic_rank, beta.semantic_rank) == (1, 2) and beta.lexical_rank == 1
+    assert beta.rrf_score == pytest.approx(1 / 62 + 1 / 61, abs=1e-6) and beta.position < alpha.position
+
+
+def test_exact_names_and_filters(indexed):
+    store, e = indexed
+    for q in ("spec-20-decoy", "spec-20-decoy.md"):
+        assert search(store, e, q).where("document_stem = 'spec-20-decoy'").first().lexical_rank == 1
+    assert {r.package for r in search(store, e, "find needle", package="pkg").collect()} == {"pkg"}
+    assert {r.document_stem for r in search(store, e, "find", document="spec-3-gamma").collect()} == {"spec-3-gamma"}
+    assert search(store, e, "find", document="spec-99-none").isEmpty()
+    for bad in ({"query": " "}, {"query": "x", "limit": 0}, {"query": "x", "package": ""}):
+        with pytest.raises(ValueError):
+            search(store, e, **bad)
+
+
+def test_sections_expand(indexed):
+    store, e = indexed
+    rows = search(store, e, "paragraph", document="spec-9-long", limit=3).orderBy("position").collect()
+    assert len(rows) >= 2 and not rows[0].was_expanded and all(r.was_expanded and r.semantic_rank is None for r in rows[1:])
+    assert {tuple(r.heading_path) for r in rows} == {("Long", "Section")}
+    one = context(store, e, "find needle", limit=2).first()
+    assert one.returned == 2 and one.diagnostics.total_token_count == sum(c.token_count for c in one.chunks) and one.chunks[0].context_id == "ctx-1" and one.sources[0].source_id == "src-1"
+
+
+def test_stream(spark, tmp_path):
+    e = HashingEmbedder(4)
+    (tmp_path / "doc").mkdir()
+    store = Store(spark, str(tmp_path / "s"), e.model, e.dimension)
+    go = lambda: index_stream(spark, str(tmp_path / "doc"), store, e, str(tmp_path / "c"), str(tmp_path / "p")).awaitTermination()
+    (tmp_path / "doc/spec-1-a.md").write_text(doc("A", "one"))
+    (tmp_path / "doc/Not governed.md").write_text("x")
+    go()
+    (tmp_path / "doc/spec-2-b.md").write_text(doc("B", "two"))
+    go()
+    assert {d.document_stem for d in store.documents().collect()} == {"spec-1-a", "spec-2-b"}
+    assert spark.read.parquet(str(tmp_path / "p")).where("step = 'indexed'").selectExpr("sum(int(message)) n").first().n == 2
