@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch
+from lodestone.llm.common import batch, tidied
 
 #: White space as Unicode's White_Space property has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -164,7 +164,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for b in batches:
             yield batch(schema, [b.column(0), [encoder.encode(t) for t in b.column(1).to_pylist()]])
 
-    return _select(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return _select(df, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids binary")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -176,7 +176,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         for b in batches:
             yield batch(schema, [b.column(0), [encoder.decode(x or b"") for x in b.column(1).to_pylist()]])
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, "doc_id long, decoded string")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(tidied(run), "doc_id long, decoded string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 64) -> DataFrame:
@@ -191,4 +191,4 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 ids = [encoder.encode(t) for t in b.column(1).to_pylist()]
                 yield batch(schema, [b.column(0), ids, [encoder.decode(x) for x in ids]])
 
-    return _select(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return _select(df, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids binary, decoded string")

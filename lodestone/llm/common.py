@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-#: Rows that tasks hand to Python at once while a table is written; long texts make large batches.
+#: Rows that tasks hand to Python at once; long texts make large batches.
 ROWS_AT_ONCE = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -53,6 +55,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def tidied(run):
+    """A function for mapInArrow that sees ROWS_AT_ONCE rows at most at once, as texts may be long, and
+    gives its worker's memory back when a task ends, as idle workers stay for a while."""
+
+    def go(batches):
+        try:
+            yield from run(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        finally:
+            for release in _releases:
+                release()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return go
+
+
+#: What else is released when a task ends.
+_releases: list = []
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, stored
+from lodestone.llm.common import batch, stored, tidied
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -55,7 +55,7 @@ def _thinned(links: DataFrame, limit: int = 1 << 20) -> DataFrame:
                 forest = Forest()
         yield stars()
 
-    return links.mapInArrow(run, "a binary, b binary")
+    return links.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:

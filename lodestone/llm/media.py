@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, utf8
+from lodestone.llm.common import batch, tidied, utf8
 
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -105,7 +105,7 @@ def sequences(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
             if rows:
                 yield batch(schema, list(map(list, zip(*rows))))
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{html_col}`").alias("html")).mapInArrow(run, "doc_id long, position long, kind string, text string, digest string, caption string")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{html_col}`").alias("html")).mapInArrow(tidied(run), "doc_id long, position long, kind string, text string, digest string, caption string")
 
 
 def resolved(items_table: DataFrame, media: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def stored_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             pages = [f'<article><p>Document</p><figure><img src="sha256:{hashlib.sha256(m).hexdigest()}"><figcaption>Text of document {d}</figcaption></figure></article>' for d, m in zip(b.column(0).to_pylist(), media)]
             yield batch(schema, [b.column(0), pages, media])
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, html string, media binary")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidied(run), "doc_id long, html string, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -194,4 +194,4 @@ def read_back(media: DataFrame) -> DataFrame:
             if rows:
                 yield batch(schema, list(map(list, zip(*rows))))
 
-    return media.select("media").mapInArrow(run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+    return media.select("media").mapInArrow(tidied(run), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")

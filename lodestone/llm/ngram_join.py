@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, utf8
+from lodestone.llm.common import batch, shared_dir, stored, tidied, utf8
 from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
@@ -105,7 +105,7 @@ def _surveyed(docs: DataFrame, words: int) -> DataFrame:
         if n_held:
             yield sketch.sent(held)
 
-    return sketch.counted(docs.mapInArrow(run, sketch.DDL))
+    return sketch.counted(docs.mapInArrow(tidied(run), sketch.DDL))
 
 
 def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction) -> DataFrame:
@@ -132,7 +132,7 @@ def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction)
             if rows:
                 yield batch(schema, list(map(list, zip(*rows))))
 
-    return docs.mapInArrow(run, "digest binary, n long, prefix long, k1 long, k2 long, tokens binary")
+    return docs.mapInArrow(tidied(run), "digest binary, n long, prefix long, k1 long, k2 long, tokens binary")
 
 
 _GROUP = pa.schema([("gid", pa.binary()), ("members", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("first", pa.binary())])
@@ -163,7 +163,7 @@ def _grouped(sets: DataFrame) -> DataFrame:
         if held:
             yield group()
 
-    return sets.repartitionByRange("k1", "k2", "digest").sortWithinPartitions("k1", "k2", "digest").mapInArrow(run, _GROUP_DDL)
+    return sets.repartitionByRange("k1", "k2", "digest").sortWithinPartitions("k1", "k2", "digest").mapInArrow(tidied(run), _GROUP_DDL)
 
 
 def _met(groups: DataFrame, t: Fraction) -> DataFrame:
@@ -217,8 +217,8 @@ def _met(groups: DataFrame, t: Fraction) -> DataFrame:
             both = [sorted((weights[i], weights[j])) for i, j in zip(part // len(gids), part % len(gids))]
             yield batch(pairs, [[x[1] for x, _ in both], [y[1] for _, y in both]])
 
-    dealt = groups.select("gid", "sizes", "first", F.octet_length("tokens").cast("long")).mapInArrow(deal, "bucket int, gid binary, least long, most long, weight long, tokens binary")
-    return dealt.repartition("bucket").mapInArrow(meet, "a binary, b binary").distinct()
+    dealt = groups.select("gid", "sizes", "first", F.octet_length("tokens").cast("long")).mapInArrow(tidied(deal), "bucket int, gid binary, least long, most long, weight long, tokens binary")
+    return dealt.repartition("bucket").mapInArrow(tidied(meet), "a binary, b binary").distinct()
 
 
 def tile_links(one: tuple, two: tuple, t: Fraction) -> list[tuple[bytes, bytes]]:
@@ -277,7 +277,7 @@ def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
 
     side = lambda s: groups.select(F.col("gid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*(f"{s}_{c}" for s in "ab" for c in columns))
-    return both.mapInArrow(run, "a binary, b binary").union(groups.where(F.octet_length("sizes") > 8).select(*columns).mapInArrow(within, "a binary, b binary"))
+    return both.mapInArrow(tidied(run), "a binary, b binary").union(groups.where(F.octet_length("sizes") > 8).select(*columns).mapInArrow(tidied(within), "a binary, b binary"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Encoder, Vocabulary
-from lodestone.llm.common import batch
+from lodestone.llm.common import batch, tidied
 
 #: Ids in a block: 16 MB as 32-bit numbers, 1024 windows of 4096.
 BLOCK = 1 << 22
@@ -121,4 +121,4 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: st
             yield packed(docs, following)[0]
 
     columns = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return columns.mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return columns.mapInArrow(tidied(run), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

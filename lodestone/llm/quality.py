@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, utf8
+from lodestone.llm.common import batch, tidied, utf8
 
 #: Weight of the diagonal and of the mean variance in a class's covariance, and of the log-odds in a score.
 TO_DIAGONAL, TO_SPHERE, SHARPNESS = 0.1, 0.02, 0.25
@@ -111,7 +111,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             x = np.array([statistics(t) for t in utf8(b.column(1))]).reshape(-1, len(STATISTICS))
             yield batch(schema, [b.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(STATISTICS)))])
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def fit(statistics_of: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model:
@@ -136,7 +136,7 @@ def scored(statistics_of: DataFrame, model: Model) -> DataFrame:
             x = np.column_stack([b.column(s).to_numpy() for s in STATISTICS]) if b.num_rows else np.zeros((0, len(STATISTICS)))
             yield batch(schema, [b.column("doc_id"), pa.array(model.scores(x))])
 
-    out = statistics_of.mapInArrow(run, "doc_id long, score double")
+    out = statistics_of.mapInArrow(tidied(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -148,4 +148,4 @@ def keep(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             x = np.array([statistics(t) for t in utf8(b.column(text_col))]).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(model.scores(x) >= THRESHOLD))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

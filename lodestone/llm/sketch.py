@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lodestone.llm.common import batch, shared_dir, stored
+from lodestone.llm.common import _releases, batch, shared_dir, stored, tidied
 
 SEGMENT_BITS, REST_BITS = 12, 28
 SEGMENTS = 1 << SEGMENT_BITS
@@ -86,11 +86,12 @@ def counted(rows: DataFrame, slot_bits: int = SLOT_BITS, levels: tuple[int, ...]
         for s, payloads in held.items():
             yield batch(SCHEMA, [[s], [_levels(payloads, slot_bits, levels)], [None], [None], [None]])
 
-    return rows.repartition("segment").mapInArrow(run, DDL)
+    return rows.repartition("segment").mapInArrow(tidied(run), DDL)
 
 
-#: Levels that a Python worker has unpacked: those of the last two broadcasts.
+#: Levels that a Python worker has unpacked, until its task ends.
 _unpacked: dict[int, np.ndarray] = {}
+_releases.append(_unpacked.clear)
 
 
 class Levels:
@@ -107,8 +108,6 @@ class Levels:
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if self.key not in _unpacked:
-            while len(_unpacked) > 1:
-                _unpacked.pop(next(iter(_unpacked)))
             _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint8)
         slots = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         return (_unpacked[self.key][slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
@@ -146,8 +145,8 @@ def parted(df: DataFrame, id_col: str, ids: DataFrame, packed_col: str | None =
                     b = pa.RecordBatch.from_arrays([*columns, packed], names=[*b.schema.names, "__packed"])
                 yield b
 
-        return df.mapInArrow(run, StructType([*df.schema.fields, StructField("__packed", BinaryType())]) if packed_col else df.schema)
+        return df.mapInArrow(tidied(run), StructType([*df.schema.fields, StructField("__packed", BinaryType())]) if packed_col else df.schema)
 
     distinct = ids.toDF("id").where(F.col("id").isNotNull()).distinct()
-    held = Levels(stored(counted(distinct.mapInArrow(send, DDL), levels=(1, 2, 3)), f"{shared_dir(df.sparkSession)}/ids"))
+    held = Levels(stored(counted(distinct.mapInArrow(tidied(send), DDL), levels=(1, 2, 3)), f"{shared_dir(df.sparkSession)}/ids"))
     return split(True), split(False)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, utf8
+from lodestone.llm.common import batch, shared_dir, stored, tidied, utf8
 from lodestone.llm.sketch import mixed
 
 LENGTH, K = 50, 32
@@ -136,7 +136,7 @@ def _texts_surveyed(docs: DataFrame) -> DataFrame:
         if held:
             yield sketch.sent(held)
 
-    return sketch.counted(docs.select("text").mapInArrow(run, sketch.DDL))
+    return sketch.counted(docs.select("text").mapInArrow(tidied(run), sketch.DDL))
 
 
 def _perhaps_copied(docs: DataFrame, whole: sketch.Levels) -> DataFrame:
@@ -151,7 +151,7 @@ def _perhaps_copied(docs: DataFrame, whole: sketch.Levels) -> DataFrame:
             if some:
                 yield batch(schema, [b.column(0).take(pa.array(use)), [zlib.crc32(t) for t in some], [hashlib.blake2b(t, digest_size=16).digest() for t in some], some])
 
-    return docs.mapInArrow(run, "doc_id long, tag long, digest binary, text binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, tag long, digest binary, text binary")
 
 
 def _copied(texts: list[bytes], whole: sketch.Levels | None) -> np.ndarray:
@@ -181,7 +181,7 @@ def _surveyed(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels) -> DataF
 
         return run
 
-    rows = docs.select("text").mapInArrow(over(whole), sketch.DDL).union(firsts.select("text").mapInArrow(over(None), sketch.DDL))
+    rows = docs.select("text").mapInArrow(tidied(over(whole)), sketch.DDL).union(firsts.select("text").mapInArrow(tidied(over(None)), sketch.DDL))
     return sketch.counted(rows, SLOT_BITS)
 
 
@@ -260,7 +260,7 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
 
         return run
 
-    one, two = (x.select("doc_id", "text").mapInArrow(over(skip), "bucket int, payload binary") for x, skip in ((docs, whole), (firsts, None)))
+    one, two = (x.select("doc_id", "text").mapInArrow(tidied(over(skip)), "bucket int, payload binary") for x, skip in ((docs, whole), (firsts, None)))
     return one.union(two)
 
 
@@ -447,7 +447,7 @@ def _settled(dealt: DataFrame) -> DataFrame:
         if (sent := sketch.sent(several)) is not None:
             yield sent
 
-    return sketch.counted(dealt.repartition("bucket").mapInArrow(run, sketch.DDL), levels=(1, 2, 3))
+    return sketch.counted(dealt.repartition("bucket").mapInArrow(tidied(run), sketch.DDL), levels=(1, 2, 3))
 
 
 def _searched(dealt: DataFrame) -> DataFrame:
@@ -458,7 +458,7 @@ def _searched(dealt: DataFrame) -> DataFrame:
         parts, payloads = _parts([bucket.open_spans() for bucket in _buckets(batches, True)])
         yield batch(schema, [pa.array(parts, pa.int32()), payloads])
 
-    return dealt.repartition("bucket").mapInArrow(run, "part int, payload binary")
+    return dealt.repartition("bucket").mapInArrow(tidied(run), "part int, payload binary")
 
 
 def _gathered(parts: DataFrame) -> DataFrame:
@@ -476,7 +476,7 @@ def _gathered(parts: DataFrame) -> DataFrame:
             a, z = edges[at : min(at + 10_000, len(edges) - 1)], edges[at + 1 : at + 10_001]
             yield batch(out, [rows[a, 0], rows[a, 1], [merged(rows[i:j, 2:]).tobytes() for i, j in zip(a, z)]])
 
-    return parts.repartition("part").mapInArrow(gather, "doc_id long, tag long, spans binary")
+    return parts.repartition("part").mapInArrow(tidied(gather), "doc_id long, tag long, spans binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -556,7 +556,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield batch(schema, [b.column(0), [len(x[0]) for x in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
 
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return with_spans(docs).mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
@@ -575,4 +575,4 @@ def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 columns[at] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return with_spans(df, id_col, text_col).mapInArrow(run, schema)
+    return with_spans(df, id_col, text_col).mapInArrow(tidied(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch
+from lodestone.llm.common import batch, tidied
 
 ROUNDS = 8
 #: Classes of characters; a surrogate takes each from the class of the original.
@@ -213,7 +213,7 @@ def replaced(df: DataFrame, key: bytes, text_col: str = "text", count_col: str |
         from pyspark.sql.types import LongType, StructType
 
         schema = StructType([*schema.fields]).add(count_col, LongType())
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def entities(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -227,7 +227,7 @@ def entities(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             if rows:
                 yield batch(schema, list(map(list, zip(*rows))))
 
-    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "kind string, original string, surrogate string").distinct()
+    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(tidied(run), "kind string, original string, surrogate string").distinct()
 
 
 def clashes(entity_table: DataFrame) -> DataFrame:

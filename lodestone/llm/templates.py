@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, shared_dir, stored
+from lodestone.llm.common import batch, shared_dir, stored, tidied
 from lodestone.llm.sketch import mixed
 
 TOKEN = re.compile(
@@ -151,7 +151,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             vectors = mixed(mixed(np.array(keys, np.uint64)) ^ np.array(counts, np.uint64)).view(np.int64)
             yield batch(schema, [hosts, tokens, pa.array(vectors)])
 
-    return pages.select("host", "page_id", "url", "html").mapInArrow(run, "host string, token long, vector long")
+    return pages.select("host", "page_id", "url", "html").mapInArrow(tidied(run), "host string, token long, vector long")
 
 
 def deduced(pages: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def extracted(df: DataFrame) -> DataFrame:
             if rows:
                 yield batch(schema, list(map(list, zip(*rows))))
 
-    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(run, "page_id long, url string, text string, n_slots long")
+    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(tidied(run), "page_id long, url string, text string, n_slots long")
