@@ -100,7 +100,8 @@ def fingerprints_beside_next(df: DataFrame, id_col: str = "doc_id", text_col: st
     apart = F.lit(-(1 << 60)) - F.pmod(F.xxhash64("text"), F.lit(4096))
     dealt = docs.withColumn("bucket", F.coalesce(bucket, apart)).repartition("bucket")
     after = cyclic_successors(docs.select(bucket.alias("bucket")), "bucket")
-    firsts = dealt.where("doc_id is not null").groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("f"))
+    # no filter here: it would go below the exchange, and the texts would move twice; rows without an id have buckets that ``after`` lacks
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("f"))
     borders = after.join(firsts.select(F.col("bucket").alias("following"), F.col("f.text").alias("border")), "following").select("bucket", "border")
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     marked = dealt.withColumn("fingerprint", fingerprint(F.col("text"))).withColumns(
