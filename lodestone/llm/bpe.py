@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, tidied
+from lodestone.llm.common import _releases, batch, tidied
 
 #: White space as Unicode's White_Space property has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -29,8 +29,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: Words, and chunks, kept with their ids in each Python worker; beyond it the memory is emptied.
-REMEMBERED = 1 << 20
+#: Words, and runs of non-blank characters, that each Python worker keeps with their ids.
+REMEMBERED = 1 << 19
 
 
 def byte_symbols() -> list[str]:
@@ -89,46 +89,41 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
 
-class Words(dict):
-    """Words to their packed ids (little-endian unsigned 32-bit), merged when first met."""
+class Remembered(dict):
+    """Values made when first asked for. Of the last REMEMBERED at least half stay, those asked for of late."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = packed = struct.pack(f"<{len(ids := self.vocabulary.merged(word))}I", *ids)
-        return packed
-
-
-class Chunks(dict):
-    """Runs of non-blank characters to the packed ids of their words."""
-
-    def __init__(self, words: Words):
+    def __init__(self, make):
         super().__init__()
-        self.words = words
+        self.make = make
+        self.before: dict = {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, key):
         if len(self) > REMEMBERED // 2:
+            self.before = dict(self)
             self.clear()
-        words = self.words
-        if chunk.isalpha():
-            packed = words[chunk]
-        elif chunk[-1] in ".," and chunk[:-1].isalpha():
-            packed = words[chunk[:-1]] + words[chunk[-1]]
-        else:
-            packed = b"".join([words[w] for w in WORD.findall(chunk)])
-        self[chunk] = packed
-        return packed
+        value = self.before.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.by_word = Words(vocabulary)
-        self.by_chunk = Chunks(self.by_word)
+        self.by_word = Remembered(self._word)
+        self.by_chunk = Remembered(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.vocabulary.merged(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Of a run of non-blank characters."""
+        words = self.by_word
+        if chunk.isalpha():
+            return words[chunk]
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return words[chunk[:-1]] + words[chunk[-1]]
+        return b"".join([words[w] for w in WORD.findall(chunk)])
 
     def words(self, text: str) -> bytes:
         text = normalized(text)
@@ -151,6 +146,17 @@ class Encoder:
         return " ".join(map(self.vocabulary.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_encoders: dict[str, Encoder] = {}
+_releases.append(_encoders.clear)
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary file; what it remembers serves the worker's next tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(Vocabulary(path))
+    return _encoders[path]
+
+
 def _select(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
@@ -160,11 +166,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for b in batches:
             yield batch(schema, [b.column(0), [encoder.encode(t) for t in b.column(1).to_pylist()]])
 
-    return _select(df, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids binary")
+    return _select(df, id_col, text_col).mapInArrow(tidied(run, keep=True), "doc_id long, ids binary")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -172,11 +178,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for b in batches:
             yield batch(schema, [b.column(0), [encoder.decode(x or b"") for x in b.column(1).to_pylist()]])
 
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(tidied(run), "doc_id long, decoded string")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(tidied(run, keep=True), "doc_id long, decoded string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 64) -> DataFrame:
@@ -184,11 +190,11 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path))
+        encoder = encoder_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
                 ids = [encoder.encode(t) for t in b.column(1).to_pylist()]
                 yield batch(schema, [b.column(0), ids, [encoder.decode(x) for x in ids]])
 
-    return _select(df, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids binary, decoded string")
+    return _select(df, id_col, text_col).mapInArrow(tidied(run, keep=True), "doc_id long, ids binary, decoded string")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Encoder, Vocabulary
+from lodestone.llm.bpe import encoder_of
 from lodestone.llm.common import batch, tidied
 
 #: Ids in a block: 16 MB as 32-bit numbers, 1024 windows of 4096.
@@ -106,7 +106,7 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: st
         return batch(schema, list(map(list, zip(*rows)))), first + 1 + max(p[3] for p in pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, docs, held = Encoder(Vocabulary(path)), [], 0
+        encoder, docs, held = encoder_of(path), [], 0
         following = TaskContext.get().partitionId() << 36
         for b in batches:
             for doc_id, text in zip(b.column(0), b.column(1)):
@@ -121,4 +121,4 @@ def pack(df: DataFrame, path: str, end_id: int, capacity: int = 4096, id_col: st
             yield packed(docs, following)[0]
 
     columns = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return columns.mapInArrow(tidied(run), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return columns.mapInArrow(tidied(run, keep=True), "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
