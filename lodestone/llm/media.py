@@ -175,7 +175,7 @@ def stored_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             media = [as_png(t) for t in utf8(b.column(1))]
-            pages = [f'<article><p>Document</p><figure><img src="sha256:{hashlib.sha256(m).hexdigest()}"><figcaption>Text of document {d}</figcaption></figure></article>' for d, m in zip(b.column(0).to_pylist(), media)]
+            pages = [f'<article><p>Document</p><figure><img src="sha256:{hashlib.sha256(m).hexdigest()}"><figcaption>Text of the document</figcaption></figure></article>' for m in media]
             yield batch(schema, [b.column(0), pages, media])
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidied(run), "doc_id long, html string, media binary")

@@ -41,7 +41,8 @@ _NAME = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['-][^\W\d_]+)?"
 ENTITY = re.compile(
     "|".join(
         (
-            r"(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8,}|\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{20,})\b)",
+            r"(?P<secret>\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_+/=-]{8,}|\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{5,}){2})\b)",
+            r"(?P<hardware>(?<![\w:.-])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-]))",
             r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))",
@@ -52,7 +53,7 @@ ENTITY = re.compile(
         )
     )
 )
-_HINT = re.compile(r"[@0-9]")
+_HINT = re.compile(r"[@0-9]|eyJ|sk-|(?:[0-9A-Fa-f]{1,4}[:-]){5}")
 _KEYED = re.compile(r"(?i)(?:token|secret|password|passwd|key)\s*[=:]")
 _SECRET_VALUE = re.compile(r"[A-Za-z0-9_+/=-]+\Z")
 
@@ -142,6 +143,13 @@ class Surrogates:
             return self._digits(kind, text, len(code[1]) if code else 0)
         if kind == "ssn":
             return self._digits(kind, text)
+        if kind == "hardware":  # long network and hardware addresses: hexadecimal in the original's case
+            at = [i for i, c in enumerate(text) if c not in ":-"]
+            new = self._feistel(f"{kind}|{re.sub('[^:-]', 'x', text)}", [int(text[i], 16) for i in at], [16] * len(at))
+            out = list(text)
+            for i, v in zip(at, new):
+                out[i] = f"{v:X}" if text.isupper() else f"{v:x}"
+            return "".join(out)
         if kind == "card":
             digits = re.sub(r"\D", "", text)
             if luhn(digits):
