@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join, packing, quality, sketch, suffix_dedup, surrogates
-from lodestone.llm.common import shared_dir, stored, table
+from lodestone.llm.common import shared_dir, small_batches, stored, table
 
 #: A deployment passes a secret of its own.
 KEY = b"lodestone surrogate key"
@@ -39,11 +39,13 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data and secrets."""
+    small_batches(spark)
     return surrogates.replaced(docs, KEY).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, keep_ids=False).drop("ids")
 
 

@@ -10,8 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that tasks hand to Python at once; long texts make large batches.
+ROWS_AT_ONCE = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand ROWS_AT_ONCE rows to Python at once, unless it is set to fewer: rows here hold whole texts."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_AT_ONCE:
+        spark.conf.set(_BATCH, str(ROWS_AT_ONCE))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (a local test run) a temporary folder is made and set.
     """
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
@@ -30,16 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-#: Rows that tasks hand to Python at once; long texts make large batches.
-ROWS_AT_ONCE = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here. Python gets ``rows`` rows at once."""
     spark = df.sparkSession
+    small_batches(spark)
     before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(_BATCH, str(min(rows, int(before))))
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
@@ -55,16 +63,21 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def tidied(run):
+def tidied(run, keep: bool = False):
     """A function for mapInArrow that sees ROWS_AT_ONCE rows at most at once, as texts may be long, and
-    gives its worker's memory back when a task ends, as idle workers stay for a while."""
+    gives its worker's memory back when a task ends, as idle workers stay for a while. With ``keep``
+    what may serve the worker's next task stays until a task without it comes."""
 
     def go(batches):
+        if not keep:
+            for release in _releases:
+                release()
         try:
             yield from run(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
         finally:
-            for release in _releases:
-                release()
+            if not keep:
+                for release in _releases:
+                    release()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -72,7 +85,7 @@ def tidied(run):
     return go
 
 
-#: What else is released when a task ends.
+#: What else is released when a task starts and ends.
 _releases: list = []
 
 

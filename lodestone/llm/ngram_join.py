@@ -287,6 +287,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     surveyed = stored(_surveyed(docs, words), f"{path}/surveyed")
     levels = sketch.Levels(surveyed)
     sets = stored(_open_sets(docs, levels, words, threshold).dropDuplicates(["digest"]), f"{path}/sets")
+    levels.done()
     groups = stored(_grouped(sets), f"{path}/groups")
     links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links", rows=TILES)
     roots = components(links, path)

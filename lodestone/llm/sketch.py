@@ -106,6 +106,10 @@ class Levels:
         self.key = uuid.uuid4().int
         self.packed = counted_rows.sparkSession.sparkContext.broadcast(zlib.compress(packed, 1))
 
+    def done(self) -> None:
+        """No task will ask any more: workers and executors forget the levels."""
+        self.packed.unpersist()
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if self.key not in _unpacked:
             _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint8)

@@ -501,7 +501,10 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     searched = _searched(_dealt(docs, least, whole, several, bits, True))
     found = _gathered(settled.where("segment < 0").select((-1 - F.col("segment")).alias("part"), "payload").union(searched))
     copied = copies.join(least.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id > least").select("doc_id", "tag").distinct()
-    return stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
+    out = stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
+    for x in (whole, levels, several):
+        x.done()
+    return out
 
 
 def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
