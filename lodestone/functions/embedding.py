@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -38,6 +38,24 @@ class HashingEmbedder:
         return out
 
 
+class LazyEmbedder:
+    """An embedder that a worker makes at its first batch; only the factory travels to the workers."""
+
+    def __init__(self, model: str, dimension: int, factory: Callable[[], Embedder]):
+        self.model, self.dimension, self.factory = model, dimension, factory
+        self._made: Embedder | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_made": None}
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        if self._made is None:
+            self._made = self.factory()
+        return self._made.embed(texts)
+
+
 def embedded(df: DataFrame, embedder: Embedder, text: str = "text", into: str = "vector") -> DataFrame:
     """df with a vector of each text; the embedder is made ready once in each worker, at its first batch."""
     dimension = embedder.dimension

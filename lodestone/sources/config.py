@@ -113,3 +113,22 @@ def dashboard_sections(text: str, types: list[DocumentType]) -> list[dict]:
             error = f"{kind} has no categories"
         out.append({"title": s.get("title"), "doc_type": kind, "statuses": s.get("statuses") or [], "categories": s.get("categories") or [], "error": error})
     return out
+
+
+def block(text: str, required: tuple[str, ...] = ()) -> dict:
+    """A YAML block of a document: its fields, inputs as texts, or an error."""
+    try:
+        data = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        return {"error": str(e).splitlines()[0]}
+    if not isinstance(data, dict):
+        return {"error": "the block isn't a mapping"}
+    if missing := [k for k in required if not data.get(k)]:
+        return {"error": f"{missing[0]} is missing"}
+    inputs = data.get("inputs") or {}
+    return {**data, "inputs": {str(k): "" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in inputs.items()} if isinstance(inputs, dict) else {}, "error": None}
+
+
+def resolved_profile(name: str, profiles: dict[str, list[str]], agents: dict[str, dict]) -> list[dict]:
+    """A profile's agents with their definitions, unknown ones left out."""
+    return [{"name": a, **agents[a], "available": bool(agents[a].get("command"))} for a in profiles.get(name, []) if a in agents]
