@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that tasks hand to Python at once; long texts make large batches.
 ROWS_AT_ONCE = 1000
+#: Bytes that a task gathers before it writes a row group: the default of 128 MB, twice, is much of a small executor.
+ROW_GROUP = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -49,12 +52,18 @@ def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(rows, int(before))))
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver drop what is no longer referred to: Spark deletes the shuffle files of tables that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a bound variable.
 
@@ -69,6 +78,7 @@ def tidied(run, keep: bool = False):
     what may serve the worker's next task stays until a task without it comes."""
 
     def go(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # what malloc_trim() reaches
         if not keep:
             for release in _releases:
                 release()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, tidied, utf8
+from lodestone.llm.common import batch, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
@@ -285,11 +285,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     path = shared_dir(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     surveyed = stored(_surveyed(docs, words), f"{path}/surveyed")
+    sweep(df.sparkSession)
     levels = sketch.Levels(surveyed)
     sets = stored(_open_sets(docs, levels, words, threshold).dropDuplicates(["digest"]), f"{path}/sets")
     levels.done()
+    sweep(df.sparkSession)
     groups = stored(_grouped(sets), f"{path}/groups")
     links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links", rows=TILES)
+    sweep(df.sparkSession)
     roots = components(links, path)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     own = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))

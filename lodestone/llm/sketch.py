@@ -117,12 +117,13 @@ class Levels:
         return (_unpacked[self.key][slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
 
 
-def parted(df: DataFrame, id_col: str, ids: DataFrame, packed_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def parted(df: DataFrame, id_col: str, ids: DataFrame, packed_col: str | None = None, then=None, schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose id may be among ids (one column of longs), and those whose id surely isn't.
 
     The former are few more than needed, so a join with them moves few rows. Null ids are among the
     latter. With packed_col, that text moves compressed: the former have it in a further column
-    __packed (binary) and null in its place; the latter have null in __packed.
+    __packed (binary) and null in its place; the latter have null in __packed. With ``then``, a function
+    of batches that gives ``schema``, the latter go through it in the same pass.
     """
     token = lambda x: mixed(x.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
@@ -143,12 +144,14 @@ def parted(df: DataFrame, id_col: str, ids: DataFrame, packed_col: str | None =
                     packed = pa.nulls(b.num_rows, pa.binary())
                     columns = list(b.columns)
                     if wanted:
-                        squeeze = zstandard.ZstdCompressor(level=1).compress
+                        squeeze = zstandard.ZstdCompressor(level=3).compress
                         packed = pa.array([None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in columns[k].to_pylist()], pa.binary())
                         columns[k] = pa.nulls(b.num_rows, columns[k].type)
                     b = pa.RecordBatch.from_arrays([*columns, packed], names=[*b.schema.names, "__packed"])
-                yield b
+                yield then(b) if then and not wanted else b
 
+        if then and not wanted:
+            return df.mapInArrow(tidied(run), schema)
         return df.mapInArrow(tidied(run), StructType([*df.schema.fields, StructField("__packed", BinaryType())]) if packed_col else df.schema)
 
     distinct = ids.toDF("id").where(F.col("id").isNotNull()).distinct()

@@ -40,14 +40,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, tidied, utf8
+from lodestone.llm.common import batch, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.sketch import mixed
 
 LENGTH, K = 50, 32
 WINDOWS = LENGTH - K + 1
-SLOT_BITS = 27
+SLOT_BITS = 26
 #: Windows of a segment, bytes that are looked through at once, bytes of segments a task holds before sending, bytes of a collection.
 LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 23, 1 << 18
 _BYTES = mixed(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -494,9 +496,12 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole = sketch.Levels(stored(_texts_surveyed(docs), f"{path}/texts"))
     copies = stored(_perhaps_copied(docs, whole), f"{path}/copies")
     least = stored(copies.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), f"{path}/firsts")
+    sweep(spark)
     levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS)
     bits = max(12, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    sweep(spark)
     settled = stored(_settled(_dealt(docs, least, whole, levels, bits, False)), f"{path}/settled")
+    sweep(spark)
     several = sketch.Levels(settled)
     searched = _searched(_dealt(docs, least, whole, several, bits, True))
     found = _gathered(settled.where("segment < 0").select((-1 - F.col("segment")).alias("part"), "payload").union(searched))
@@ -504,33 +509,35 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
     for x in (whole, levels, several):
         x.done()
+    sweep(spark)
     return out
 
 
-def with_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all columns, then __packed, __spans and __whole (what goes: packed spans, or everything).
+def _finished(df: DataFrame, id_col: str, text_col: str, then, schema: StructType) -> DataFrame:
+    """``then`` (of batches, see ``texts_of``) over all rows of df.
 
-    Only rows that may lose bytes move, and those have their text compressed in __packed (see ``text_of``).
+    Only rows that may lose bytes move, and those have their text compressed in a column __packed.
     """
     spans = removed(df, id_col, text_col)
-    here, rest = sketch.parted(df, id_col, spans.select("doc_id"), text_col)
-    there = spans.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
-    # texts of one id are told apart by __tag; they are few, so the check comes after the join
-    joined = here.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(there.groupBy("__id").agg(F.collect_list(F.struct("__tag", "__spans", "__whole")).alias("__by_tag")), "__id", "left").drop("__id")
-    return joined.union(rest.withColumn("__by_tag", F.lit(None).cast(joined.schema["__by_tag"].dataType)))
+    here, rest = sketch.parted(df, id_col, spans.select("doc_id"), text_col, then, schema)
+    # texts of one id are told apart by their tags
+    there = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("tag", "spans", "whole")).alias("__by_tag"))
+    joined = here.withColumn("__id", F.col(f"`{id_col}`").cast("long")).join(there, "__id", "left").drop("__id")
+    return joined.mapInArrow(tidied(lambda batches: map(then, batches)), schema).union(rest)
 
 
 def texts_of(b: pa.RecordBatch, text_col: str) -> list[tuple[bytes, bytes | None, bool]]:
-    """Text, spans and whole of rows of ``with_spans``."""
+    """Text, spans (packed) and whether all goes, of rows of df with __packed and perhaps __by_tag."""
     out, expand = [], zstandard.ZstdDecompressor().decompress
-    for text, packed, by_tag in zip(b.column(text_col).to_pylist(), b.column("__packed").to_pylist(), b.column("__by_tag").to_pylist()):
+    tags = b.column("__by_tag").to_pylist() if "__by_tag" in b.schema.names else [None] * b.num_rows
+    for text, packed, by_tag in zip(b.column(text_col).to_pylist(), b.column("__packed").to_pylist(), tags):
         if packed is None:
             out.append(((text or "").encode("utf-8", "surrogatepass"), None, False))
             continue
         raw = expand(packed)
         tag = zlib.crc32(raw)
-        mine = next((x for x in by_tag or () if x["__tag"] == tag), None)
-        out.append((raw, mine and mine["__spans"], bool(mine and mine["__whole"])))
+        mine = next((x for x in by_tag or () if x["tag"] == tag), None)
+        out.append((raw, mine and mine["spans"], bool(mine and mine["whole"])))
     return out
 
 
@@ -552,30 +559,28 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), kept_sha256."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = texts_of(b, "text")
-            rest = [kept(*x) for x in texts]
-            yield batch(schema, [b.column(0), [len(x[0]) for x in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
+    def then(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(b, "text")
+        rest = [kept(*x) for x in texts]
+        return batch(schema, [b.column("doc_id"), [len(x[0]) for x in texts], [r[1] for r in rest], [r[2] for r in rest], [r[0] for r in rest], [hashlib.sha256(r[0]).hexdigest() for r in rest]])
 
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return with_spans(docs).mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return _finished(docs, "doc_id", "text", then, from_arrow_schema(schema))
 
 
 def shortened(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """df with what stays of its texts; size_col, if named, gets their new sizes in characters. A character that lost some of its bytes goes whole."""
-    schema = df.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns, names = list(b.columns)[:-2], list(b.schema.names)[:-2]
-            k = names.index(text_col)
-            was = [t is None and p is None for t, p in zip(columns[k].to_pylist(), b.column("__packed").to_pylist())]
-            texts = [None if null else kept(*x)[0].decode("utf-8", "ignore") for null, x in zip(was, texts_of(b, text_col))]
-            columns[k] = pa.array(texts, b.schema.field(k).type)
-            if size_col:
-                at = names.index(size_col)
-                columns[at] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return with_spans(df, id_col, text_col).mapInArrow(tidied(run), schema)
+    names = df.columns
+
+    def then(b: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [b.column(c) for c in names]
+        k = names.index(text_col)
+        null = [t is None and p is None for t, p in zip(columns[k].to_pylist(), b.column("__packed").to_pylist())]
+        texts = [None if x else kept(*t)[0].decode("utf-8", "ignore") for x, t in zip(null, texts_of(b, text_col))]
+        columns[k] = pa.array(texts, columns[k].type)
+        if size_col:
+            at = names.index(size_col)
+            columns[at] = pa.array([None if t is None else len(t) for t in texts], columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return _finished(df, id_col, text_col, then, df.schema)
