@@ -59,9 +59,15 @@ def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Have the driver drop what is no longer referred to: Spark deletes the shuffle files of tables that are done."""
+    """Have the driver and the executors drop what is no longer referred to.
+
+    Spark then deletes the shuffle files of tables that are done, and an executor's heap makes room for
+    its Python workers. A few short tasks; where none of them runs on some executor, nothing is lost.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).agg(F.count("done")).collect()
 
 
 def let(value: Column, body) -> Column:

@@ -2,8 +2,8 @@
 
 Each task sends 40 bits of each token it has seen (once for each document), dealt by their first 12
 bits; the counts of the 40-bit values are exact, and every value that occurs twice or more raises
-its slot's level. The levels have one size (4**-1 byte a slot) whatever the input's, so they may be
-broadcast. They are used only to order tokens and to rule out those that occur once: a slot shared
+its slot's level. The levels have one size (a quarter of a byte a slot, or an eighth with one level)
+whatever the input's, so they may be broadcast. They are used only to order tokens and to rule out those that occur once: a slot shared
 by chance lets more through, never less.
 """
 
@@ -30,7 +30,7 @@ SLOT_BITS = 26
 #: Documents from which a level holds: 1 shared, 2 common, 3 frequent.
 LEVELS = (2, 17, 257)
 #: Tokens that a task holds before it sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 SCHEMA = pa.schema([("segment", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
 DDL = "segment int, payload binary, doc_id long, n long, digest binary"
@@ -68,6 +68,8 @@ def _levels(payloads: list[bytes], slot_bits: int, levels: tuple[int, ...]) -> b
     out = np.zeros(1 << (slot_bits - SEGMENT_BITS), np.uint8)
     for level, least in enumerate(levels, 1):
         out[slots[times >= least]] = level
+    if len(levels) == 1:
+        return np.packbits(out, bitorder="little").tobytes()
     out = out.reshape(-1, 4)
     return (out[:, 0] | out[:, 1] << 2 | out[:, 2] << 4 | out[:, 3] << 6).astype(np.uint8).tobytes()
 
@@ -97,9 +99,10 @@ _releases.append(_unpacked.clear)
 class Levels:
     """The levels of all segments, broadcast once, compressed."""
 
-    def __init__(self, counted_rows: DataFrame, slot_bits: int = SLOT_BITS):
-        self.slot_bits = slot_bits
-        packed = bytearray(1 << (slot_bits - 2))
+    def __init__(self, counted_rows: DataFrame, slot_bits: int = SLOT_BITS, one_bit: bool = False):
+        """one_bit: the rows were counted with one level."""
+        self.slot_bits, self.one_bit = slot_bits, one_bit
+        packed = bytearray(1 << (slot_bits - (3 if one_bit else 2)))
         width = len(packed) // SEGMENTS
         for r in counted_rows.where("segment >= 0").select("segment", "payload").toLocalIterator():
             packed[r[0] * width : (r[0] + 1) * width] = r[1]
@@ -114,6 +117,8 @@ class Levels:
         if self.key not in _unpacked:
             _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint8)
         slots = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        if self.one_bit:
+            return (_unpacked[self.key][slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
         return (_unpacked[self.key][slots >> 2] >> ((slots & 3) << 1).astype(np.uint8)) & 3
 
 

@@ -49,9 +49,9 @@ from lodestone.llm.sketch import mixed
 
 LENGTH, K = 50, 32
 WINDOWS = LENGTH - K + 1
-SLOT_BITS = 26
+SLOT_BITS = 28
 #: Windows of a segment, bytes that are looked through at once, bytes of segments a task holds before sending, bytes of a collection.
-LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 23, 1 << 18
+LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 22, 1 << 18
 _BYTES = mixed(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xC2B2AE3D27D4EB4F | 1
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
@@ -184,7 +184,7 @@ def _surveyed(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels) -> DataF
         return run
 
     rows = docs.select("text").mapInArrow(tidied(over(whole)), sketch.DDL).union(firsts.select("text").mapInArrow(tidied(over(None)), sketch.DDL))
-    return sketch.counted(rows, SLOT_BITS)
+    return sketch.counted(rows, SLOT_BITS, (2,))
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -497,7 +497,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     copies = stored(_perhaps_copied(docs, whole), f"{path}/copies")
     least = stored(copies.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), f"{path}/firsts")
     sweep(spark)
-    levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS)
+    levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS, one_bit=True)
     bits = max(12, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     sweep(spark)
     settled = stored(_settled(_dealt(docs, least, whole, levels, bits, False)), f"{path}/settled")
