@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join, packing, quality, sketch, suffix_dedup, surrogates
-from lodestone.llm.common import shared_dir, small_batches, stored, table
+from lodestone.llm.common import drop, shared_dir, small_batches, stored, sweep, table
 
 #: A deployment passes a secret of its own.
 KEY = b"lodestone surrogate key"
@@ -20,12 +20,16 @@ KEY = b"lodestone surrogate key"
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    statistics = stored(quality.measured(docs), f"{shared_dir(spark)}/statistics")
-    return quality.keep(docs, quality.fit(statistics, table(spark, sf_dir, "labels")))
+    sweep(spark)
+    path = f"{shared_dir(spark)}/statistics"
+    model = quality.fit(stored(quality.measured(docs), path), table(spark, sf_dir, "labels"))
+    drop(spark, path)
+    return quality.keep(docs, model)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group that n-gram Jaccard links join."""
+    sweep(spark)
     joined = ngram_join.join(docs)
     others = stored(joined.where("component_id <> doc_id").select("doc_id").distinct(), f"{shared_dir(spark)}/others")
     may, rest = sketch.parted(docs, "doc_id", others)
@@ -34,17 +38,20 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document of a smaller id has."""
+    sweep(spark)
     return suffix_dedup.shortened(docs, size_col="n_chars")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data and secrets."""
+    sweep(spark)
     small_batches(spark)
     return surrogates.replaced(docs, KEY).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
+    sweep(spark)
     small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096, keep_ids=False).drop("ids")
 

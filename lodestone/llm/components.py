@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, stored, tidied
+from lodestone.llm.common import batch, drop, stored, tidied
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -75,6 +75,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
         small = down.join(m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         links = stored(_thinned(small.where("a <> b").distinct()).distinct(), f"{path}/links-{k}")
         # unchanged stars: as many links, of the same nodes, to the same roots
+        drop(links.sparkSession, f"{path}/links-{k - 1}")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

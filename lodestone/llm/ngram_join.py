@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, sweep, tidied, utf8
+from lodestone.llm.common import batch, drop, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
@@ -292,6 +292,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     sweep(df.sparkSession)
     groups = stored(_grouped(sets), f"{path}/groups")
     links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links", rows=TILES)
+    drop(df.sparkSession, *(f"{path}/{x}" for x in ("sets", "groups", "pairs")))
     sweep(df.sparkSession)
     roots = components(links, path)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")

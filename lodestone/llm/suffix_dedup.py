@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, shared_dir, stored, sweep, tidied, utf8
+from lodestone.llm.common import batch, drop, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.sketch import mixed
 
 LENGTH, K = 50, 32
@@ -509,6 +509,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
     for x in (whole, levels, several):
         x.done()
+    drop(spark, *(f"{path}/{x}" for x in ("texts", "copies", "firsts", "levels", "settled")))
     sweep(spark)
     return out
 
