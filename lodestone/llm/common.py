@@ -95,12 +95,14 @@ def tidied(run, keep: bool = False):
         if not keep:
             for release in _releases:
                 release()
+            gc.collect()
         try:
             yield from run(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
         finally:
             if not keep:
                 for release in _releases:
                     release()
+            gc.collect()  # what is released may hold itself in cycles
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
