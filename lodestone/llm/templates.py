@@ -3,23 +3,24 @@
 A page is a sequence of tokens: tags with their path of open elements, and texts with theirs. Tokens
 of a host's pages that have the same occurrence vector (how often in which page) form an equivalence
 class; classes of two tokens or more that half of the host's pages (and two at least) share are
-valid. Their tags nest by their paths and make up the host's template; texts among them are part of
+valid. Rows of one host with equal HTML are one page here, so copies alone make no template. Their tags nest by their paths and make up the host's template; texts among them are part of
 it. What stands between a template's tags is a slot, named by the innermost template element around
 it. Of a page's slots those of the article are its main text: slots below an article or main element
 if there is one, else all slots but those that consist of links; never those below menus, headers,
 footers, sidebars, notices, adverts, forms or comments.
 
-An occurrence vector is kept as the exclusive or of a hash of (page, count) over the pages, so the
-classes come from one aggregation, whatever the size of a host.
+An occurrence vector is kept as the exclusive or of a hash of (page, count) over the distinct pages, so
+the classes come from aggregations alone, whatever the size of a host.
 
 Defined cases: null and empty HTML gives the empty text; a null address is a host of its own kind;
 a host of one page has no template (its elements bound the slots alone); repeated pages are
-extracted alike; damaged HTML ends open elements where the page ends; other columns are left out; an
+extracted alike, as if they stood there once; damaged HTML ends open elements where the page ends; other columns are left out; an
 empty table gives an empty one. Text is never cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -131,19 +132,19 @@ def host(url: Column) -> Column:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, vector (hash of page and count): a page's distinct tokens; token 0 stands for the page."""
+    """host, token, vector (hash of content and count): a page's distinct tokens; token 0 stands for the page."""
     schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("vector", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag_token = lru_cache(1 << 16)(_tag_token)
         for b in batches:
             hosts, tokens, keys, counts = [], [], [], []
-            for name, page, url, source in zip(*(c.to_pylist() for c in b.columns)):
+            for name, source in zip(*(c.to_pylist() for c in b.columns)):
                 p = Page(source)
                 seen = Counter(map(tag_token, p.tags))
                 seen.update(_text_token(x[0], x[1]) for x in p.texts if x and not x[3] and not x[1].isspace())
                 seen[0] = 1
-                key = _hash(f"{page} {url}")
+                key = int.from_bytes(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 hosts += [name] * len(seen)
                 tokens += seen.keys()
                 counts += seen.values()
@@ -151,7 +152,8 @@ def _occurrences(pages: DataFrame) -> DataFrame:
             vectors = mixed(mixed(np.array(keys, np.uint64)) ^ np.array(counts, np.uint64)).view(np.int64)
             yield batch(schema, [hosts, tokens, pa.array(vectors)])
 
-    return pages.select("host", "page_id", "url", "html").mapInArrow(tidied(run), "host string, token long, vector long")
+    # equal pages of a host give equal rows
+    return pages.select("host", "html").mapInArrow(tidied(run), "host string, token long, vector long").distinct()
 
 
 def deduced(pages: DataFrame) -> DataFrame:

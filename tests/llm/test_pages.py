@@ -80,6 +80,17 @@ def test_template_texts_go_where_no_article_is_marked(spark):
     assert len(learned) == 1 and templates._text_token("/html/body/div.x", "The same on all pages") in learned[0].template
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div class=x><h1>Title {n}</h1><p>Text {n} of it</p><p>More {n}</p></div></body></html>"
+    rows = [(0, "http://a/0", page.format(n=0)), (1, "http://a/1", page.format(n=0))]  # one page under two addresses
+    rows += [(2, "http://b/2", page.format(n=2))] * 3  # repeated rows
+    rows += [(3, None, page.format(n=3)), (4, None, page.format(n=3))]  # no address
+    rows += [(k, f"http://c/{k}", page.format(n=max(k, 6))) for k in range(5, 9)]  # copies are half of a host
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    n = lambda k: {1: 0, 4: 3, 5: 6}.get(k, k)
+    assert sorted((r.page_id, r.text) for r in templates.extracted(pages).collect()) == sorted((k, f"Title {n(k)} Text {n(k)} of it More {n(k)}") for k, _, _ in rows)
+
+
 def test_equivalence_classes_by_brute_force(spark):
     pages = [(i, "http://a/", f"<div><p>x</p>{'<i>t</i>' * (i % 3)}<b>{i}</b></div>") for i in range(9)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("a"))
