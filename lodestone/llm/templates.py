@@ -5,9 +5,14 @@ of a host's pages that have the same occurrence vector (how often in which page)
 class; classes of two tokens or more that half of the host's pages (and two at least) share are
 valid. Rows of one host with equal HTML are one page here, so copies alone make no template. Their tags nest by their paths and make up the host's template; texts among them are part of
 it. What stands between a template's tags is a slot, named by the innermost template element around
-it. Of a page's slots those of the article are its main text: slots below an article or main element
-if there is one, else all slots but those that consist of links; never those below menus, headers,
-footers, sidebars, notices, adverts, forms or comments.
+it. Of a page's slots those of the article are its main text: all slots but those that consist of
+links, and only those below an article or main element if there is one; never those below menus,
+headers, footers, sidebars, notices, adverts, forms or comments.
+
+Texts below an article or main element are counted like all others, but as that mark speaks for them,
+more has to speak against: a class there needs ARTICLE_PAGES pages, or NAMED_PAGES below an element that
+has a class, id or role; a block goes only if all its texts are template; a slot of links goes only if
+its element belongs to the template; and an article that would go as a whole stays.
 
 An occurrence vector is kept as the exclusive or of a hash of (page, count) over the distinct pages, so
 the classes come from aggregations alone, whatever the size of a host.
@@ -53,6 +58,8 @@ APART_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
 MAIN = frozenset(("article", "main"))
 #: Least number and share of a host's pages for a valid class, its least size, and the template size up to which it is broadcast.
 PAGES, SHARE, SIZE, BROADCAST_BYTES = 2, 0.5, 2, 16 << 20
+#: Least number of pages for texts in an article: near copies of an article on a small host are no template.
+ARTICLE_PAGES, NAMED_PAGES = 5, 3
 
 
 @lru_cache(1 << 14)
@@ -68,8 +75,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tags: list[str] = []
-        self.texts: list[tuple[str, str, bool, bool, bool] | None] = []  # path, text, apart, in the article, linked
-        stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]  # name, path, apart, in the article, link
+        self.texts: list[tuple[str, str, bool, str, bool] | None] = []  # path, text, apart, the path of the article it is in, linked
+        stack: list[tuple[str, str, bool, str, bool]] = [("", "", False, "", False)]  # name, path, apart, path of the article, link
         for m in TOKEN.finditer(source):
             kind = m.lastgroup
             if kind == "text":
@@ -107,7 +114,7 @@ class Page:
             path = f"{path}/{element}"
             self.tags.append(path)
             if name not in VOID and not m["attrs"].endswith("/"):
-                stack.append((name, path, apart or own, main or container and not apart, link or name == "a"))
+                stack.append((name, path, apart or own, main or (path if container and not apart else ""), link or name == "a"))
 
 
 def _hash(text: str) -> int:
@@ -123,6 +130,18 @@ def _tag_token(path: str) -> int:
     return _token(0, path)
 
 
+def _block(path: str) -> str:
+    """The innermost element of a path that is not inline."""
+    while path and path.rpartition("/")[2].partition(".")[0] in INLINE:
+        path = path.rpartition("/")[0]
+    return path
+
+
+def _least(path: str, main: str) -> int:
+    """On how many pages a text has to stand for a valid class."""
+    return PAGES if not main else NAMED_PAGES if "." in path[len(main) :] else ARTICLE_PAGES
+
+
 def _text_token(path: str, text: str) -> int:
     return _token(1, path + "\0" + " ".join(text.split()))
 
@@ -132,35 +151,40 @@ def host(url: Column) -> Column:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, vector (hash of content and count): a page's distinct tokens; token 0 stands for the page."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("vector", pa.int64())])
+    """host, token, least (pages for a valid class), vector (hash of content and count): a page's distinct tokens; token 0 stands for the page."""
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("least", pa.int32()), ("vector", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag_token = lru_cache(1 << 16)(_tag_token)
         for b in batches:
-            hosts, tokens, keys, counts = [], [], [], []
+            hosts, tokens, leasts, keys, counts = [], [], [], [], []
             for name, source in zip(*(c.to_pylist() for c in b.columns)):
                 p = Page(source)
                 seen = Counter(map(tag_token, p.tags))
-                seen.update(_text_token(x[0], x[1]) for x in p.texts if x and not x[3] and not x[1].isspace())
+                least = {}
+                for x in p.texts:
+                    if x and not x[1].isspace():
+                        seen[t := _text_token(x[0], x[1])] += 1
+                        least[t] = _least(x[0], x[3])
                 seen[0] = 1
                 key = int.from_bytes(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 hosts += [name] * len(seen)
                 tokens += seen.keys()
+                leasts += [least.get(t, PAGES) for t in seen]
                 counts += seen.values()
                 keys += [key] * len(seen)
             vectors = mixed(mixed(np.array(keys, np.uint64)) ^ np.array(counts, np.uint64)).view(np.int64)
-            yield batch(schema, [hosts, tokens, pa.array(vectors)])
+            yield batch(schema, [hosts, tokens, leasts, pa.array(vectors)])
 
     # equal pages of a host give equal rows
-    return pages.select("host", "html").mapInArrow(tidied(run), "host string, token long, vector long").distinct()
+    return pages.select("host", "html").mapInArrow(tidied(run), "host string, token long, least int, vector long").distinct()
 
 
 def deduced(pages: DataFrame) -> DataFrame:
     """host, template: the tokens of each host's valid classes."""
-    met = _occurrences(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"))
+    met = _occurrences(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("least").alias("least"))
     whole = met.where("token = 0").select("host", F.col("pages").alias("of"))
-    frequent = met.where((F.col("token") != 0) & (F.col("pages") >= PAGES)).join(whole, "host").where(F.col("pages") >= F.col("of") * SHARE)
+    frequent = met.where((F.col("token") != 0) & (F.col("pages") >= F.col("least"))).join(whole, "host").where(F.col("pages") >= F.col("of") * SHARE)
     classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= SIZE)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
@@ -181,11 +205,30 @@ def slots(source: str, template: frozenset[int], tag_token=_tag_token) -> list[t
     has_main = any(x and x[3] and not x[2] and not x[1].isspace() for x in page.texts)
     linked: Counter = Counter()
     size: Counter = Counter()
-    if not has_main:
-        for x in page.texts:
-            if x and not x[2]:
-                size[slot(x[0])] += len(x[1].strip())
-                linked[slot(x[0])] += len(x[1].strip()) * x[4]
+    # which texts are the page's own and not the template's; in an article whole blocks only
+    own: list[bool] = []
+    known = 0
+    for x in [*page.texts, None]:
+        if x is None:
+            if has_main and any(own[known:]):
+                own[known:] = [True] * (len(own) - known)
+            own.append(False)
+            known = len(own)
+            continue
+        path, text, apart, main, link = x
+        own.append(not apart and not text.isspace() and (not has_main or bool(main)) and not (template and _text_token(path, text) in template))
+        if not apart:
+            at = slot(_block(path))
+            size[at] += len(text.strip())
+            linked[at] += len(text.strip()) * link
+
+    def links(path: str, main: str) -> bool:
+        """Whether a text's slot consists of links; in an article only elements of the template below it."""
+        at = slot(_block(path))
+        return 2 * linked[at] > size[at] and (not main or at.startswith(main + "/") and bool(template) and tag_token(at) in template)
+
+    # an article of nothing but what other pages have too is no template
+    whole = has_main and not any(mine and x[3] and not x[2] and not links(x[0], x[3]) for x, mine in zip(page.texts, own) if x)
     out: list[tuple[str, list[str]]] = []
     block: list[str] = []
     where = ""
@@ -199,18 +242,17 @@ def slots(source: str, template: frozenset[int], tag_token=_tag_token) -> list[t
                 out.append((where, [text]))
         block = []
 
-    for x in page.texts:
+    for x, mine in zip(page.texts, own):
         if x is None:
             end()
             continue
         path, text, apart, main, _ = x
         if apart or has_main and not main:
             continue
-        at = slot(path)
-        if not has_main and not text.isspace() and (2 * linked[at] > size[at] or template and _text_token(path, text) in template):
+        if not whole and not text.isspace() and (not mine or links(path, main)):
             continue
         if not block:
-            where = at
+            where = slot(path)
         block.append(text)
     end()
     return out

@@ -80,6 +80,23 @@ def test_template_texts_go_where_no_article_is_marked(spark):
     assert len(learned) == 1 and templates._text_token("/html/body/div.x", "The same on all pages") in learned[0].template
 
 
+def test_the_template_decides_inside_articles_too(spark):
+    page = """<html><body><article><h1>Title {n}</h1><p>Own <b>bold</b> text {n}, see <a href="/x">{n}</a></p><p>Written by our staff</p>
+<div class="kick">Tell your <a href="/f">friends</a></div><ul class="more"><li><a href="/{n}">Page {n}</a></ul></article></body></html>"""
+    rows = [(k, f"http://a/{k}", page.format(n=k)) for k in range(6)]
+    rows += [(k, f"http://b/{k}", page.format(n=k)) for k in (10, 11, 12)]
+    rows += [(20, "http://c/20", page.format(n=20))]
+    copy = "<html><body><i>{n}</i><article><p>One text at many addresses</p></article></body></html>"
+    rows += [(k, f"http://d/{k}", copy.format(n=k)) for k in range(30, 36)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extracted(pages).collect()}
+    own = lambda k: f"Title {k} Own bold text {k}, see {k}"
+    assert all(got[k] == own(k) for k in range(6))
+    assert all(got[k] == f"{own(k)} Written by our staff" for k in (10, 11, 12))
+    assert got[20] == f"{own(20)} Written by our staff Tell your friends Page 20"
+    assert all(got[k] == "One text at many addresses" for k in range(30, 36))
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div class=x><h1>Title {n}</h1><p>Text {n} of it</p><p>More {n}</p></div></body></html>"
     rows = [(0, "http://a/0", page.format(n=0)), (1, "http://a/1", page.format(n=0))]  # one page under two addresses
