@@ -7,7 +7,11 @@ valid. Rows of one host with equal HTML are one page here, so copies alone make
 it. What stands between a template's tags is a slot, named by the innermost template element around
 it. Of a page's slots those of the article are its main text: all slots but those that consist of
 links, and only those below an article or main element if there is one; never those below menus,
-headers, footers, sidebars, notices, adverts, forms or comments.
+headers, footers, sidebars, notices, adverts, forms or comments. Elements are such by their name, or by
+a class, id or role that is a listed word or made of listed words alone ("cookie-notice", not
+"has-sidebar"). The names of html, body and headings decide nothing, nor those of paragraphs, of a header
+and ids of sections in an article: template and links decide there. A form, header or element of a listed
+class around a page's only article is no such element.
 
 Texts below an article or main element are counted like all others, but as that mark speaks for them,
 more has to speak against: a class there needs ARTICLE_PAGES pages, or NAMED_PAGES below an element that
@@ -48,7 +52,7 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,6 +60,8 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 APART = frozenset("head nav header footer aside form button select dialog menu".split())
 APART_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related promo newsletter subscribe popup modal comment comments reply replies respond disqus footer header masthead pagination widget login search".split())
 MAIN = frozenset(("article", "main"))
+#: What may stand around a whole page, and what stands in the text whatever it is called.
+WRAPS, HEADINGS = frozenset(("form", "header")), frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Least number and share of a host's pages for a valid class, its least size, and the template size up to which it is broadcast.
 PAGES, SHARE, SIZE, BROADCAST_BYTES = 2, 0.5, 2, 16 << 20
 #: Least number of pages for texts in an article: near copies of an article on a small host are no template.
@@ -63,11 +69,23 @@ ARTICLE_PAGES, NAMED_PAGES = 5, 3
 
 
 @lru_cache(1 << 14)
-def _element(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """An element's name in paths, whether it stands apart from the article, whether it is its container."""
-    words = [w for m in _NAMED.finditer(attrs) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()) if w] if "=" in attrs else []
-    apart = name in APART or any(w in APART_WORDS for w in words)
-    return ".".join([name, *words]), apart, name in MAIN or "main" in words
+def _element(name: str, attrs: str, inside: bool) -> tuple[str, int, bool]:
+    """An element's name in paths, whether it stands apart from the article (2: whatever it holds), whether it is its container."""
+    named = [(m[1].lower(), w) for m in _NAMED.finditer(attrs) for w in html.unescape(m[2] or m[3] or m[4] or "").lower().split()] if "=" in attrs else []
+    listed = (w for kind, w in named if not (inside and (w == "header" or kind == "id" and name == "section")))
+    if name in ("html", "body"):
+        apart = 0
+    elif name in APART:
+        # the heading of an article may stand in a header of its own
+        apart = (name != "header" or not inside) and (1 if name in WRAPS else 2)
+    else:
+        apart = name not in HEADINGS and not (inside and name == "p") and any(map(_is_listed, listed))
+    called = name not in ("html", "body") and any(w == "main" for _, w in named)
+    return ".".join([name, *(w.replace("/", " ") for _, w in named)]), 0 if called and apart < 2 else int(apart), called or name in MAIN
+
+
+def _is_listed(word: str) -> bool:
+    return word in APART_WORDS or all(w in APART_WORDS for w in re.split("[_-]+", word))
 
 
 class Page:
@@ -76,7 +94,9 @@ class Page:
     def __init__(self, source: str):
         self.tags: list[str] = []
         self.texts: list[tuple[str, str, bool, str, bool] | None] = []  # path, text, apart, the path of the article it is in, linked
-        stack: list[tuple[str, str, bool, str, bool]] = [("", "", False, "", False)]  # name, path, apart, path of the article, link
+        # name, path, apart, path of the article, link; apart is 0, -1 or the number of an element that may hold the article
+        stack: list[tuple[str, str, int, str, bool]] = [("", "", 0, "", False)]
+        outer, holds = [0], [False]  # of these elements: the one around it, whether an article stands in it
         for m in TOKEN.finditer(source):
             kind = m.lastgroup
             if kind == "text":
@@ -107,14 +127,29 @@ class Page:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            element, own, container = _element(name, m["attrs"])
             _, path, apart, main, link = stack[-1]
-            # the heading of an article may stand in a header of its own
-            own = own and not (main and name == "header")
+            element, own, container = _element(name, m["attrs"], bool(main))
             path = f"{path}/{element}"
             self.tags.append(path)
             if name not in VOID and not m["attrs"].endswith("/"):
-                stack.append((name, path, apart or own, main or (path if container and not apart else ""), link or name == "a"))
+                if container and not main and apart >= 0:
+                    main, at = path, apart
+                    while at:
+                        holds[at] = True
+                        at = outer[at]
+                if own == 2 or apart < 0:
+                    apart = -1
+                elif own:
+                    outer.append(apart)
+                    holds.append(False)
+                    apart = len(outer) - 1
+                stack.append((name, path, apart, main, link or name == "a"))
+        # elements around an article count only if there is none outside of them
+        free = any(x and x[3] and not x[2] and not x[1].isspace() for x in self.texts)
+        aside = [False]
+        for at, held in zip(outer[1:], holds[1:]):
+            aside.append(not held or free or aside[at])
+        self.texts = [x and (x[0], x[1], x[2] < 0 or aside[x[2]], x[3], x[4]) for x in self.texts]
 
 
 def _hash(text: str) -> int:

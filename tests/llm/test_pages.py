@@ -97,6 +97,27 @@ def test_the_template_decides_inside_articles_too(spark):
     assert all(got[k] == "One text at many addresses" for k in range(30, 36))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><div class='no-sidebar'><article><p>A</article></div></body>", "A"),
+        ("<body class='sidebar'><form><nav>N</nav><article><p>A</article></form></body>", "A"),
+        ("<body class='sidebar'><form id=search><p>A</form><p>B</body>", "B"),
+        ("<div class='page widget'><div class='ad'>N</div><main><p>A</main></div>", "A"),
+        ("<div class='related'><article>N</article></div><article>A<div class='comments'><article>N</article></div></article>", "A"),
+        ("<aside><article>N</article></aside><p>A", "A"),
+        ("<article><div class='entry-header'><h1>H</h1></div><section id='related-work'>A</section><h2 id='search'>B</h2><p class='ad-hoc'>C<p class='notice'>D</article>", "H A B C D"),
+        ("<article><div class='header'><h1>H</h1></div><section id='related'>A</section><div data-id='ad'>B</div></article>", "H A B"),
+        ("<article>A<div class='share'>N</div><div class='cookie-notice x'>N</div><div id=ad_banner>N</div><div role='navigation'>N</div></article>", "A"),
+        ("<div class='main-lead'>A</div><div>B</div>", "A B"),
+        ("<div class='x main'>A</div><div>N</div>", "A"),
+        ("<div class='widget main'><article>A</article></div><div>N</div>", "A"),
+    ],
+)
+def test_what_stands_apart(page, text):
+    assert " ".join(t for _, texts in templates.slots(page, frozenset()) for t in texts) == text
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div class=x><h1>Title {n}</h1><p>Text {n} of it</p><p>More {n}</p></div></body></html>"
     rows = [(0, "http://a/0", page.format(n=0)), (1, "http://a/1", page.format(n=0))]  # one page under two addresses
