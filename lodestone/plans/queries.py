@@ -189,6 +189,13 @@ def catalogue_tree(spark, d):
     return orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",").alias("keys"), F.count("*").alias("n"))
 
 
+def catalogue_tree_whole(spark, d):
+    """The tree over all orders; blocks of 10,000 keys bound a group's list."""
+    orders = _t(spark, d, "orders").withColumn("block", F.floor(F.col("o_orderkey") / 10000))
+    keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string")), ",")
+    return orders.groupBy("o_orderstatus", "o_orderpriority", "block").agg(keys.alias("keys"), F.count("*").alias("n"))
+
+
 def dashboard_status(spark, d):
     orders = _t(spark, d, "orders").where(F.col("o_orderstatus").isin("O", "P") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
     return orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -277,7 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hybrid_search, semantic_topk, semantic_topk_filtered, lexical_bm25_topk, lexical_indexed_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
-        stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, distinct_documents, next_code, tag_listing, catalogue_tree, dashboard_status,
+        stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, distinct_documents, next_code, tag_listing, catalogue_tree, catalogue_tree_whole, dashboard_status,
         token_counts, line_spans, search_text, autolinks, anchor_slugs, heading_ids, duplicate_anchors, stem_grammar, slug_check, validation_errors, union_corpora, package_plan, event_windows,
     )
 }
@@ -352,6 +359,7 @@ SELECT (SELECT count(*) FROM new ANTI JOIN mine USING (doc_id)) AS inserted, (SE
     "next_code": "SELECT lang, coalesce(max(doc_id), 0) + 1 AS next_code FROM documents GROUP BY lang",
     "tag_listing": "SELECT lang, string_agg(DISTINCT source, ',' ORDER BY source) AS tags FROM documents GROUP BY lang",
     "catalogue_tree": "SELECT o_orderstatus, o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys, count(*) AS n FROM orders WHERE o_orderkey <= 2000 GROUP BY ALL",
+    "catalogue_tree_whole": "SELECT o_orderstatus, o_orderpriority, o_orderkey // 10000 AS block, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys, count(*) AS n FROM orders GROUP BY ALL",
     "dashboard_status": "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "token_counts": rf"SELECT doc_id, len(regexp_extract_all(text, '{_BLANK}')) AS tokens, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS words FROM documents",
     "line_spans": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS line FROM s)

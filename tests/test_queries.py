@@ -12,6 +12,13 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     assert (columns, rows) == sql_rows(queries.ORACLE[name], sf_dir) and columns
 
 
+def test_catalogue_tree_holds_all_orders(spark, tmp_path):
+    spark.range(0, 25000).selectExpr("id o_orderkey", "if(id % 2 = 0, 'O', 'F') o_orderstatus", "'1-URGENT' o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = queries.catalogue_tree_whole(spark, str(tmp_path)).collect()
+    assert sorted(int(k) for r in rows for k in r["keys"].split(",")) == list(range(25000))
+    assert len(rows) == 6 and all(len(r["keys"].split(",")) == r.n <= 10000 for r in rows)
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 8
