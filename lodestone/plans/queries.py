@@ -169,6 +169,24 @@ def merge_counts(spark, d):
     return R.merge_counts(*_merge_sides(_t(spark, d, "documents")), "doc_id", ["document"])
 
 
+def _whole_merge_sides(docs):
+    """All documents, and all of the changed snapshot: values altered, keys shifted, one document under a new name."""
+    n = F.col("doc_id") % 50
+    old = docs.select("doc_id", n.alias("document"), F.col("n_chars").alias("size"))
+    key = F.when((F.col("doc_id") % 4 == 1) | (n == 49), -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    size = F.col("n_chars") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    new = docs.select(key.alias("doc_id"), F.when(n == 49, 50).otherwise(n).alias("document"), size.alias("size"))
+    return old, new
+
+
+def merge_upsert_whole(spark, d):
+    return R.merged(*_whole_merge_sides(_t(spark, d, "documents")), "doc_id", ["document"])
+
+
+def merge_counts_whole(spark, d):
+    return R.merge_counts(*_whole_merge_sides(_t(spark, d, "documents")), "doc_id", ["document"])
+
+
 # --- catalogue and text
 
 
@@ -284,7 +302,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         hybrid_search, semantic_topk, semantic_topk_filtered, lexical_bm25_topk, lexical_indexed_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
-        stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, distinct_documents, next_code, tag_listing, catalogue_tree, catalogue_tree_whole, dashboard_status,
+        stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, merge_upsert_whole, merge_counts_whole, distinct_documents, next_code, tag_listing, catalogue_tree, catalogue_tree_whole, dashboard_status,
         token_counts, line_spans, search_text, autolinks, anchor_slugs, heading_ids, duplicate_anchors, stem_grammar, slug_check, validation_errors, union_corpora, package_plan, event_windows,
     )
 }
@@ -324,6 +342,9 @@ _STORED = "stored AS (SELECT source AS package, doc_id, sha256(text) AS hash FRO
 _FOUND = "found AS (SELECT source AS package, doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0)"
 _SIDES = """old AS (SELECT doc_id, doc_id % 50 AS document, n_chars AS size FROM documents WHERE doc_id % 4 <> 1),
 new AS (SELECT doc_id, doc_id % 50 AS document, n_chars + 1 AS size FROM documents WHERE doc_id % 50 < 10 AND doc_id % 3 = 0)"""
+_WHOLE_SIDES = """old AS (SELECT doc_id, doc_id % 50 AS document, n_chars AS size FROM documents),
+new AS (SELECT CASE WHEN doc_id % 4 = 1 OR doc_id % 50 = 49 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 50 = 49 THEN 50 ELSE doc_id % 50 END AS document,
+  n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS size FROM documents)"""
 _BLANK = r"[^\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _ANCHOR = lambda c: rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}), '(?:[\t-\r \x{{85}}\x{{A0}}\x{{3000}}]|-)+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 
@@ -354,6 +375,9 @@ SELECT 'ctx-' || row_number() OVER (ORDER BY position) AS context_id, 'src-' ||
 (SELECT count(*) FROM found ANTI JOIN stored USING (package, doc_id, hash)) AS reindexed, (SELECT count(*) FROM stored ANTI JOIN found USING (package, doc_id)) AS deleted, 0 AS failed""",
     "merge_upsert": f"WITH {_SIDES} SELECT * FROM old WHERE document NOT IN (SELECT document FROM new) AND doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new",
     "merge_counts": f"""WITH {_SIDES}, mine AS (SELECT * FROM old WHERE document IN (SELECT document FROM new))
+SELECT (SELECT count(*) FROM new ANTI JOIN mine USING (doc_id)) AS inserted, (SELECT count(*) FROM new SEMI JOIN mine USING (doc_id)) AS updated, (SELECT count(*) FROM mine ANTI JOIN new USING (doc_id)) AS deleted""",
+    "merge_upsert_whole": f"WITH {_WHOLE_SIDES} SELECT * FROM old WHERE document NOT IN (SELECT document FROM new) AND doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new",
+    "merge_counts_whole": f"""WITH {_WHOLE_SIDES}, mine AS (SELECT * FROM old WHERE document IN (SELECT document FROM new))
 SELECT (SELECT count(*) FROM new ANTI JOIN mine USING (doc_id)) AS inserted, (SELECT count(*) FROM new SEMI JOIN mine USING (doc_id)) AS updated, (SELECT count(*) FROM mine ANTI JOIN new USING (doc_id)) AS deleted""",
     "distinct_documents": "SELECT DISTINCT lang, source FROM documents",
     "next_code": "SELECT lang, coalesce(max(doc_id), 0) + 1 AS next_code FROM documents GROUP BY lang",

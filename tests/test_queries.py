@@ -19,6 +19,16 @@ def test_catalogue_tree_holds_all_orders(spark, tmp_path):
     assert len(rows) == 6 and all(len(r["keys"].split(",")) == r.n <= 10000 for r in rows)
 
 
+def test_whole_merge_takes_every_document(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.count()
+    assert [side.count() for side in queries._whole_merge_sides(docs)] == [n, n]
+    stay = docs.where("doc_id % 50 = 49").count()
+    away = docs.where("doc_id % 4 = 1 and doc_id % 50 <> 49").count()
+    assert queries.merge_upsert_whole(spark, sf_dir).count() == n + stay
+    assert queries.merge_counts_whole(spark, sf_dir).first().asDict() == {"inserted": away + stay, "updated": n - away - stay, "deleted": away}
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 8
