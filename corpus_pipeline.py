@@ -8,7 +8,7 @@ texts without personal data, packed sequences.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join, packing, quality, sketch, suffix_dedup, surrogates
@@ -28,12 +28,33 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that n-gram Jaccard links join."""
+    """One row of each group that n-gram Jaccard links join: that of the smallest id, null being the last.
+
+    Where rows of a group share that id, the smallest set's digest, then the smallest row counts. Rows
+    of one id in different groups are judged each by its own; rows without words are in no group and stay.
+    """
     sweep(spark)
-    joined = ngram_join.join(docs)
-    others = stored(joined.where("component_id <> doc_id").select("doc_id").distinct(), f"{shared_dir(spark)}/others")
+    path = shared_dir(spark)
+    joined = stored(ngram_join.join(docs, nodes=True), f"{path}/joined")
+    # an id of one row tells what becomes of it; null and repeated ids don't
+    several = stored(joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), f"{path}/several")
+    unclear = not several.isEmpty() or not joined.where("doc_id is null").isEmpty()
+    others = joined.where("component_id <> doc_id").select("doc_id").union(several).distinct()
+    others = stored(others, f"{path}/others")
     may, rest = sketch.parted(docs, "doc_id", others)
-    return may.join(others, "doc_id", "left_anti").select(docs.columns).union(rest)
+    out = may.join(others, "doc_id", "left_anti").select(docs.columns).union(rest.where("doc_id is not null") if unclear else rest)
+    return out.union(_judged(docs, joined, several)) if unclear else out
+
+
+def _judged(docs: DataFrame, joined: DataFrame, several: DataFrame) -> DataFrame:
+    """What stays of the rows whose id is null or repeated."""
+    may, _ = sketch.parted(docs, "doc_id", several)
+    rows = ngram_join.digested(may.join(several, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null")))
+    first = joined.where("digest is not null and doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("digest").alias("__digest"))
+    first = first.select(F.col("doc_id").alias("__id"), "__digest")
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["__digest"] == first["__digest"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy(*docs.columns))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(docs.columns).union(rows.where("__digest is null").select(docs.columns))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,6 +84,20 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def digested(df: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
+    """df with the digest of its texts' sets in a further column __digest, null for empty sets."""
+    schema = df.withColumn("__digest", F.lit(None).cast("binary")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            sets = (shingler.shingles(text) for text in utf8(b.column(b.schema.names.index(text_col))))
+            digests = pa.array([_digest(t) if len(t) else None for t in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], names=[*b.schema.names, "__digest"])
+
+    return df.mapInArrow(tidied(run), schema)
+
+
 def _surveyed(docs: DataFrame, words: int) -> DataFrame:
     """Documents' set sizes and digests (segment under 0), and the shingles' levels by segment."""
 
@@ -280,8 +294,11 @@ def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(tidied(run), "a binary, b binary").union(groups.where(F.octet_length("sizes") > 8).select(*columns).mapInArrow(tidied(within), "a binary, b binary"))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5), nodes: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+
+    With ``nodes`` also digest (of the document's set, null if that is empty) and root, one digest of its component.
+    """
     path = shared_dir(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     surveyed = stored(_surveyed(docs, words), f"{path}/surveyed")
@@ -298,7 +315,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     own = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     linked = own.join(roots.withColumnRenamed("node", "digest"), "digest")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reached")), "root").select("digest", "reached")
-    label = own.join(linked, "digest", "left").select("digest", F.coalesce("reached", "least").alias("component_id"))
-    out = every.where("digest is not null").join(label, "digest").select("doc_id", "n_shingles", "component_id")
-    return out.union(every.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reached")), "root").select("digest", "reached", "root")
+    label = own.join(linked, "digest", "left").select("digest", F.coalesce("reached", "least").alias("component_id"), F.coalesce("root", "digest").alias("root"))
+    more = ("digest", "root") if nodes else ()
+    out = every.where("digest is not null").join(label, "digest").select("doc_id", "n_shingles", "component_id", *more)
+    empty = every.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", F.col("digest").alias("root"))
+    return out.union(empty.select(out.columns))

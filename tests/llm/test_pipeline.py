@@ -41,6 +41,24 @@ def test_stages(spark, sf_dir):
     assert {p.doc_id for p in pieces} == set(kept["pii"])
 
 
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    a, b, c, d, e, f = map(text, "abcdef")
+    rows = [
+        (1, a), (5, a), (5, b), (7, b),  # 5 repeats with another text, which stands for its group
+        (2, c), (2, c), (2, c + " end"), (2, c.upper()),  # copies and near copies of one id
+        (3, d), (3, e), (None, e), (None, a),
+        (None, f), (None, f), (None, f + " end"), (None, text("g")), (None, text("g")),
+        (8, ""), (8, ""), (None, None), (9, text("h")),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.distinct(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, (r.text or "").lower()[:1]) for r in kept.collect()]
+    want = [(1, "a"), (5, "b"), (2, "c"), (3, "d"), (3, "e"), (None, "f"), (None, "g"), (8, ""), (8, ""), (None, ""), (9, "h")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     lengths = {}
