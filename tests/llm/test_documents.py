@@ -313,6 +313,21 @@ def test_surrogates(spark):
     assert surrogates.clashes(surrogates.entities(docs, b"key")).isEmpty()
 
 
+def test_surrogates_of_texts_without_digits_and_of_compressed_addresses():
+    s = surrogates.Surrogates(b"key")
+    for entity in ("ghp_" + "abcdEFGHij" * 3, "AKIA" + "ABCDEFGH" * 2, "abcdef" * 6, "ABCDEF" * 6):
+        new, kinds = surrogates.rewritten(f"see {entity} there", s)
+        assert kinds == ["secret"] and entity not in new and surrogates.rewritten(f"see {entity} there 1", s)[0] == f"{new} 1"
+    for entity in ("2001:db8::1", "fe80::1", "::1", "2001:DB8:0:1::", "fe80::aaaa:bbbb:1"):
+        new, kinds = surrogates.rewritten(f"at {entity}, [{entity}]/64.", s)
+        assert kinds == ["hardware"] * 2 and f"at {entity}," not in new and len(new) == 2 * len(entity) + 11
+        assert [k for k, *_ in surrogates.found(new)] == kinds
+    for text in ("std::cout", "dead::beef", "at 1:2:3", "ab: :c1", "x::1"):
+        assert not surrogates.found(text)
+    with_digit = [f"a::{k:x}" for k in range(4096, 65536) if set(f"{k:x}") & set("0123456789")]
+    assert len({s.of("hardware", x) for x in with_digit}) == len(with_digit)
+
+
 def test_surrogates_are_a_bijection():
     s = surrogates.Surrogates(b"key")
     for kind, pool in (("ssn", [f"{i:03d}-12-{i * 7 % 10000:04d}" for i in range(1000)]), ("email", [f"u{i}@a.io" for i in range(1000)]), ("phone", [f"+1 {i:03d}" for i in range(1000)])):
