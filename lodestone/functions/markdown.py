@@ -217,6 +217,11 @@ def split(text: str, config: Config, count: Callable[[str], int] = words) -> lis
     whole = lambda parts: "\n\n".join(x for x in (head, "\n\n".join(b.text for b in parts if b.text.strip())) if x)
     size = lambda parts: count(whole(parts))
 
+    def too_long(line: list[str], w: str) -> bool:
+        if count is words:  # adds up: no need to count the line anew for each word
+            return words(head) + len(line) + 1 > config.maximum
+        return size([Block(" ".join([*line, w]))]) > config.maximum
+
     def checked(b: Block) -> Block:
         if size([b]) > config.maximum:
             raise OversizedBlock(f"a block has {size([b])} tokens; {config.maximum} are allowed")
@@ -229,7 +234,7 @@ def split(text: str, config: Config, count: Callable[[str], int] = words) -> lis
             continue
         line: list[str] = []
         for w in b.text.split():
-            if line and size([Block(" ".join([*line, w]))]) > config.maximum:
+            if line and too_long(line, w):
                 fitting.append(Block(" ".join(line), True))
                 line = []
             line.append(w)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import markdown as M
 from lodestone.operators import relational as R
 from lodestone.operators import retrieval as S
+from lodestone.operators import validate as V
 
 TERMS = ("thatly", "ndther", "reing")
 
@@ -298,6 +301,34 @@ def event_windows(spark, d):
     return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
 
 
+# --- sequential: no SQL says them, tests hold them against brute force
+
+
+def chunk_paragraphs(spark, d):
+    """The chunks of every document; one without text is one row of status 'failed'."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _t(spark, d, "documents").select(F.col("source").alias("package"), F.col("doc_id").cast("string").alias("document_stem"), F.sha2(text.cast("binary"), 256).alias("document_hash"), text.cast("binary").alias("content"))
+    rows = M.chunks(docs)
+    return rows.select("package", F.col("document_stem").cast("long").alias("doc_id"), "status", "error_kind", "chunk_ordinal", "chunk_id", "chunk_hash", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def stem_dictionary_match(spark, d):
+    """How often every document has each bare stem; the words of the benchmark stand for stems."""
+    words = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9-]+"), F.lit(0))).alias("document_stem"))
+    stems = [r.stem for r in V.stem_dictionary(words, words.where("false").select(F.lit("").alias("package"), "document_stem")).collect()]
+    docs, found = _t(spark, d, "documents").select("doc_id", "text"), F.array().cast("array<string>")
+    for at in range(0, len(stems), V.STEMS_AT_ONCE):
+        known = spark.sparkContext.broadcast(frozenset(stems[at : at + V.STEMS_AT_ONCE]))
+
+        @F.pandas_udf("array<string>")
+        def hits(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: [s for s, _, _ in V.bare_stems(t or "", known.value)])
+
+        found = F.concat(found, hits(F.col("text")))
+    return docs.select("doc_id", F.explode(found).alias("stem")).groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
+
+
+SEQUENTIAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chunk_paragraphs, stem_dictionary_match)}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (

@@ -29,6 +29,61 @@ def test_whole_merge_takes_every_document(spark, sf_dir):
     assert queries.merge_counts_whole(spark, sf_dir).first().asDict() == {"inserted": away + stay, "updated": n - away - stay, "deleted": away}
 
 
+def _documents(spark, tmp_path, *texts):
+    rows = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+
+
+def test_chunk_paragraphs_by_brute_force(spark, tmp_path):
+    import hashlib
+
+    def block(n, c):
+        return " ".join(f"{c}{i}" for i in range(n))
+
+    texts = [block(3, "a"), "", None, block(1200, "b"), "\n\n".join([block(200, "c"), block(140, "d"), block(400, "e"), block(90, "f")]), " \n"]
+    _documents(spark, tmp_path, *texts)
+
+    def packed(text):  # up to 350 words, or up to 500 while there are fewer than 350
+        blocks = []
+        for b in text.split("\n\n"):
+            w = b.split()
+            blocks += [w[i : i + 500] for i in range(0, len(w), 500)]
+        if len(text.split()) <= 500:
+            return [text]
+        out, now = [], []
+        for b in blocks:
+            n, more = sum(map(len, now)), sum(map(len, now)) + len(b)
+            if now and not (more <= 350 or more <= 500 and n < 350):
+                out.append(now)
+                now = [now[-1]] if len(now[-1]) <= OVERLAP and len(now[-1]) + len(b) <= 500 else []
+            now.append(b)
+        return ["\n\n".join(map(" ".join, x)) for x in [*out, now]]
+
+    from lodestone.functions.markdown import Config
+
+    OVERLAP = Config().overlap or 0
+    want = {(k, i, len(p.split()), hashlib.sha256(p.encode()).hexdigest()) for k, t in enumerate(texts) if t and t.strip() for i, p in enumerate(packed(t))}
+    rows = importlib.import_module("__spark_entry__").queries()["chunk_paragraphs"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.chunk_ordinal, r.token_count, r.text_sha256) for r in rows if r.status == "chunked"} == want
+    assert sorted(r.doc_id for r in rows if r.status == "failed") == [1, 2, 5]
+
+
+def test_stem_dictionary_match_by_brute_force(spark, tmp_path):
+    import re
+
+    texts = ["one two-3 One one. one/two `one` [[one]] x-one one.md two", None, "", "four\n```\none\n```\none (two-3)", "nothing"]
+    _documents(spark, tmp_path, *texts)
+    spark.createDataFrame([(0, "One two-3"), (1, "TWO, one"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for k, t in enumerate(texts):
+        free = re.sub(r"```.*?```|`[^`]*`|\[\[.*?\]\]", " ~ ", t or "", flags=re.S)
+        for w in re.split(r"[^A-Za-z0-9_/.-]+", free):
+            if (w := w.rstrip(".")) in ("one", "two-3", "two"):
+                want[k, w] = want.get((k, w), 0) + 1
+    rows = importlib.import_module("__spark_entry__").queries()["stem_dictionary_match"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.stem): r.n for r in rows} == want and len(rows) == len(want) and want[0, "one"] == 2
+
+
 def test_entry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() == 8
