@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,17 +77,28 @@ def counted(rows: DataFrame, slot_bits: int = SLOT_BITS, levels: tuple[int, ...]
     """Of rows of SCHEMA: one row with the levels of each segment met; rows about documents (segment under 0) pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
+        held: list[bytes] = []
+        last = -1
+
+        def done() -> pa.RecordBatch:
+            return batch(SCHEMA, [[last], [_levels(held, slot_bits, levels)], [None], [None], [None]])
+
         for b in batches:
             segments = b.column(0).to_numpy()
-            yield b.filter(pa.array(segments < 0))
+            if (about := segments < 0).any():
+                yield b.filter(pa.array(about))
             for s, p in zip(segments.tolist(), b.column(1).to_pylist()):
-                if s >= 0:
-                    held[s].append(p)
-        for s, payloads in held.items():
-            yield batch(SCHEMA, [[s], [_levels(payloads, slot_bits, levels)], [None], [None], [None]])
-
-    return rows.repartition("segment").mapInArrow(tidied(run), DDL)
+                if s < 0:
+                    continue
+                if s != last and held:
+                    yield done()
+                    held = []
+                last = s
+                held.append(p)
+        if held:
+            yield done()
+
+    return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidied(run), DDL)
 
 
 #: Levels that a Python worker has unpacked, until its task ends.

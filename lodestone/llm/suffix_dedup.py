@@ -5,13 +5,14 @@ smaller id. Strings are judged on the input, matches don't cross documents.
 
 0. Whole copies are settled first: a text's digest is counted (``sketch``); of texts that may occur
    twice only the one of the smallest document goes on, the others lose all their bytes.
-1. Every window of LENGTH bytes has a key: the least hash of its K-grams. Equal windows have equal
+1. Every window of LENGTH bytes has a key: from the least hash of its K-grams. Equal windows have equal
    keys. One pass counts in how many documents each key occurs (``sketch``); windows whose key occurs
    once are settled.
 2. Runs of windows with one key are segments, dealt by key with a hash of their bytes. A key with
    one string, wherever it occurs, is settled: the smallest document keeps it. Of the keys with several
    strings the segments are dealt again with their bytes; equal ones are one string with its
-   occurrences, a key's strings form a collection.
+   occurrences, a key's strings form a collection. Of these only the stretches whose windows' hashes
+   occur in several strings go on. Collections hold keys of like lengths, so that no round is for a few.
 3. A collection's suffix order is built as for a multi-document Burrows-Wheeler transform: round j
    inserts each string's suffix of length j, whose place follows from the ranks of equal symbols in
    the transform so far; the common prefixes of new neighbours follow from minima over the prefixes
@@ -29,7 +30,6 @@ any table); an empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import hashlib
@@ -47,14 +47,14 @@ from lodestone.llm import sketch
 from lodestone.llm.common import batch, drop, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.sketch import mixed
 
-LENGTH, K = 50, 32
+LENGTH, K = 50, 24
 WINDOWS = LENGTH - K + 1
 SLOT_BITS = 28
-#: Windows of a segment, bytes that are looked through at once, bytes of segments a task holds before sending, bytes of a collection.
-LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 18, 1 << 22, 1 << 18
+#: Spans that a task holds before it sends them.
+SPANS = 1 << 19
+#: Windows of a segment, bytes that are looked through at once, segments a task holds before sending, bytes of a collection.
+LONGEST, CHUNK, FLUSH, COLLECTION = 64, 1 << 17, 1 << 17, 1 << 17
 _BYTES = mixed(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xC2B2AE3D27D4EB4F | 1
-_SPREAD = np.uint64(0x9FB21C651E98DF25)
 _MULTIPLIER = 0xA0761D6478BD642F
 
 
@@ -76,16 +76,29 @@ class _Powers:
 _powers = _Powers()
 
 
-def string_hashes(buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 48-bit hash of each string buffer[start : start + size]; it tells strings of one (64-bit) key apart."""
-    power, inverse = _powers(max(len(buffer), CHUNK))
+def prefix_sums(buffer: np.ndarray) -> np.ndarray:
+    """Of the bytes' hashes times powers; the hash of any string of the buffer follows from two of them."""
+    power, _ = _powers(max(len(buffer), CHUNK))
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_BYTES[buffer] * power[: len(buffer)], out=sums[1:])
+    return sums
+
+
+def string_hashes(sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 48-bit hash of each string start : start + size of a buffer; it tells strings of one (64-bit) key apart."""
+    _, inverse = _powers(max(len(sums), CHUNK))
     return mixed((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64)) >> np.uint64(16)
 
 
+def gram_hashes(sums: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each string of n bytes."""
+    count = len(sums) - n
+    _, inverse = _powers(max(len(sums), CHUNK))
+    return (sums[n:] - sums[:count]) * inverse[:count]
+
+
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For chunks of texts: their buffer, and of each run of windows with one key: text's index, text's offset, start in the buffer, windows, key."""
+    """For chunks of texts: buffer, its prefix sums, and of each run of windows with one key: text's index, its offset, start, windows, key."""
     at = 0
     while at < len(texts):
         part, size = [], 0
@@ -97,12 +110,8 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         if size < LENGTH:
             continue
         buffer = np.frombuffer(b"".join(part), np.uint8)
-        h = _BYTES[buffer]
-        step = 1
-        while step < K:
-            h = h[:-step] * np.uint64(pow(_BASE, step, 1 << 64)) + h[step:]
-            step *= 2
-        h = h * _SPREAD
+        sums = prefix_sums(buffer)
+        h = gram_hashes(sums, K)
         step = 1
         while 2 * step <= WINDOWS:
             h = np.minimum(h[:-step], h[step:])
@@ -118,27 +127,40 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         sizes = np.diff(starts, append=len(h))
         ok = valid[starts]
         starts, sizes = starts[ok], sizes[ok]
-        yield buffer, owner[starts] + first, (ends - lengths)[owner[starts]], starts, sizes, h[starts]
+        # a minimum is a small number; keys are spread over all numbers
+        yield buffer, sums, owner[starts] + first, (ends - lengths)[owner[starts]], starts, sizes, mixed(h[starts])
 
 
 def _text_token(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
+def _id_tokens(ids: np.ndarray) -> np.ndarray:
+    return mixed(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x5851F42D4C957F2D))
+
+
+def _tags(ids: np.ndarray, texts: list[bytes], whole: sketch.Levels) -> np.ndarray:
+    """What tells texts of one id apart: 0 for ids that surely have one row, else the text's crc32 and a bit above."""
+    maybe = (whole.of(_id_tokens(ids)) > 0).tolist() if len(ids) else []
+    return np.array([zlib.crc32(t) | 1 << 32 if m else 0 for t, m in zip(texts, maybe)], np.int64)
+
+
 def _texts_surveyed(docs: DataFrame) -> DataFrame:
-    """Levels of whole texts."""
+    """Levels of whole texts and of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, n_held = [], 0
         for b in batches:
-            held += [np.array([_text_token(t)], np.uint64) for t in utf8(b.column(0)) if len(t) >= LENGTH]
-            if len(held) >= sketch.FLUSH // 16:
+            ids = _id_tokens(b.column(0).to_numpy())
+            held += [ids, np.array([_text_token(t) for t in utf8(b.column(1)) if len(t) >= LENGTH], np.uint64)]
+            n_held += 2 * len(ids)
+            if n_held >= sketch.FLUSH // 16:
                 yield sketch.sent(held)
-                held = []
-        if held:
+                held, n_held = [], 0
+        if n_held:
             yield sketch.sent(held)
 
-    return sketch.counted(docs.select("text").mapInArrow(tidied(run), sketch.DDL))
+    return sketch.counted(docs.select("doc_id", "text").mapInArrow(tidied(run), sketch.DDL))
 
 
 def _perhaps_copied(docs: DataFrame, whole: sketch.Levels) -> DataFrame:
@@ -151,7 +173,8 @@ def _perhaps_copied(docs: DataFrame, whole: sketch.Levels) -> DataFrame:
             use = np.flatnonzero(_copied(texts, whole))
             some = [texts[k] for k in use]
             if some:
-                yield batch(schema, [b.column(0).take(pa.array(use)), [zlib.crc32(t) for t in some], [hashlib.blake2b(t, digest_size=16).digest() for t in some], some])
+                ids = b.column(0).take(pa.array(use))
+                yield batch(schema, [ids, _tags(ids.to_numpy(), some, whole), [hashlib.blake2b(t, digest_size=16).digest() for t in some], some])
 
     return docs.mapInArrow(tidied(run), "doc_id long, tag long, digest binary, text binary")
 
@@ -170,8 +193,8 @@ def _surveyed(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels) -> DataF
             held, n_held = [], 0
             for b in batches:
                 texts = utf8(b.column(0))
-                for _, owner, _, _, _, key in runs([b"" if c else t for t, c in zip(texts, _copied(texts, skip))]):
-                    order = np.lexsort((key, owner))
+                for _, _, owner, _, _, _, key in runs([b"" if c else t for t, c in zip(texts, _copied(texts, skip))]):
+                    order = np.argsort(key, kind="stable")  # owners ascend already
                     o, k = owner[order], key[order]
                     held.append(k[np.r_[True, (o[1:] != o[:-1]) | (k[1:] != k[:-1])]] if len(k) else k)
                     n_held += len(held[-1])
@@ -197,23 +220,23 @@ _DEALT = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative or any 64-bit integers with as many bytes each as the largest needs; first their number of bytes."""
+    """Non-negative or any 64-bit integers with as many bytes each as the largest needs, byte by byte; first their number of bytes."""
     x = np.ascontiguousarray(x, "<u8") if x.dtype.kind == "u" else np.ascontiguousarray(x, "<i8").view("<u8")
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _wide(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     width = raw[at]
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(n, width)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
     return out.view("<u8").reshape(n), at + 1 + n * width
 
 
 def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: sketch.Levels, bits: int, bytes_too: bool) -> DataFrame:
-    """Segments by key: rows of a bucket and the distinct strings of a stretch of input (with their bytes, if asked for) with their occurrences."""
+    """Segments by key: rows of a bucket and the distinct strings of a stretch of input (their bytes or else their hashes) with their occurrences."""
 
-    def rows(held: list[tuple]) -> pa.RecordBatch:
+    def rows(held: list[tuple], squeeze) -> pa.RecordBatch:
         key, windows, seg_hash, doc, tag, start = (np.concatenate([x[k] for x in held]) for k in range(6))
         order = np.lexsort((seg_hash, key))
         k, s = key[order], seg_hash[order]
@@ -230,18 +253,21 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
         payloads = []
         for u0, u1, o0, o1 in zip(edges[:-1], edges[1:], occurrence_edges[:-1], occurrence_edges[1:]):
             u, o = unique[u0:u1], order[o0:o1]
-            strings = text[_ragged(offsets[u], sizes[u])].tobytes() if bytes_too else b""
-            payloads.append(b"".join((np.array([u1 - u0, o1 - o0], "<i8").tobytes(), *map(_narrow, (key[u], seg_hash[u], windows[u])), strings, *map(_narrow, (number[o0:o1] - u0, doc[o], tag[o], start[o])))))
+            strings = text[_ragged(offsets[u], sizes[u])].tobytes() if bytes_too else _narrow(seg_hash[u])
+            nth = np.diff(number[o0:o1], prepend=u0)
+            parts = (*map(_narrow, (key[u], windows[u], nth, doc[o], tag[o], start[o])), strings)
+            payloads.append(squeeze(b"".join((np.array([u1 - u0, o1 - o0], "<i8").tobytes(), *parts))))
         return batch(_DEALT, [bucket[edges[:-1]].astype(np.int32), payloads])
 
     def over(skip: sketch.Levels | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            squeeze = zstandard.ZstdCompressor(level=1).compress
             held, n_held = [], 0
             for b in batches:
                 ids, texts = b.column(0).to_numpy(), utf8(b.column(1))
+                tags = _tags(ids, texts, whole)
                 texts = [b"" if c else t for t, c in zip(texts, _copied(texts, skip))]
-                tags = np.array([zlib.crc32(t) for t in texts], np.uint32)
-                for buffer, owner, base, start, windows, key in runs(texts):
+                for buffer, sums, owner, base, start, windows, key in runs(texts):
                     use = levels.of(key) > 0
                     if not use.any():
                         continue
@@ -252,17 +278,20 @@ def _dealt(docs: DataFrame, firsts: DataFrame, whole: sketch.Levels, levels: ske
                     windows = np.minimum(np.repeat(windows, pieces) - nth * LONGEST, LONGEST)
                     start = start + nth * LONGEST
                     sizes = windows + LENGTH - 1
-                    held.append((key, windows.astype(np.uint8), string_hashes(buffer, start, sizes), ids[owner], tags[owner], (start - base).astype(np.int32), buffer[_ragged(start, sizes)] if bytes_too else None))
-                    n_held += int(sizes.sum())
+                    text = buffer[_ragged(start, sizes)] if bytes_too else None
+                    hashes = string_hashes(sums, start, sizes)
+                    held.append((key, windows.astype(np.uint8), hashes, ids[owner], tags[owner], (start - base).astype(np.int32), text))
+                    n_held += len(key)
                     if n_held >= FLUSH:
-                        yield rows(held)
+                        yield rows(held, squeeze)
                         held, n_held = [], 0
             if held:
-                yield rows(held)
+                yield rows(held, squeeze)
 
         return run
 
-    one, two = (x.select("doc_id", "text").mapInArrow(tidied(over(skip)), "bucket int, payload binary") for x, skip in ((docs, whole), (firsts, None)))
+    both = ((docs, whole), (firsts, None))
+    one, two = (x.select("doc_id", "text").mapInArrow(tidied(over(skip)), "bucket int, payload binary") for x, skip in both)
     return one.union(two)
 
 
@@ -341,25 +370,21 @@ class _Bucket:
     """The distinct strings of one bucket by key, and their occurrences."""
 
     def __init__(self, payloads: list[bytes], bytes_too: bool):
-        parts, shift = [], 0
-        for p in payloads:
+        parts, shift, expand = [], 0, zstandard.ZstdDecompressor().decompress
+        for p in map(expand, payloads):
             n, o = np.frombuffer(p, "<i8", 2).tolist()
             at, row = 16, []
-            for _ in range(3):
-                values, at = _wide(p, at, n)
-                row.append(values)
-            row[2] = row[2].astype(np.int64)
-            if bytes_too:
-                row.append(np.frombuffer(p, "u1", int(row[2].sum()) + n * (LENGTH - 1), at))
-                at += row[-1].nbytes
-            for _ in range(4):
-                values, at = _wide(p, at, o)
-                row.append(values.view(np.int64))
-            row[-4] = row[-4] + shift
+            for count in (n, n, o, o, o, o):
+                values, at = _wide(p, at, count)
+                row.append(values.view(np.int64) if row else values)
+            row[2] = np.cumsum(row[2]) + shift
+            row.append(np.frombuffer(p, "u1", int(row[1].sum()) + n * (LENGTH - 1), at) if bytes_too else _wide(p, at, n)[0])
             parts.append(row)
             shift += n
-        key, seg_hash, windows, *rest = (np.concatenate([x[k] for x in parts]) for k in range(len(parts[0])))
-        string, self.doc, self.tag, self.start = rest[-4:]
+        key, windows, string, self.doc, self.tag, self.start, last = (np.concatenate([x[k] for x in parts]) for k in range(7))
+        sizes = windows + LENGTH - 1
+        offsets = np.cumsum(sizes) - sizes
+        seg_hash = string_hashes(prefix_sums(last), offsets, sizes) if bytes_too else last
         order = np.lexsort((seg_hash, key))
         k, s = key[order], seg_hash[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
@@ -368,9 +393,7 @@ class _Bucket:
         unique, self.string = order[new], number[string]
         self.key, self.windows = key[unique], windows[unique]
         if bytes_too:
-            self.text = rest[0]
-            sizes = windows + LENGTH - 1
-            self.offsets = (np.cumsum(sizes) - sizes)[unique]
+            self.text, self.offsets = last, offsets[unique]
         self.least = np.full(len(unique), np.iinfo(np.int64).max)
         most = np.full(len(unique), np.iinfo(np.int64).min)
         np.minimum.at(self.least, self.string, self.doc)
@@ -401,66 +424,133 @@ class _Bucket:
     def open_spans(self) -> np.ndarray:
         base = np.cumsum(self.windows) - self.windows
         lowest = np.repeat(self.least, self.windows)
-        sizes = self.windows + LENGTH - 1
-        strings = np.flatnonzero(self.open)
-        at = 0
+        strings, skip, windows = self._stretches()
+        key, sizes = self.key[strings], windows + LENGTH - 1
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        if len(heads):  # keys by their longest string
+            counts = np.diff(heads, append=len(key))
+            by_size = np.argsort(np.maximum.reduceat(sizes, heads), kind="stable")
+            order = _ragged(heads[by_size], counts[by_size])
+            strings, skip, windows, sizes, key = (x[order] for x in (strings, skip, windows, sizes, key))
+        at, total = 0, np.cumsum(sizes)
         while at < len(strings):  # whole keys, COLLECTION bytes at once unless one key has more
-            to = at + max(1, int(np.searchsorted(np.cumsum(sizes[strings[at:]]), COLLECTION)))
-            while to < len(strings) and self.key[strings[to]] == self.key[strings[to - 1]]:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + COLLECTION)))
+            while to < len(strings) and key[to] == key[to - 1]:
                 to += 1
-            u = strings[at:to]
-            lowest[_ragged(base[u], self.windows[u])] = _least_documents(self.text[_ragged(self.offsets[u], sizes[u])], sizes[u], self.least[u])
+            u, first = strings[at:to], skip[at:to]
+            text = self.text[_ragged(self.offsets[u] + first, sizes[at:to])]
+            lowest[_ragged(base[u] + first, windows[at:to])] = _least_documents(text, sizes[at:to], self.least[u])
             at = to
         return self.spans(lowest, self.open)
 
-
-def _parts(found: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
+    def _stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the open strings those with a window whose hash another string of its key has: string, windows before the first such, windows to the last."""
+        strings = np.flatnonzero(self.open)
+        windows = self.windows[strings]
+        nth = _ragged(np.zeros(len(windows), np.int64), windows)
+        owner = np.repeat(np.arange(len(strings)), windows)
+        at = self.offsets[strings][owner] + nth
+        hashes = mixed(string_hashes(prefix_sums(self.text), at, np.full(len(at), LENGTH)) + self.key[strings][owner]) if len(at) else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        h, o = hashes[order], owner[order]
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        several = np.minimum.reduceat(o, heads) < np.maximum.reduceat(o, heads) if len(heads) else np.empty(0, bool)
+        shared = np.empty(len(h), bool)
+        shared[order] = np.repeat(several, np.diff(heads, append=len(h)))
+        where = np.flatnonzero(shared)
+        use, first = np.unique(owner[where], return_index=True)
+        last = np.r_[first[1:], len(where)] - 1
+        skip = nth[where[first]] if len(use) else np.empty(0, np.int64)
+        return strings[use], skip, (nth[where[last]] - skip + 1) if len(use) else np.empty(0, np.int64)
+
+
+def _parts(found: list[np.ndarray], bits: int) -> tuple[list[int], list[bytes]]:
     """Spans dealt by document."""
     rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
     if not len(rows):
         return [], []
-    part = (mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
+    part = (mixed(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-    return part[edges[:-1]].tolist(), [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return part[edges[:-1]].tolist(), [squeeze(_packed(rows[a:b])) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _packed(spans: np.ndarray) -> bytes:
+    doc, tag, start, end = spans.T
+    return b"".join((np.array([len(spans)], "<i8").tobytes(), *map(_narrow, (np.diff(doc, prepend=0), tag, start, end - start))))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
+    for _ in range(4):
+        values, at = _wide(raw, at, n)
+        columns.append(values.view(np.int64))
+    return np.column_stack([np.cumsum(columns[0]), columns[1], columns[2], columns[2] + columns[3]])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], bytes_too: bool) -> Iterator[_Bucket]:
-    held: dict[int, list[bytes]] = defaultdict(list)
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The payloads of each key of rows that are sorted by it."""
+    held: list[bytes] = []
+    last = None
     for b in batches:
         for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held[k].append(p)
-    while held:
-        yield _Bucket(held.popitem()[1], bytes_too)
+            if k != last and held:
+                yield last, held
+                held = []
+            last = k
+            held.append(p)
+    if held:
+        yield last, held
 
 
-def _settled(dealt: DataFrame) -> DataFrame:
+def _settled(dealt: DataFrame, bits: int) -> DataFrame:
     """Spans of keys with one string (segment -1 - part), and levels of the keys with several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, several = [], []
-        for bucket in _buckets(batches, False):
+
+        def held() -> Iterator[pa.RecordBatch]:
+            parts, payloads = _parts(found, bits)
+            n = len(parts)
+            yield batch(sketch.SCHEMA, [[-1 - p for p in parts], payloads, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
+            if (sent := sketch.sent(several)) is not None:
+                yield sent
+
+        for _, payloads in _by_key(batches):
+            bucket = _Bucket(payloads, False)
             found.append(bucket.settled_spans())
             several.append(np.unique(bucket.key[bucket.open]))
-        parts, payloads = _parts(found)
-        n = len(parts)
-        yield batch(sketch.SCHEMA, [[-1 - p for p in parts], payloads, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
-        if (sent := sketch.sent(several)) is not None:
-            yield sent
+            if sum(map(len, found)) + sum(map(len, several)) >= SPANS:
+                yield from held()
+                found, several = [], []
+        yield from held()
 
-    return sketch.counted(dealt.repartition("bucket").mapInArrow(tidied(run), sketch.DDL), levels=(1, 2, 3))
+    by_bucket = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    return sketch.counted(by_bucket.mapInArrow(tidied(run), sketch.DDL), levels=(1, 2, 3))
 
 
-def _searched(dealt: DataFrame) -> DataFrame:
+def _searched(dealt: DataFrame, bits: int) -> DataFrame:
     """part, payload: spans of keys with several strings."""
     schema = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, payloads = _parts([bucket.open_spans() for bucket in _buckets(batches, True)])
-        yield batch(schema, [pa.array(parts, pa.int32()), payloads])
+        found = []
+
+        def held() -> pa.RecordBatch:
+            parts, payloads = _parts(found, bits)
+            return batch(schema, [pa.array(parts, pa.int32()), payloads])
+
+        for _, payloads in _by_key(batches):
+            found.append(_Bucket(payloads, True).open_spans())
+            if sum(map(len, found)) >= SPANS:
+                yield held()
+                found = []
+        yield held()
 
-    return dealt.repartition("bucket").mapInArrow(tidied(run), "part int, payload binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "part int, payload binary")
 
 
 def _gathered(parts: DataFrame) -> DataFrame:
@@ -468,17 +558,16 @@ def _gathered(parts: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.binary())])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(p, np.int64).reshape(-1, 4) for b in batches for p in b.column(1).to_pylist()]
-        if not held:
-            return
-        rows = np.concatenate(held)
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        edges = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1), True])
-        for at in range(0, len(edges) - 1, 10_000):
-            a, z = edges[at : min(at + 10_000, len(edges) - 1)], edges[at + 1 : at + 10_001]
-            yield batch(out, [rows[a, 0], rows[a, 1], [merged(rows[i:j, 2:]).tobytes() for i, j in zip(a, z)]])
+        expand = zstandard.ZstdDecompressor().decompress
+        for _, payloads in _by_key(batches):
+            rows = np.concatenate([_unpacked(expand(p)) for p in payloads])
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            edges = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1), True])
+            for at in range(0, len(edges) - 1, 10_000):
+                a, z = edges[at : min(at + 10_000, len(edges) - 1)], edges[at + 1 : at + 10_001]
+                yield batch(out, [rows[a, 0], rows[a, 1], [merged(rows[i:j, 2:]).tobytes() for i, j in zip(a, z)]])
 
-    return parts.repartition("part").mapInArrow(tidied(gather), "doc_id long, tag long, spans binary")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(gather), "doc_id long, tag long, spans binary")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -489,21 +578,23 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag (crc32 of the text), spans (packed 64-bit pairs: from, to), whole (all goes) for each document that loses bytes."""
+    """doc_id, tag (of the text, where the id may have several rows), spans (packed 64-bit pairs: from, to), whole (all goes) for each document that loses bytes."""
     spark = df.sparkSession
     path = shared_dir(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("doc_id is not null")
-    whole = sketch.Levels(stored(_texts_surveyed(docs), f"{path}/texts"))
+    texts = stored(_texts_surveyed(docs), f"{path}/texts")
+    whole = sketch.Levels(texts)
     copies = stored(_perhaps_copied(docs, whole), f"{path}/copies")
     least = stored(copies.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), f"{path}/firsts")
     sweep(spark)
     levels = sketch.Levels(stored(_surveyed(docs, least, whole), f"{path}/levels"), SLOT_BITS, one_bit=True)
-    bits = max(12, (16 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits, part_bits = max(12, (16 * partitions).bit_length()), max(10, (4 * partitions).bit_length())
     sweep(spark)
-    settled = stored(_settled(_dealt(docs, least, whole, levels, bits, False)), f"{path}/settled")
+    settled = stored(_settled(_dealt(docs, least, whole, levels, bits, False), part_bits), f"{path}/settled")
     sweep(spark)
     several = sketch.Levels(settled)
-    searched = _searched(_dealt(docs, least, whole, several, bits, True))
+    searched = _searched(_dealt(docs, least, whole, several, bits, True), part_bits)
     found = _gathered(settled.where("segment < 0").select((-1 - F.col("segment")).alias("part"), "payload").union(searched))
     copied = copies.join(least.select("digest", F.col("doc_id").alias("least")), "digest").where("doc_id > least").select("doc_id", "tag").distinct()
     out = stored(found.withColumn("whole", F.lit(False)).union(copied.select("doc_id", "tag", F.lit(None).cast("binary"), F.lit(True))), f"{path}/removed")
@@ -536,8 +627,8 @@ def texts_of(b: pa.RecordBatch, text_col: str) -> list[tuple[bytes, bytes | None
             out.append(((text or "").encode("utf-8", "surrogatepass"), None, False))
             continue
         raw = expand(packed)
-        tag = zlib.crc32(raw)
-        mine = next((x for x in by_tag or () if x["tag"] == tag), None)
+        tags = (0, zlib.crc32(raw) | 1 << 32)
+        mine = next((x for x in by_tag or () if x["tag"] in tags), None)
         out.append((raw, mine and mine["spans"], bool(mine and mine["whole"])))
     return out
 
