@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 1000
 #: Bytes that a task gathers before it writes a row group: the default of 128 MB, twice, is much of a small executor.
 ROW_GROUP = 16 << 20
+#: Files of a stored table for each core.
+FILES = 6
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -32,27 +34,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor sees.
 
-    Only where the session names none (a local test run) a temporary folder is made and set.
+    Where the session names none, a local test run gets a folder in the warehouse; on a cluster that is an error.
     """
     small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/lodestone")
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here. Python gets ``rows`` rows at once."""
+def stored(df: DataFrame, path: str, rows: int = ROWS_AT_ONCE, files: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends here. Python gets ``rows`` rows at once.
+
+    The table has FILES files for each core at most, or ``files``, however many partitions df has (0: one for each).
+    """
     spark = df.sparkSession
     small_batches(spark)
+    files = FILES * spark.sparkContext.defaultParallelism if files is None else files
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(min(rows, int(before))))
     try:
-        df.write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+        (df.coalesce(files) if files else df).write.mode("overwrite").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)

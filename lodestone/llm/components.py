@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import batch, drop, stored, tidied
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+#: The number of rounds grows with the logarithm of the number of nodes; so many are never needed.
+ROUNDS = 200
 
 
 class Forest:
@@ -64,21 +66,25 @@ def components(links: DataFrame, path: str) -> DataFrame:
     Alternating stars: each round hangs a node's larger neighbours on its least one, then its
     smaller ones; it ends when every node hangs on a root. Each round is a table in ``path``.
     """
-    links = stored(_thinned(links.where("a <> b")), f"{path}/links-0")
-    before = None
-    for k in range(1, 200):
+    spark = links.sparkSession
+    files = spark.sparkContext.defaultParallelism
+    links = stored(_thinned(links.where("a <> b")), f"{path}/links-0", files=files)
+    for k in range(1, ROUNDS):
+        if _stars(links):
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b")).distinct()
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         m = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = stored(_thinned(small.where("a <> b").distinct()).distinct(), f"{path}/links-{k}")
-        # unchanged stars: as many links, of the same nodes, to the same roots
-        drop(links.sparkSession, f"{path}/links-{k - 1}")
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+        links = stored(_thinned(small.where("a <> b")), f"{path}/links-{k}", files=files)
+        drop(spark, f"{path}/links-{k - 1}")
+    raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one other, and that on none."""
+    up = links.select(F.col("a").alias("node"), F.col("b").alias("up")).union(links.select("b", F.lit(None).cast("binary")))
+    ends = up.groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"), F.count("*").alias("n"), F.count("up").alias("hung"))
+    return ends.where("least <> most or hung > 0 and hung < n").isEmpty()

@@ -10,10 +10,15 @@ when their sets' Jaccard similarity is the threshold or more. Sets are held as 6
    n - ceil(t n) + 1 shingles, so a set whose first ones occur nowhere else is settled.
 3. The others are sorted by min-hashes of their common shingles and cut into groups of similar sets
    (``GROUP`` sets, ``GROUP_TOKENS`` shingles: a bound on memory, not on partners, as every pair of
-   groups is looked at). Each group's row of the matrix is the union of its sets' shingles.
-4. Groups whose unions share one of the first shingles meet. For each query set of one, the overlap
-   with the other's union bounds its similarity to all members; only where the bound allows a link
-   is the group opened and the similarities computed. A tile returns a spanning forest of its links.
+   groups is looked at). Each group's row of the matrix is the union of its sets' shingles. Links
+   within a group and to the one before are sought at once; a stretch of groups whose sets are all
+   connected has one label.
+4. Groups whose unions share one of the first shingles meet, unless they have one label: their sets
+   are in one component already. For each query set of one, the overlap with the other's union bounds
+   its similarity to all members; only where the bound allows a link is the group opened and the
+   similarities computed. A tile returns a spanning forest of its links.
+5. Where a bucket of shingles has very many pairs of groups, only neighbours meet first; components
+   of all links so far then label the groups anew, and the pairs that still differ meet.
 
 Defined cases: null and empty texts have an empty set, linked with nothing; of rows with a null id
 none is a component's smallest unless all are; rows that repeat an id or a text are rows like any
@@ -28,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
@@ -37,27 +42,21 @@ from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
 GROUP, GROUP_TOKENS = 64, 1 << 16
-#: Tiles that Python holds at once.
-TILES = 16
+#: Tiles that Python holds at once, first shingles in a bucket, pairs of groups for each shingle of a bucket that meet at once.
+TILES, BUCKET, AT_ONCE = 16, 1 << 16, 16
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
+#: Values of letters at the first places of a word.
+_NEAR = 64
+_PLACED = mixed(_BYTES[None, :] ^ (np.arange(1, _NEAR + 1, dtype=np.uint64) * _PLACE)[:, None]).reshape(-1)
 
 
 class Shingler:
     def __init__(self, words: int = 5):
         self.words = words
         self.weights = mixed(np.arange(11, 11 + words, dtype=np.uint64)) | np.uint64(1)
-        self.powers = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> np.ndarray:
-        if n > len(self.powers):
-            powers = np.full(max(n, 64), _BASE)
-            powers[0] = 1
-            with np.errstate(over="ignore"):
-                self.powers = np.multiply.accumulate(powers)
-        return self.powers
 
     def shingles(self, text: bytes) -> np.ndarray:
         """Distinct hashes (uint64, ascending) of a text's shingles."""
@@ -65,14 +64,19 @@ class Shingler:
         solid = ~_BLANK[a]
         first = solid.copy()
         first[1:] &= ~solid[:-1]
-        letters = _BYTES[a[solid]]
+        letters = a[solid]
         starts = np.flatnonzero(first[solid])
         m = len(starts)
         if not m:
             return np.empty(0, np.uint64)
         sizes = np.diff(starts, append=len(letters))
         place = np.arange(len(letters)) - np.repeat(starts, sizes)
-        words = mixed(np.add.reduceat(letters * self._powers(int(sizes.max()))[place], starts))
+        # a word is the sum of independent values of its letters at their places
+        if int(sizes.max()) <= _NEAR:
+            values = _PLACED[(place << 8) | letters]
+        else:
+            values = mixed(_BYTES[letters] ^ ((place + 1).astype(np.uint64) * _PLACE))
+        words = mixed(np.add.reduceat(values, starts))
         k = min(m, self.words)
         total = words[: m - k + 1] * self.weights[0]
         for j in range(1, k):
@@ -149,21 +153,42 @@ def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction)
     return docs.mapInArrow(tidied(run), "digest binary, n long, prefix long, k1 long, k2 long, tokens binary")
 
 
-_GROUP = pa.schema([("gid", pa.binary()), ("members", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("first", pa.binary())])
-_GROUP_DDL = "gid binary, members binary, sizes binary, lengths binary, tokens binary, first binary"
+_GROUP_DDL = "gid binary, members binary, sizes binary, lengths binary, tokens binary, first binary, label binary, links binary"
+_GROUP = pa.schema([(c.split()[0], pa.binary()) for c in _GROUP_DDL.split(", ")])
+
 
+def _grouped(sets: DataFrame, t: Fraction) -> DataFrame:
+    """Groups of similar sets: members' digests, set sizes, shared shingles with their counts, union of the first ones.
 
-def _grouped(sets: DataFrame) -> DataFrame:
-    """Groups of similar sets: members' digests, set sizes, shared shingles with their counts, union of the first ones."""
+    Also the links found so far (pairs of digests), and the label of the stretch of groups that they connect (null if
+    some member isn't connected with the others).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_held = 0
+        before, label = None, None
 
         def group() -> pa.RecordBatch:
+            nonlocal before, label
             tokens = [np.frombuffer(r[5], np.uint64) for r in held]
             first = np.unique(np.concatenate([x[: r[2]] for x, r in zip(tokens, held)]))
-            row = (held[0][0], b"".join(r[0] for r in held), np.array([r[1] for r in held]).tobytes(), np.array([len(x) for x in tokens]).tobytes(), b"".join(r[5] for r in held), first.tobytes())
+            members = [r[0] for r in held]
+            now = (b"".join(members), np.array([r[1] for r in held]).tobytes(), np.array([len(x) for x in tokens]).tobytes(), b"".join(r[5] for r in held))
+            links = tile_links(now, now, t) if len(held) > 1 else []
+            forest = Forest()
+            for a, b in links:
+                forest.join(a, b)
+            near = before is not None and before[1] == held[0][3]
+            if near:
+                links += (more := tile_links(before[0], now, t))
+                for _, b in more if label else ():  # all of the group before are connected
+                    forest.join(label, b)
+            one = {forest.root(x) for x in members}
+            if not (near and label and one == {forest.root(label)}):
+                label = members[0] if len(one) == 1 else None
+            before = now, held[0][3]
+            row = (members[0], *now, first.tobytes(), label, b"".join(a + b for a, b in links))
             return batch(_GROUP, [[x] for x in row])
 
         for b in batches:
@@ -180,59 +205,82 @@ def _grouped(sets: DataFrame) -> DataFrame:
     return sets.repartitionByRange("k1", "k2", "digest").sortWithinPartitions("k1", "k2", "digest").mapInArrow(tidied(run), _GROUP_DDL)
 
 
-def _met(groups: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs of groups (a: the one of fewer shingles, b) whose unions share a first shingle and whose sizes allow a link."""
-    sent = pa.schema([("bucket", pa.int32()), ("gid", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("weight", pa.int64()), ("tokens", pa.binary())])
+def _met(groups: DataFrame, t: Fraction, every: bool) -> DataFrame:
+    """Pairs of groups (a: the one of fewer shingles, b) whose unions share a first shingle and whose sizes allow a link.
+
+    groups: gid, sizes, first, weight, label. Groups of one label don't meet. Unless ``every``, buckets with very many
+    pairs give neighbours only, and a row without a and b.
+    """
+    dealt_ddl = "bucket long, gid binary, least long, most long, weight long, label binary, tokens binary"
+    sent = pa.schema([("bucket", pa.int64()), ("gid", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("weight", pa.int64()), ("label", pa.binary()), ("tokens", pa.binary())])
     pairs = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    total = groups.agg(F.sum(F.octet_length("first").cast("long"))).first()[0] or 0
+    bits = max(8, (total // 8 // BUCKET).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for gid, sizes, first, weight in zip(*(c.to_pylist() for c in b.columns)):
+            for gid, sizes, first, weight, label in zip(*(c.to_pylist() for c in b.columns)):
                 sizes, first = np.frombuffer(sizes, np.int64), np.frombuffer(first, np.uint64)
-                bounds = np.searchsorted(first, np.arange(257, dtype=np.uint64)[:256] << np.uint64(56)).tolist() + [len(first)]
-                some = [k for k in range(256) if bounds[k + 1] > bounds[k]]
-                yield batch(sent, [some, [gid] * len(some), [int(sizes.min())] * len(some), [int(sizes.max())] * len(some), [weight] * len(some), [first[bounds[k] : bounds[k + 1]].tobytes() for k in some]])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gids, least, most, weights, tokens, index = [], [], [], [], [], {}
-        for b in batches:
-            for _, gid, lo, hi, weight, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if gid not in index:
-                    index[gid] = len(gids)
-                    gids.append(gid)
-                    least.append(lo)
-                    most.append(hi)
-                    weights.append((weight, gid))
-                tokens.append((index[gid], np.frombuffer(raw, np.uint64)))
-        if not tokens:
-            return
-        value = np.concatenate([x for _, x in tokens])
-        owner = np.repeat([k for k, _ in tokens], [len(x) for _, x in tokens])
-        order = np.lexsort((owner, value))
+                bucket = (first >> np.uint64(64 - bits)).astype(np.int64)
+                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+                n = len(edges) - 1
+                parts = [first[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])]
+                yield batch(sent, [pa.array(bucket[edges[:-1]]), [gid] * n, [int(sizes.min())] * n, [int(sizes.max())] * n, [weight] * n, [label] * n, parts])
+
+    def meet(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of one bucket."""
+        gids = [r[1] for r in rows]
+        lo, hi = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        weights = [(r[4], r[1]) for r in rows]
+        known: dict[bytes, int] = {}
+        labels = np.array([-1 - k if r[5] is None else known.setdefault(r[5], len(known)) for k, r in enumerate(rows)])
+        tokens = [np.frombuffer(r[6], np.uint64) for r in rows]
+        value = np.concatenate(tokens)
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in tokens])
+        order = np.lexsort((owner, labels[owner], value))
         value, owner = value[order], owner[order]
         starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        sizes = np.diff(starts, append=len(value))
-        lo, hi = np.array(least), np.array(most)
-        found, n_found = [], 0
-        seen = np.empty(0, np.int64)
-        for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            g = owner[s : s + n]
-            for i in range(n - 1):
-                a, rest = g[i], g[i + 1 :]
+        ends = np.r_[starts[1:], len(value)]
+        several = labels[owner[starts]] != labels[owner[ends - 1]]
+        lists, n_pairs = [], 0
+        for s, e in zip(starts[several].tolist(), ends[several].tolist()):
+            g = owner[s:e]
+            after = np.searchsorted(labels[g], labels[g], side="right")  # the first of another label
+            lists.append((g, after))
+            n_pairs += int((len(g) - after).sum())
+        some = not every and n_pairs > AT_ONCE * len(value)
+        found, n_found, seen = [], 0, np.empty(0, np.int64)
+        for g, after in lists:
+            heads = np.unique(after)[:-1] if some else ()
+            for i, rest in ((i - 1, g[i : i + 1]) for i in heads) if some else ((i, g[k:]) for i, k in enumerate(after)):
+                a = g[i]
                 rest = rest[(hi[rest] * t.denominator >= lo[a] * t.numerator) & (hi[a] * t.denominator >= lo[rest] * t.numerator)]
-                found.append(a * len(gids) + rest)
+                found.append(np.minimum(a, rest) * len(gids) + np.maximum(a, rest))
                 n_found += len(rest)
             if n_found > 1 << 20:
                 seen = np.unique(np.concatenate([seen, *found]))
                 found, n_found = [], 0
         seen = np.unique(np.concatenate([seen, *found]))
+        if some:
+            yield batch(pairs, [[None], [None]])
         for at in range(0, len(seen), 10_000):
             part = seen[at : at + 10_000]
             both = [sorted((weights[i], weights[j])) for i, j in zip(part // len(gids), part % len(gids))]
             yield batch(pairs, [[x[1] for x, _ in both], [y[1] for _, y in both]])
 
-    dealt = groups.select("gid", "sizes", "first", F.octet_length("tokens").cast("long")).mapInArrow(tidied(deal), "bucket int, gid binary, least long, most long, weight long, tokens binary")
-    return dealt.repartition("bucket").mapInArrow(tidied(meet), "a binary, b binary").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    yield from meet(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from meet(held)
+
+    dealt = groups.select("gid", "sizes", "first", "weight", "label").mapInArrow(tidied(deal), dealt_ddl)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "a binary, b binary").distinct()
 
 
 def tile_links(one: tuple, two: tuple, t: Fraction) -> list[tuple[bytes, bytes]]:
@@ -272,6 +320,7 @@ def tile_links(one: tuple, two: tuple, t: Fraction) -> list[tuple[bytes, bytes]]
 
 
 def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """Links between the members of pairs of groups."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     columns = ("members", "sizes", "lengths", "tokens")
 
@@ -282,16 +331,33 @@ def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
                 if links := tile_links(tuple(row[:4]), tuple(row[4:]), t):
                     yield batch(schema, list(map(list, zip(*links))))
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                group = tuple(c[k].as_py() for c in b.columns)
-                if links := tile_links(group, group, t):
-                    yield batch(schema, list(map(list, zip(*links))))
-
     side = lambda s: groups.select(F.col("gid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select(*(f"{s}_{c}" for s in "ab" for c in columns))
-    return both.mapInArrow(tidied(run), "a binary, b binary").union(groups.where(F.octet_length("sizes") > 8).select(*columns).mapInArrow(tidied(within), "a binary, b binary"))
+    return both.mapInArrow(tidied(run), "a binary, b binary")
+
+
+def _pieces(column: str, size: int) -> Column:
+    """A row for each ``size`` bytes of a binary column that has some."""
+    return F.explode(F.expr(f"transform(sequence(0, octet_length({column}) div {size} - 1), i -> substring({column}, cast(i * {size} + 1 as int), {size}))"))
+
+
+def _links(groups: DataFrame, t: Fraction, path: str) -> DataFrame:
+    """Links that connect what all links connect: those found with the groups, and those of pairs of groups."""
+    pair = groups.where("octet_length(links) > 0").select(_pieces("links", 32).alias("l"))
+    links = pair.select(F.expr("substring(l, 1, 16)").alias("a"), F.expr("substring(l, 17, 16)").alias("b"))
+    small = groups.select("gid", "members", "sizes", "first", F.octet_length("tokens").cast("long").alias("weight"), "label")
+    pairs = stored(_met(small, t, every=False), f"{path}/pairs")
+    found = stored(_linked(groups, pairs.where("a is not null"), t), f"{path}/found", rows=TILES)
+    links = links.union(found)
+    if pairs.where("a is null").isEmpty():
+        return links
+    roots = components(links, f"{path}/first")
+    member = small.select("gid", _pieces("members", 16).alias("node")).join(roots, "node", "left")
+    member = member.groupBy("gid").agg(F.min(F.coalesce("root", "node")).alias("least"), F.max(F.coalesce("root", "node")).alias("most"))
+    label = member.where("least = most").select("gid", F.col("least").alias("label"))
+    rest = stored(_met(small.drop("label").join(label, "gid", "left"), t, every=True), f"{path}/rest")
+    rest = rest.join(pairs.where("a is not null"), ["a", "b"], "left_anti")
+    return links.union(stored(_linked(groups, rest, t), f"{path}/found-rest", rows=TILES))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5), nodes: bool = False) -> DataFrame:
@@ -299,25 +365,23 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
 
     With ``nodes`` also digest (of the document's set, null if that is empty) and root, one digest of its component.
     """
-    path = shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = shared_dir(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     surveyed = stored(_surveyed(docs, words), f"{path}/surveyed")
-    sweep(df.sparkSession)
+    sweep(spark)
     levels = sketch.Levels(surveyed)
     sets = stored(_open_sets(docs, levels, words, threshold).dropDuplicates(["digest"]), f"{path}/sets")
     levels.done()
-    sweep(df.sparkSession)
-    groups = stored(_grouped(sets), f"{path}/groups")
-    links = stored(_linked(groups, stored(_met(groups, threshold), f"{path}/pairs"), threshold), f"{path}/links", rows=TILES)
-    drop(df.sparkSession, *(f"{path}/{x}" for x in ("sets", "groups", "pairs")))
-    sweep(df.sparkSession)
-    roots = components(links, path)
+    sweep(spark)
+    groups = stored(_grouped(sets, threshold), f"{path}/groups")
+    drop(spark, f"{path}/sets")
+    roots = components(_links(groups, threshold, path), path).withColumnRenamed("node", "digest")
+    drop(spark, *(f"{path}/{x}" for x in ("groups", "pairs", "found", "first", "rest", "found-rest")))
+    sweep(spark)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    own = every.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    linked = own.join(roots.withColumnRenamed("node", "digest"), "digest")
-    linked = linked.join(linked.groupBy("root").agg(F.min("least").alias("reached")), "root").select("digest", "reached", "root")
-    label = own.join(linked, "digest", "left").select("digest", F.coalesce("reached", "least").alias("component_id"), F.coalesce("root", "digest").alias("root"))
-    more = ("digest", "root") if nodes else ()
-    out = every.where("digest is not null").join(label, "digest").select("doc_id", "n_shingles", "component_id", *more)
+    some = every.where("digest is not null").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = some.join(least, "root").select("doc_id", "n_shingles", "component_id", *(("digest", "root") if nodes else ()))
     empty = every.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", F.col("digest").alias("root"))
     return out.union(empty.select(out.columns))

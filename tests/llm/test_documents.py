@@ -342,3 +342,61 @@ def test_surrogates_are_a_bijection():
 ])
 def test_empty_tables(empty, run):
     assert run(empty).collect() == []
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 100])
+def test_packing_pads_little_in_any_partitions(spark, sf_dir, partitions):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(docs.repartition(partitions), PATH, 2, keep_ids=False).collect()
+    used, size = {}, {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        size.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    for pieces in size.values():
+        at = 0
+        for start, length, _ in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == pieces[0][2]
+    assert len(size) == docs.count()
+    total = sum(r.length for r in rows)
+    assert len(used) <= -(-total // 4096) + max(1, 0.01 * total / 4096)
+
+
+def test_words_of_like_patterns_differ(spark):
+    """Two words that polynomials modulo a power of two can't tell apart."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} of the long kind here"), (2, f"{other} of the long kind here")]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+@pytest.mark.parametrize("group", [1, 2, 5])
+def test_ngram_join_in_two_rounds(spark, monkeypatch, group):
+    """With neighbours first and labels from components the result is that of all pairs."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    rows = [(i, edited(BASE, i % 9)) for i in range(60)] + [(100 + i, edited(PASSAGE, i % 4)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, ngram_join.join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "AT_ONCE", -1)
+    assert sorted(map(tuple, ngram_join.join(docs).collect())) == whole
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch, tmp_path):
+    from lodestone.llm import components
+
+    links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)], "a binary, b binary").repartition(4)
+    got = {bytes(r.node): bytes(r.root) for r in components.components(links, f"{tmp_path}/a").collect()}
+    assert got == {bytes([i]): bytes([0]) for i in range(61)}
+    monkeypatch.setattr(components, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        components.components(links, f"{tmp_path}/b")
