@@ -30,7 +30,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 WORD = regex.compile("|".join(CONTRACTIONS) + rf"|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Words, and runs of non-blank characters, that each Python worker keeps with their ids.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 18
 
 
 def byte_symbols() -> list[str]:
