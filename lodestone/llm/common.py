@@ -96,29 +96,39 @@ def tidied(run, keep: bool = False):
     what may serve the worker's next task stays until a task without it comes."""
 
     def go(batches):
-        pa.set_memory_pool(pa.system_memory_pool())  # what malloc_trim() reaches
-        if not keep:
-            for release in _releases:
-                release()
-            gc.collect()
+        task_begins(keep)
         try:
             yield from run(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
         finally:
-            if not keep:
-                for release in _releases:
-                    release()
-            gc.collect()  # what is released may hold itself in cycles
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            task_ends(keep)
 
     return go
 
 
-#: What else is released when a task starts and ends.
+#: What else is released when a task starts and ends: of the worker's modules, so only module functions may call it.
 _releases: list = []
 
 
+def task_begins(keep: bool) -> None:
+    pa.set_memory_pool(pa.system_memory_pool())  # what malloc_trim() reaches
+    if not keep:
+        _release()
+
+
+def task_ends(keep: bool) -> None:
+    if not keep:
+        _release()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def _release() -> None:
+    for release in _releases:
+        release()
+    gc.collect()  # what is released may hold itself in cycles
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -10,7 +10,6 @@ by chance lets more through, never less.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +116,7 @@ class Levels:
         for r in counted_rows.where("segment >= 0").select("segment", "payload").toLocalIterator():
             packed[r[0] * width : (r[0] + 1) * width] = r[1]
         self.key = uuid.uuid4().int
-        self.packed = counted_rows.sparkSession.sparkContext.broadcast(zlib.compress(packed, 1))
+        self.packed = counted_rows.sparkSession.sparkContext.broadcast(zstandard.ZstdCompressor(level=1).compress(packed))
 
     def done(self) -> None:
         """No task will ask any more: workers and executors forget the levels."""
@@ -125,7 +124,7 @@ class Levels:
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         if self.key not in _unpacked:
-            _unpacked[self.key] = np.frombuffer(zlib.decompress(self.packed.value), np.uint8)
+            _unpacked[self.key] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.packed.value), np.uint8)
         slots = (tokens >> np.uint64(64 - self.slot_bits)).astype(np.int64)
         if self.one_bit:
             return (_unpacked[self.key][slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
