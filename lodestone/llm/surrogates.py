@@ -1,23 +1,33 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and format.
 
-Each entity's characters are permuted within their classes (digits; vowels and consonants by case
-and script; ideographs ...), so length, script, case, punctuation and the shape of the entity stay.
-The permutation is a keyed Feistel network over the strings of one shape, a bijection: an entity
-always gets the same surrogate (coreference) and two entities never get the same one
-(distinctness), in whatever documents they stand and without any exchange between machines. A name
-keeps its title and the final vowel of each part, which mark gender; a phone number its country
-code, an account number its country and valid check digits; a card number is valid where it was. ``clashes``
-checks distinctness over a whole table.
+Numbers, addresses and secrets: each entity's characters are permuted within their classes (digits;
+vowels and consonants by case and script; ideographs ...), so length, script, case, punctuation and
+shape stay. The permutation is a keyed Feistel network over the strings of one shape. A phone number
+keeps its country code, an account number its country and valid check digits; a card number is valid
+where it was; a street keeps its kind.
+
+Names: each part of a name is an entity, whatever title or other part stands beside it. A given name
+of the lists becomes another one of its gender and length by a keyed order; any other part is drawn
+from the pronounceable units of its own shape (initial and inner pairs of consonants, single
+consonants, vowels, by script), and its last vowel, a mark of gender in many languages, stays.
+
+Every step is a bijection on the strings of its type and shape: an entity always gets the same
+surrogate (coreference) and two entities never get the same one (distinctness), in whatever documents
+they stand and without any exchange between machines. Where a step could leave its set (a drawn part
+that is a listed name, a card number that turns valid), the check walks on along the permutation's
+cycle until the surrogate is free, which keeps the bijection. ``clashes`` verifies it over a table.
 
 Defined cases: null texts stay null, empty ones empty; an entity of one shape only (no character to
 permute) stays; overlapping candidates go to the first, then the longest-listed type; repeated rows
 are treated alike; other columns pass through ``replaced`` unchanged, whatever their names; an
 empty table gives an empty one. Whole texts are searched.
 
-Not supported: names without one of TITLES, user names, postal addresses, places and dates of birth,
-identity, licence and vehicle numbers other than 3-2-4 digits, national bank accounts, coordinates,
-compressed IPv6 addresses without a decimal digit (they look like code), the letters before the IPv4
-part of a mixed address, and secrets of other forms than ENTITY names that no keyword introduces.
+Names are found by a title or by a listed given name before a capitalised word; the parts found in a
+document are then found alone in it too. Not supported: other names, user names, places and dates of
+birth, streets of other kinds than STREETS, identity, licence and vehicle numbers other than 3-2-4
+digits, national bank accounts, coordinates, compressed IPv6 addresses without a decimal digit (they
+look like code), the letters before the IPv4 part of a mixed address, and secrets of other forms than
+ENTITY names that no keyword introduces.
 """
 
 from __future__ import annotations
@@ -25,8 +35,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +47,27 @@ from lodestone.llm.common import batch, tidied
 
 ROUNDS = 8
 #: Classes of characters; a surrogate takes each from the class of the original.
-_LOWER = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äöü", "ãõ", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+_LOWER = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äöü", "ãõ", "āēīōū", "ąęįų", "ěőůű", "æøå", "çñ", "čćďđľłńňřśšťźżž", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 CLASSES = ("0123456789", *_LOWER, *(c.upper() for c in _LOWER))
 #: Ranges of letters of scripts without case, each one class.
 RANGES = ((0x05D0, 0x05EA), (0x0621, 0x063A), (0x0905, 0x0939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: Given names by gender, titles, kinds of streets.
+FEMALE = (
+    "ada alba alice amelia amy ana anita anja anna anne barbara beate beatriz birgit carla carmen caroline catherine claire clara claudia daniela "
+    "diana dora elena elisa elizabeth ella emily emma erika eva fiona frida gabriela grace hanna heike helen helena ines irene isabel jane jessica "
+    "joan julia karin karla katja laura lena lisa lucia luisa maria marie martha mary monica nadia nina olga olivia paula petra rita rosa sabine sandra "
+    "sara sarah silvia sofia sophie susan tanja teresa ursula vera"
+).split()
+MALE = (
+    "adam alan albert alex alfred andreas antonio arthur ben bernd bruno carl carlos charles christian daniel david diego dieter edward emil eric erik "
+    "felix fernando francis frank fred george gerd hans harald harry heinz henri henry hugo igor ivan jack jacob jakob james jan javier jean jens joe john "
+    "jorge jose karl klaus kurt lars leo lewis louis lucas luis manuel marco mark martin michael miguel oliver oscar otto pablo paul pedro peter pierre "
+    "ralf richard robert rolf samuel simon stefan thomas tim uwe victor walter werner william"
+).split()
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Drive", "Boulevard", "Blvd", "Court", "Square")
+#: Pairs of consonants that begin a part, and that stand inside or at its end.
+ONSETS = "bl br ch cl cr dr fl fr gl gr kl kr pl pr sc sh sk sl sm sn sp st sw th tr".split()
+INNER = "ck ld lf lk ll lm lt mm mp nd ng nk nn ns nt rd rk rl rm rn rr rs rt ss st th tt".split()
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Señor", "Señora", "Sr", "Sra", "Monsieur", "Madame", "Mme")
 _CLASS = {c: (k, i) for k, letters in enumerate(CLASSES) for i, c in enumerate(letters)}
 _NAME = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['-][^\W\d_]+)?"
@@ -61,7 +89,13 @@ ENTITY = re.compile(
 )
 #: With TITLES and _KEYED, what any entity has at least.
 _HINT = re.compile(r"[@\d]|eyJ|sk-|gh[a-z]_|AKIA|[a-f]{32}|[A-F]{32}|(?:[0-9A-Fa-f]{1,4}[:-]){5}")
+_UNTITLED = re.compile(rf"\b([A-Z][a-z]{{1,8}})(?: [A-Z]\.)?((?:[  ]{_NAME}){{1,2}})")
+_STREET = re.compile(rf"\b\d{{1,5}} (?:[A-Z][a-z]+ ){{1,2}}(?:{'|'.join(STREETS)})\b|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse) \d{{1,4}}\b")
+_LOCAL = re.compile(r"0(?<![\d.,/-]0)\d{1,4}[ /-]\d{5,8}(?![\d-])")
+_PART = re.compile(r"[^\W\d_]{2,}")
 _KEYED = re.compile(r"(?i)(?:token|secret|password|passwd|key)\s*[=:]")
+_GIVEN = {*FEMALE, *MALE}
+_WAYS = (*(f" {x}" for x in STREETS), "straße ", "strasse ", "weg ", "platz ", "allee ", "gasse ")
 _SECRET_VALUE = re.compile(r"[A-Za-z0-9_+/=-]+\Z")
 
 
@@ -73,17 +107,44 @@ def _place(c: str) -> tuple[int, int, int] | None:
     for k, (lo, hi) in enumerate(RANGES):
         if lo <= ord(c) <= hi:
             return len(CLASSES) + k, ord(c) - lo, hi - lo + 1
+    if c.isalpha() and not c.isascii():  # any other letter: among the letters of its kind nearby
+        near = _near(ord(c) >> 5, unicodedata.category(c))
+        return -1 - (ord(c) >> 5), near.index(c), len(near)
     return None
 
 
-def _letter(k: int, i: int) -> str:
+@cache
+def _near(block: int, category: str) -> str:
+    return "".join(c for c in map(chr, range(block << 5, (block + 1) << 5)) if unicodedata.category(c) == category)
+
+
+def _letter(old: str, k: int, i: int) -> str:
+    if k < 0:
+        return _near(-1 - k, unicodedata.category(old))[i]
     return CLASSES[k][i] if k < len(CLASSES) else chr(RANGES[k - len(CLASSES)][0] + i)
 
 
+def _units(part: str) -> list[tuple[str, object, int, int]]:
+    """A part of a name as pairs of consonants and single characters: text, class, index in it, its size."""
+    out, at = [], 0
+    while at < len(part):
+        pairs = INNER if at else ONSETS
+        pair = part[at : at + 2]
+        if pair in pairs:
+            out.append((pair, "inner" if at else "onset", pairs.index(pair), len(pairs)))
+        elif place := _place(part[at]):
+            out.append((part[at], *place))
+        else:
+            out.append((part[at], None, 0, 1))
+        at += len(out[-1][0])
+    return out
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.of = lru_cache(1 << 16)(self._of)
+        self.given = self._listed(FEMALE) | self._listed(MALE)
 
     def _feistel(self, tweak: str, values: list[int], sizes: list[int]) -> list[int]:
         """A keyed bijection on the numbers with these digits in a mixed radix."""
@@ -127,9 +188,46 @@ class Surrogates:
         new = self._feistel(f"{kind}|{shape}", [places[i][1] for i in at], [places[i][2] for i in at])
         out = list(text)
         for i, v in zip(at, new):
-            out[i] = _letter(places[i][0], v)
+            out[i] = _letter(text[i], places[i][0], v)
         return "".join(out)
 
+    def _listed(self, names: list[str]) -> dict[str, str]:
+        """Each name's successor among those of its length, in a keyed order."""
+        out = {}
+        order = sorted(names, key=lambda x: hmac.digest(self.key, f"given|{x}".encode(), "sha256"))
+        for size in {len(x) for x in names}:
+            alike = [x for x in order if len(x) == size]
+            if len(alike) > 1:
+                out |= dict(zip(alike, alike[1:] + alike[:1]))
+        return out
+
+    def _part(self, text: str) -> str:
+        low = text.lower()
+        if len(low) != len(text):
+            return self.permuted("name", text)
+        new = self.given.get(low)
+        if new is None:
+            new = self._drawn(low)
+        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(text, new))
+
+    def _drawn(self, part: str) -> str:
+        units = _units(part)
+        moving = [i for i, (_, _, _, size) in enumerate(units) if size > 1 and not (i and i == len(units) - 1 and part[-1] in "aeiouаяα")]
+        if not moving:
+            return part
+        kinds = [u[1] for u in units]
+        shape = "|".join(u[0] if i not in moving else str(u[1]) for i, u in enumerate(units))
+        values, sizes = [units[i][2] for i in moving], [units[i][3] for i in moving]
+        out = [u[0] for u in units]
+        while True:
+            values = self._feistel(f"part|{shape}", values, sizes)
+            for i, v in zip(moving, values):
+                out[i] = ONSETS[v] if kinds[i] == "onset" else INNER[v] if kinds[i] == "inner" else _letter(units[i][0], kinds[i], v)
+            new = "".join(out)
+            # on along the permutation's cycle to a string that has these units and is no listed name: still a bijection
+            if new not in self.given and [u[1] for u in _units(new)] == kinds:
+                return new
+
     def _digits(self, kind: str, text: str, keep: int = 0) -> str:
         """The digits permuted (all but the first ``keep``), laid back into the text's format."""
         digits = re.sub(r"\D", "", text)
@@ -182,9 +280,14 @@ class Surrogates:
                     new = self._feistel(f"{digits}|{len(value[0])}", [digits.index(c) for c in value[0]], [16] * len(value[0]))
                     return text[: value.start()] + "".join(digits[i] for i in new)
             return text[: value.start()] + self.permuted(kind, value[0])
-        title = re.match(r"[^\s.]+\.?\s", text).end()
-        ends = {m.end() - 1 for m in re.finditer(r"\S+", text) if text[m.end() - 1].lower() in "aeiouаяα"}
-        return self.permuted(kind, text, frozenset({*range(title), *ends}))
+        if kind == "street":
+            fixed = set()
+            for m in re.finditer(rf"\b(?:{'|'.join(STREETS)})$|(?:straße|strasse|weg|platz|allee|gasse)(?= \d)", text):
+                fixed |= {*range(m.start(), m.end())}
+            return self.permuted(kind, text, frozenset(fixed))
+        title = re.match(rf"(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?\s", text)
+        at = title.end() if title else 0
+        return text[:at] + _PART.sub(lambda m: self._part(m[0]), text[at:])
 
 
 def luhn(digits: str) -> bool:
@@ -193,9 +296,32 @@ def luhn(digits: str) -> bool:
 
 def found(text: str) -> list[tuple[str, int, int]]:
     """(type, from, to) of the entities of a text."""
-    if not _HINT.search(text) and not any(t in text for t in TITLES) and not _KEYED.search(text):
-        return []
-    return [(m.lastgroup, m.start(), m.end()) for m in ENTITY.finditer(text)]
+    spans = []
+    if _HINT.search(text) or any(t in text for t in TITLES) or _KEYED.search(text):
+        spans = [(m.lastgroup, m.start(), m.end()) for m in ENTITY.finditer(text)]
+        spans = _with(spans, [("phone", m.start(), m.end()) for m in _LOCAL.finditer(text)])
+    if any(t in text for t in _WAYS):
+        spans = _with(spans, [("street", m.start(), m.end()) for m in _STREET.finditer(text)])
+    names = [("name", m.start(), m.end()) for m in _UNTITLED.finditer(text) if m[1].lower() in _GIVEN]
+    if names:
+        spans = _with(spans, names)
+    parts = {p for k, a, b in spans if k == "name" for p in _PART.findall(text[a:b]) if len(p) > 2 and p not in TITLES and p[0].isupper()}
+    if parts:  # alone they are the same person's
+        again = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})\b")
+        spans = _with(spans, [("name", m.start(), m.end()) for m in again.finditer(text)])
+    return spans
+
+
+def _with(spans: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """All spans in order, without those of ``more`` that overlap others."""
+    out, k = [], 0
+    for x in more:
+        while k < len(spans) and spans[k][2] <= x[1]:
+            out.append(spans[k])
+            k += 1
+        if k == len(spans) or spans[k][1] >= x[2]:
+            out.append(x)
+    return out + spans[k:]
 
 
 def rewritten(text: str, surrogates: Surrogates) -> tuple[str, list[str]]:

@@ -400,3 +400,34 @@ def test_components_that_do_not_settle_are_an_error(spark, monkeypatch, tmp_path
     monkeypatch.setattr(components, "ROUNDS", 2)
     with pytest.raises(RuntimeError):
         components.components(links, f"{tmp_path}/b")
+
+
+def test_surrogates_of_names():
+    s = surrogates.Surrogates(b"key")
+    new = {t: surrogates.rewritten(t, s)[0] for t in (
+        "Mr. John Smith", "Mr Smith", "Dr Smith", "Mrs. Anna Kowalska", "Ms Anna Kowalska", "Frau Żółć Łęcka", "Dr. Šč", "we met John Smith there",
+        "John Smith left. Smith came back.", "call 030 1234567 now", "at 12 Baker Street", "Lindenstraße 7", "Mme Ελένη Παππά", "Herr Иван Петров",
+    )}
+    assert new["Mr. John Smith"].split()[2] == new["Mr Smith"].split()[1] == new["Dr Smith"].split()[1] != "Smith"
+    assert new["Mrs. Anna Kowalska"].split()[1:] == new["Ms Anna Kowalska"].split()[1:]
+    given = new["Mr. John Smith"].split()[1].lower()
+    assert given in surrogates.MALE and given != "john" and new["Ms Anna Kowalska"].split()[1].lower() in surrogates.FEMALE
+    assert new["we met John Smith there"].split()[2:4] == new["Mr. John Smith"].split()[1:]
+    assert new["John Smith left. Smith came back."].split()[1] == new["John Smith left. Smith came back."].split()[3] != "Smith"
+    for text in ("Frau Żółć Łęcka", "Dr. Šč", "Mme Ελένη Παππά", "Herr Иван Петров"):
+        for old, now in zip(text.split()[1:], new[text].split()[1:], strict=True):
+            stays = [o for o, c in zip(old, now) if o == c]
+            assert len(old) == len(now) and len(stays) <= 2 and [c.isupper() for c in old] == [c.isupper() for c in now]
+    assert new["call 030 1234567 now"] != "call 030 1234567 now" and new["Lindenstraße 7"].split()[0].endswith("straße") and "Linden" not in new["Lindenstraße 7"]
+    assert new["at 12 Baker Street"].endswith(" Street") and "Baker" not in new["at 12 Baker Street"] and "12" not in new["at 12 Baker Street"]
+    for text in ("the street of John", "Und Peter", "12 streets", "0 12"):
+        assert surrogates.found(text) == []
+
+
+def test_surrogates_of_name_parts_are_distinct():
+    s = surrogates.Surrogates(b"key")
+    parts = {a + v + b for a in (*surrogates.ONSETS, *"bdfgklmnprstvw") for v in "aeiou" for b in (*surrogates.INNER, "a", "o", "l", "z")} | {*surrogates.FEMALE, *surrogates.MALE}
+    new = {s._part(x) for x in parts}
+    assert len(new) == len(parts)
+    assert all(len(s._part(x)) == len(x) for x in list(parts)[:200])
+    assert {s._part(x) for x in surrogates.FEMALE} - {*surrogates.FEMALE} == {s._part(x) for x in surrogates.FEMALE if x not in s.given}
