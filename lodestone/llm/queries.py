@@ -59,6 +59,7 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         name("edited_fingerprint").alias("edited_fingerprint"),
         winnowing.likeness(own, edited).alias("near_edited"),
         winnowing.likeness(own, following).alias("near_next"),
+        F.col("fingerprint").alias("marks"),  # hashes with their positions
     )
 
 

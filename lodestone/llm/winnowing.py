@@ -6,7 +6,8 @@ least hash is chosen, on ties the rightmost. So any run of w + k - 1 symbols tha
 gives them a common fingerprint.
 
 A fingerprint is an array of longs: 38 bits of hash, then 25 bits that hold 2**25 - 1 less the
-position (so that the least long is the least hash with the rightmost position).
+position (so that the least long is the least hash with the rightmost position). Positions count
+symbols; beyond 2**25 symbols of one text (some 100 MB) they start from 0 again.
 
 Defined cases: a null text is the empty text; texts without symbols have an empty fingerprint,
 equal to each other's (likeness 1) and unlike all others (0); texts with fewer than k symbols have
@@ -22,12 +23,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import let
+from lodestone.llm.common import let, shared_dir, stored
 
 K, WINDOW, PIECE = 5, 4, 16
 POSITION_BITS = 25
-#: Ids of a bucket within which the next document is found; so many buckets make one of the level above.
-BUCKET_BITS, LEVEL_BITS = 6, 12
+#: Ids of a bucket within which the next document is found.
+BUCKET_BITS = 6
 
 
 def _rotated(x: Column, bits: int) -> Column:
@@ -78,9 +79,14 @@ def likeness(a: Column, b: Column) -> Column:
 def cyclic_successors(keys: DataFrame, col: str) -> DataFrame:
     """col, following: each distinct non-null long with the next larger one; after the largest comes the smallest.
 
-    Found within blocks of 2**LEVEL_BITS values; only one row a block meets in one task.
+    Found within ranges, as many as there are shuffle partitions, however the keys lie; only one row a range meets in
+    one task. The ranges are a table, so that all uses see the same.
     """
-    block = keys.select(F.col(col).alias("k")).where("k is not null").distinct().withColumn("b", F.shiftright("k", LEVEL_BITS))
+    spark = keys.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = keys.select(F.col(col).alias("k")).where("k is not null").distinct()
+    dealt = every.repartitionByRange(ranges, "k").select("k", F.spark_partition_id().alias("b"))
+    block = stored(dealt, f"{shared_dir(spark)}/ranges", files=0)
     inner = block.withColumn("n", F.lead("k").over(Window.partitionBy("b").orderBy("k")))
     tops = block.groupBy("b").agg(F.min("k").alias("t"))
     order = Window.orderBy("b")

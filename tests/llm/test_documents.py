@@ -431,3 +431,60 @@ def test_surrogates_of_name_parts_are_distinct():
     assert len(new) == len(parts)
     assert all(len(s._part(x)) == len(x) for x in list(parts)[:200])
     assert {s._part(x) for x in surrogates.FEMALE} - {*surrogates.FEMALE} == {s._part(x) for x in surrogates.FEMALE if x not in s.given}
+
+
+def test_successors_of_scattered_ids(spark):
+    """Hashed ids are followed by the next larger one, and no range has more than its share."""
+    ids = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)})
+    got = winnowing.cyclic_successors(spark.createDataFrame([(x,) for x in [*ids, *ids[:50]]], "k long"), "k").collect()
+    assert {r.k: r.following for r in got} == dict(zip(ids, ids[1:] + ids[:1])) and len(got) == len(ids)
+
+
+def test_winnowing_against_brute_force(spark):
+    """Hash values, choice of windows and both likenesses, from the definition."""
+    from pyspark.sql import functions as F
+
+    texts = [prose(60), prose(60), PASSAGE + " " + prose(20), prose(25) + " " + PASSAGE, "a " * 20, "one two", ""]
+    words = sorted({w[i : i + 16] for t in texts for w in t.split() for i in range(0, len(w), 16)})
+    symbol = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    mask = (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & mask if n else x
+
+    def chosen(text):
+        h = [symbol[w] & mask for w in text.split()]
+        if not h:
+            return []
+        if len(h) < 5:
+            whole = 0
+            for x in h:
+                whole = turn(whole, 1) ^ x
+            return [(whole >> 26, 0)]
+        grams = []
+        for i in range(len(h) - 4):
+            value = 0
+            for j in range(5):
+                value ^= turn(h[i + j], 4 - j)
+            grams.append((value >> 26, i))
+        picked = []
+        for s in range(max(1, len(grams) - 3)):
+            least = min(x for x, _ in grams[s : s + 4])
+            best = max(g for g in grams[s : s + 4] if g[0] == least)
+            if best not in picked:
+                picked.append(best)
+        return picked
+
+    def near(a, b):
+        a, b = {x for x, _ in a}, {x for x, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    rows = winnowing.fingerprints_beside_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    own, edited, following = (winnowing.hashes(F.col(c)) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    rows = rows.select("doc_id", "fingerprint", winnowing.likeness(own, edited).alias("e"), winnowing.likeness(own, following).alias("n")).collect()
+    for r in rows:
+        mine, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        assert [((x >> 25) & ((1 << 38) - 1), (1 << 25) - 1 - (x & ((1 << 25) - 1))) for x in r.fingerprint] == chosen(mine)
+        assert r.n == pytest.approx(near(chosen(mine), chosen(after)))
+        half = len(mine) // 2
+        altered = mine[: len(mine) - half] + after[:half]
+        if all(w in symbol for w in altered.split()):
+            assert r.e == pytest.approx(near(chosen(mine), chosen(altered)))
