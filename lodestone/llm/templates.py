@@ -1,7 +1,7 @@
 """HTML extraction by templates that are deduced from equivalence classes of tokens.
 
 A page is a sequence of tokens: tags with their path of open elements, and texts with theirs. Tokens
-of a host's pages that have the same occurrence vector (how often in which page) form an equivalence
+of a host's pages that have the same occurrence signature (how often in which page) form an equivalence
 class; classes of two tokens or more that half of the host's pages (and two at least) share are
 valid. Rows of one host with equal HTML are one page here, so copies alone make no template. Their tags nest by their paths and make up the host's template; texts among them are part of
 it. What stands between a template's tags is a slot, named by the innermost template element around
@@ -18,7 +18,7 @@ more has to speak against: a class there needs ARTICLE_PAGES pages, or NAMED_PAG
 has a class, id or role; a block goes only if all its texts are template; a slot of links goes only if
 its element belongs to the template; and an article that would go as a whole stays.
 
-An occurrence vector is kept as the exclusive or of a hash of (page, count) over the distinct pages, so
+An occurrence signature is kept as the exclusive or of a hash of (page, count) over the distinct pages, so
 the classes come from aggregations alone, whatever the size of a host.
 
 Defined cases: null and empty HTML gives the empty text; a null address is a host of its own kind;
@@ -186,8 +186,8 @@ def host(url: Column) -> Column:
 
 
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, least (pages for a valid class), vector (hash of content and count): a page's distinct tokens; token 0 stands for the page."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("least", pa.int32()), ("vector", pa.int64())])
+    """host, token, least (pages for a valid class), signature (hash of content and count): a page's distinct tokens; token 0 stands for the page."""
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("least", pa.int32()), ("signature", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag_token = lru_cache(1 << 16)(_tag_token)
@@ -208,19 +208,19 @@ def _occurrences(pages: DataFrame) -> DataFrame:
                 leasts += [least.get(t, PAGES) for t in seen]
                 counts += seen.values()
                 keys += [key] * len(seen)
-            vectors = mixed(mixed(np.array(keys, np.uint64)) ^ np.array(counts, np.uint64)).view(np.int64)
-            yield batch(schema, [hosts, tokens, leasts, pa.array(vectors)])
+            signatures = mixed(mixed(np.array(keys, np.uint64)) ^ np.array(counts, np.uint64)).view(np.int64)
+            yield batch(schema, [hosts, tokens, leasts, pa.array(signatures)])
 
     # equal pages of a host give equal rows
-    return pages.select("host", "html").mapInArrow(tidied(run), "host string, token long, least int, vector long").distinct()
+    return pages.select("host", "html").mapInArrow(tidied(run), "host string, token long, least int, signature long").distinct()
 
 
 def deduced(pages: DataFrame) -> DataFrame:
     """host, template: the tokens of each host's valid classes."""
-    met = _occurrences(pages).groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.count("*").alias("pages"), F.max("least").alias("least"))
+    met = _occurrences(pages).groupBy("host", "token").agg(F.bit_xor("signature").alias("signature"), F.count("*").alias("pages"), F.max("least").alias("least"))
     whole = met.where("token = 0").select("host", F.col("pages").alias("of"))
     frequent = met.where((F.col("token") != 0) & (F.col("pages") >= F.col("least"))).join(whole, "host").where(F.col("pages") >= F.col("of") * SHARE)
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= SIZE)
+    classes = frequent.groupBy("host", "signature", "pages").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= SIZE)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
