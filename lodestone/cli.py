@@ -15,8 +15,8 @@ from lodestone.session import session
 from lodestone.sources import config, discovery
 from lodestone.sources.store import Store
 
-STORE = ".vector-database/rag/store"
-TYPES = ".vector/document-types.yaml"
+STORE = ".lodestone/store"
+TYPES = ".lodestone/document-types.yaml"
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:

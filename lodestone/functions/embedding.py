@@ -56,16 +56,25 @@ class LazyEmbedder:
         return self._made.embed(texts)
 
 
-def embedded(df: DataFrame, embedder: Embedder, text: str = "text", into: str = "vector") -> DataFrame:
-    """df with a vector of each text; the embedder is made ready once in each worker, at its first batch."""
+def embedded(df: DataFrame, embedder: Embedder, text: str = "text", into: str = "embedding", error: str = "embedding_error") -> DataFrame:
+    """df with an embedding of each text, or null and why there is none.
+
+    The embedder is made ready once in each worker, at its first batch; where a batch fails, its texts are tried one by one.
+    """
     dimension = embedder.dimension
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def tried(texts: list[str]) -> list[tuple]:
+        try:
+            got = [list(e) for e in embedder.embed(texts)]
+            if len(got) != len(texts) or any(len(e) != dimension for e in got):
+                raise ValueError("the embedder gave another number or size of embeddings")
+            return [(e, None) for e in got]
+        except Exception as x:  # whatever a model raises is its text's failure
+            return [(None, f"{type(x).__name__}: {x}")] if len(texts) == 1 else [tried([t])[0] for t in texts]
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            vectors = embedder.embed(texts.tolist()) if len(texts) else []
-            if len(vectors) != len(texts) or any(len(v) != dimension for v in vectors):
-                raise ValueError("the embedder gave another number or size of vectors")
-            yield pd.Series(vectors, dtype=object)
+            yield pd.DataFrame(tried(texts.tolist()) if len(texts) else [], columns=["embedding", "error"], dtype=object)
 
-    return df.withColumn(into, run(F.col(text)))
+    return df.withColumn("__got", run(F.col(text))).withColumns({into: F.col("__got.embedding"), error: F.col("__got.error")}).drop("__got")

@@ -14,9 +14,11 @@ class _Loader(yaml.SafeLoader):
 
 
 _Loader.yaml_implicit_resolvers = {
-    k: [(tag, rx) for tag, rx in v if tag not in ("tag:yaml.org,2002:timestamp", "tag:yaml.org,2002:bool")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
+    k: [(tag, rx) for tag, rx in v if tag not in ("tag:yaml.org,2002:timestamp", "tag:yaml.org,2002:bool", "tag:yaml.org,2002:int")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()
 }
 _Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+# a code such as 00031 is a text, not an octal number
+_Loader.add_implicit_resolver("tag:yaml.org,2002:int", re.compile(r"^(?:[-+]?(?:0|[1-9][0-9]*)|0x[0-9a-fA-F]+)$"), list("-+0123456789"))
 _Loader.add_multi_constructor("!", lambda loader, suffix, node: loader.construct_mapping(node, True) if isinstance(node, yaml.MappingNode) else loader.construct_sequence(node, True) if isinstance(node, yaml.SequenceNode) else node.value)
 
 #: Opening line to closing line and format.

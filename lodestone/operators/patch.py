@@ -113,12 +113,12 @@ def envelope(content: str, payload: str, name: str) -> str:
             continue
         elif hunk is None:
             raise PatchError("a hunk header is missing")
-        elif r[:1] not in (" ", "-", "+", ""):
+        elif r[:1] not in (" ", "-", "+") or not r:
             raise PatchError(f"a line starts with {r[:1]!r}")
         else:
-            if r[:1] in (" ", "-", ""):
+            if r[:1] in (" ", "-"):
                 hunk[0].append(r[1:])
-            if r[:1] in (" ", "+", ""):
+            if r[:1] in (" ", "+"):
                 hunk[1].append(r[1:])
     if len(targets) != 1 or targets[0].rsplit("/", 1)[-1] != name:
         raise PatchError(f"the patch is for {targets}, the document is {name}")

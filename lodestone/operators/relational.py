@@ -28,10 +28,10 @@ def changed(found: DataFrame, stored: DataFrame, keys: Sequence[str], hash_col:
     return found.join(stored, null_safe(found, stored, [*keys, hash_col]), "left_anti")
 
 
-def reuse(chunks: DataFrame, stored: DataFrame, keys: Sequence[str], vector: str = "vector") -> DataFrame:
-    """chunks with the stored vector of the same keys, null where it must be computed."""
-    known = stored.dropDuplicates(list(keys)).select(*keys, vector)
-    right = known.select(*(F.col(k).alias(f"__{k}") for k in keys), vector)
+def reuse(chunks: DataFrame, stored: DataFrame, keys: Sequence[str], embedding: str = "embedding") -> DataFrame:
+    """chunks with the stored embedding of the same keys, null where it must be computed."""
+    known = stored.dropDuplicates(list(keys)).select(*keys, embedding)
+    right = known.select(*(F.col(k).alias(f"__{k}") for k in keys), embedding)
     on = reduce(lambda a, b: a & b, (chunks[k].eqNullSafe(right[f"__{k}"]) for k in keys))
     return chunks.join(right, on, "left").drop(*(f"__{k}" for k in keys))
 

@@ -16,18 +16,18 @@ RRF_K = 60
 BM25_K1, BM25_B = 1.2, 0.75
 
 
-def squared_distance(vector: Column, query: Sequence[float]) -> Column:
+def squared_distance(embedding: Column, query: Sequence[float]) -> Column:
     q = F.array(*(F.lit(float(x)) for x in query))
-    return F.aggregate(F.zip_with(vector, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(embedding, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
 
 
-def semantic_topk(df: DataFrame, query: Sequence[float], key: str, vector: str = "vector", k: int = SEMANTIC_LIMIT, where: Column | None = None) -> DataFrame:
+def semantic_topk(df: DataFrame, query: Sequence[float], key: str, embedding: str = "embedding", k: int = SEMANTIC_LIMIT, where: Column | None = None) -> DataFrame:
     """The k rows nearest to the query: key, semantic_rank. The filter holds before the ranking; ties go to the smaller key.
 
     Only (key, distance) reaches the top-k, which is partial in each task; the rank is over k rows.
     """
     df = df.where(where) if where is not None else df
-    near = df.select(key, squared_distance(F.col(vector), query).alias("distance")).orderBy("distance", key).limit(k)
+    near = df.select(key, squared_distance(F.col(embedding), query).alias("distance")).orderBy("distance", key).limit(k)
     return near.select(key, F.row_number().over(Window.orderBy("distance", key)).alias("semantic_rank"))
 
 

@@ -21,7 +21,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _query_vector(emb: DataFrame, vec_id: int) -> list[float]:
+def _query_embedding(emb: DataFrame, vec_id: int) -> list[float]:
     return list(emb.where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
@@ -30,12 +30,12 @@ def _query_vector(emb: DataFrame, vec_id: int) -> list[float]:
 
 def semantic_topk(spark, d):
     emb = _t(spark, d, "embeddings")
-    return S.semantic_topk(emb, _query_vector(emb, 0), "vec_id", "embedding")
+    return S.semantic_topk(emb, _query_embedding(emb, 0), "vec_id", "embedding")
 
 
 def semantic_topk_filtered(spark, d):
     emb = _t(spark, d, "embeddings")
-    return S.semantic_topk(emb, _query_vector(emb, 0), "vec_id", "embedding", where=F.col("label") == 3)
+    return S.semantic_topk(emb, _query_embedding(emb, 0), "vec_id", "embedding", where=F.col("label") == 3)
 
 
 def lexical_bm25_topk(spark, d):
@@ -48,7 +48,7 @@ def lexical_indexed_topk(spark, d):
 
 def _fused(spark, d):
     emb = _t(spark, d, "embeddings")
-    sem = S.semantic_topk(emb, _query_vector(emb, 0), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
+    sem = S.semantic_topk(emb, _query_embedding(emb, 0), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
     return S.fuse(sem, S.lexical_topk(_t(spark, d, "documents"), TERMS, "doc_id", "text"), "doc_id")
 
 
@@ -146,8 +146,8 @@ def changed_documents(spark, d):
 def embedding_reuse(spark, d):
     emb = _t(spark, d, "embeddings")
     new = emb.select("vec_id", "label")
-    known = emb.where("vec_id % 3 <> 0").select("vec_id", "label", F.col("embedding").alias("vector"))
-    return R.reuse(new, known, ["vec_id", "label"]).groupBy("label").agg(F.count_if(F.col("vector").isNotNull()).alias("hits"), F.count_if(F.col("vector").isNull()).alias("misses"))
+    known = emb.where("vec_id % 3 <> 0").select("vec_id", "label", F.col("embedding").alias("embedding"))
+    return R.reuse(new, known, ["vec_id", "label"]).groupBy("label").agg(F.count_if(F.col("embedding").isNotNull()).alias("hits"), F.count_if(F.col("embedding").isNull()).alias("misses"))
 
 
 def index_summary(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ DOCUMENT = ["package", "document_stem"]
 def reconcile(spark: SparkSession, store: Store, documents: DataFrame, embedder: Embedder, config: Config = Config()) -> dict:
     """Bring the store to documents(package, document_stem, document_hash, path, content); counts and failures.
 
-    Stale documents go; unchanged ones are skipped; the others are chunked, vectors of unchanged
-    chunks are taken over. A document that fails to extract or chunk keeps its old rows, one without
+    Stale documents go; unchanged ones are skipped; the others are chunked, embeddings of unchanged
+    chunks are taken over. A document that fails to extract, chunk or embed keeps its old rows, one without
     text loses them. Of several files of one document the last by path counts, the others are failures.
     """
     if (embedder.model, embedder.dimension) != (store.model, store.dimension):
@@ -34,10 +35,17 @@ def reconcile(spark: SparkSession, store: Store, documents: DataFrame, embedder:
     chunked = markdown.chunks(work, config).persist()
     failed = chunked.where("status = 'failed'").select(*DOCUMENT, "error_kind", "error")
     fresh = chunked.where("status = 'chunked'")
-    known = old.select(*DOCUMENT, "chunk_hash", "vector")
+    known = old.select(*DOCUMENT, "chunk_hash", "embedding")
     with_old = relational.reuse(fresh, known, [*DOCUMENT, "chunk_hash"]).persist()
-    hits, misses = with_old.where("vector is not null"), with_old.where("vector is null").drop("vector")
-    rows = hits.unionByName(embedded(misses, embedder))
+    hits, misses = with_old.where("embedding is not null"), with_old.where("embedding is null").drop("embedding")
+    # the embedder runs once: its rows are read by the count of failures and by the write
+    made = embedded(misses, embedder).persist(StorageLevel.DISK_ONLY)
+    unembedded = made.where("embedding is null").groupBy(*DOCUMENT).agg(F.min("embedding_error").alias("error"))
+    unembedded = unembedded.select(*DOCUMENT, F.lit("embedding").alias("error_kind"), "error").persist()
+    whole = lambda df: df.join(unembedded, relational.null_safe(df, unembedded, DOCUMENT), "left_anti")
+    fresh = whole(fresh)
+    failed = failed.unionByName(unembedded)
+    rows = whole(hits.unionByName(made.drop("embedding_error")))
     rows = rows.withColumns({
         "search_text": search_text(F.col("document_stem"), F.col("heading_path"), F.col("text")),
         "embedding_model": F.lit(store.model), "embedding_dimension": F.lit(store.dimension),
@@ -51,6 +59,6 @@ def reconcile(spark: SparkSession, store: Store, documents: DataFrame, embedder:
         keep = old.join(gone, relational.null_safe(old, gone, DOCUMENT), "left_anti")
         store.replace(keep.select(*SCHEMA.names).unionByName(rows))
     out = {"skipped": n_found - n_work, "reindexed": n_fresh, "deleted": n_stale, "embedded": misses.count(), "failures": failures}
-    for df in (ranked, stale, chunked, with_old):
+    for df in (ranked, stale, chunked, with_old, made, unembedded):
         df.unpersist()
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import is_stem
 
 CORPUS_ROOT = "doc"
-PACKAGES = ".vector-database/packages"
+PACKAGES = ".lodestone/packages"
 
 
 def files(spark: SparkSession, roots: Sequence[str], recursive: bool = True) -> DataFrame:

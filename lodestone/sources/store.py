@@ -25,7 +25,7 @@ SCHEMA = T.StructType(
         T.StructField("token_count", T.IntegerType(), False),
         T.StructField("embedding_model", T.StringType(), False),
         T.StructField("embedding_dimension", T.IntegerType(), False),
-        T.StructField("vector", T.ArrayType(T.FloatType()), False),
+        T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     ]
 )
 
@@ -38,8 +38,12 @@ class MissingStore(ValueError):
     pass
 
 
+class StoreConflict(RuntimeError):
+    """Two writers replaced one version."""
+
+
 class Store:
-    """A store at a path that Spark's file systems reach: meta.json points at the current version's folder."""
+    """A store at a path that Spark's file systems reach: of its numbered pointers pointer-N.json the greatest names the current version's folder."""
 
     def __init__(self, spark: SparkSession, path: str, model: str, dimension: int):
         if not model.strip() or dimension <= 0:
@@ -50,22 +54,47 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _meta(self) -> dict | None:
-        fs, path = self._fs("meta.json")
+    def _pointers(self) -> list[str]:
+        """Pointers by number; a pointer is never changed."""
+        fs, path = self._fs("")
         if not fs.exists(path):
-            return None
-        rows = self.spark.read.text(f"{self.path}/meta.json", wholetext=True).first()
-        return json.loads(rows[0])
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(path)]
+        return sorted(n for n in names if n.startswith("pointer-") and n.endswith(".json"))
+
+    def _read(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0])
+
+    def _meta(self) -> dict | None:
+        names = self._pointers()
+        return self._read(names[-1]) if names else None
 
     def _point(self, version: str) -> None:
-        fs, path = self._fs("meta.json")
-        staged = self._fs(f"meta-{uuid.uuid4().hex}.json")[1]
-        out = fs.create(staged, True)
+        """A rename to a name that isn't there yet: a crash before it leaves the old pointer, and of two writers one fails."""
+        names = self._pointers()
+        number = int(names[-1][8:-5]) + 1 if names else 0
+        fs, path = self._fs(f"pointer-{number:012d}.json")
+        staged = self._fs(f"staged-{uuid.uuid4().hex}.json")[1]
+        out = fs.create(staged, False)
         out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "model": self.model, "dimension": self.dimension, "version": version}).encode()))
         out.close()
-        if fs.exists(path):
+        if fs.exists(path) or not fs.rename(staged, path):
+            fs.delete(staged, False)
+            raise StoreConflict(f"another writer was first at {path.getName()}")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete all but the newest ``keep`` versions and their pointers; how many went. Readers of older ones must be done."""
+        names = self._pointers()
+        old = names[: max(0, len(names) - max(1, keep))]
+        stay = {self._read(n)["version"] for n in names[len(old) :]}
+        for name in old:
+            version = self._read(name)["version"]
+            if version not in stay:
+                fs, path = self._fs(version)
+                fs.delete(path, True)
+            fs, path = self._fs(name)
             fs.delete(path, False)
-        fs.rename(staged, path)
+        return len(old)
 
     def ensure(self) -> None:
         """Create the store if it isn't there; otherwise its model and dimension must be ours."""
@@ -87,8 +116,8 @@ class Store:
     def replace(self, rows: DataFrame) -> None:
         """Write all rows as a new version, then point at it: readers see the old version or the new one."""
         version = f"chunks-{uuid.uuid4().hex}"
-        checked = F.when(F.size("vector") == self.dimension, F.col("vector")).otherwise(F.raise_error(F.lit("a vector has another dimension")).cast("array<float>"))
-        rows.select(*(checked.alias("vector") if f.name == "vector" else F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.parquet(f"{self.path}/{version}")
+        checked = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("a embedding has another dimension")).cast("array<float>"))
+        rows.select(*(checked.alias("embedding") if f.name == "embedding" else F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.parquet(f"{self.path}/{version}")
         self._point(version)
 
     def documents(self) -> DataFrame:

@@ -10,8 +10,8 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda master: spark)
     w = ["--workspace", str(tmp_path), "--dimension", "16"]
     (tmp_path / "doc/spec").mkdir(parents=True)
-    (tmp_path / ".vector").mkdir()
-    (tmp_path / ".vector/document-types.yaml").write_text("document-types: {spec: {layout: directory}}")
+    (tmp_path / ".lodestone").mkdir()
+    (tmp_path / ".lodestone/document-types.yaml").write_text("document-types: {spec: {layout: directory}}")
     (tmp_path / "doc/spec/spec-00001-one.md").write_text("---\nid: x\n---\n# One\n\nNeedles in hay.\n")
     assert cli.main([*w, "init"]) == 0
     assert cli.main([*w, "update-database", "--json"]) == 0

@@ -86,7 +86,7 @@ def test_envelope_patches(spark):
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("doc/rfc/rfc-1-a.md", "doc/rfc/rfc-2-b.MARKDOWN", "doc/rfc/note.txt", "doc/rfc/Bad.md", "doc/old/rfc-3-c.md", ".vector-database/packages/pkg/doc/rfc-1-a.md"):
+    for name in ("doc/rfc/rfc-1-a.md", "doc/rfc/rfc-2-b.MARKDOWN", "doc/rfc/note.txt", "doc/rfc/Bad.md", "doc/old/rfc-3-c.md", ".lodestone/packages/pkg/doc/rfc-1-a.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("# x\n\ny")
     (tmp_path / "doc/rfc/rfc-4-d.md").write_bytes(b"\xff\xfe")

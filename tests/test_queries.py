@@ -2,14 +2,14 @@ import importlib
 
 import pytest
 
-from lodestone.plans import queries
+from lodestone.plans import governed, queries
 from tests.oracle import spark_rows, sql_rows
 
 
-@pytest.mark.parametrize("name", queries.QUERIES)
+@pytest.mark.parametrize("name", [*queries.QUERIES, *governed.QUERIES])
 def test_query_equals_its_sql(spark, sf_dir, name):
-    columns, rows = spark_rows(queries.QUERIES[name](spark, sf_dir))
-    assert (columns, rows) == sql_rows(queries.ORACLE[name], sf_dir) and columns
+    columns, rows = spark_rows({**queries.QUERIES, **governed.QUERIES}[name](spark, sf_dir))
+    assert (columns, rows) == sql_rows({**queries.ORACLE, **governed.ORACLE}[name], sf_dir) and columns
 
 
 def test_catalogue_tree_holds_all_orders(spark, tmp_path):

@@ -10,7 +10,7 @@ from lodestone.streaming.indexing import index_stream
 
 
 class Markers:
-    """Vectors by what a text holds, far away without a mark."""
+    """Embeddings by what a text holds, far away without a mark."""
 
     model, dimension = "markers", 3
 
@@ -115,3 +115,38 @@ def test_stream(spark, tmp_path):
     go()
     assert {d.document_stem for d in store.documents().collect()} == {"spec-1-a", "spec-2-b"}
     assert spark.read.parquet(str(tmp_path / "p")).where("step = 'indexed'").selectExpr("sum(int(message)) n").first().n == 2
+
+
+class Failing:
+    model, dimension = "fake", 2
+
+    def embed(self, texts):
+        if any("BROKEN" in t for t in texts):
+            raise RuntimeError("no embedding for this")
+        return [[float(len(t)), 0.0] for t in texts]
+
+
+def test_a_failing_embedding_is_its_documents_failure(spark, tmp_path):
+    from lodestone.plans.reconcile import reconcile
+    from lodestone.sources.store import Store
+
+    store = Store(spark, f"{tmp_path}/store", "fake", 2)
+    rows = [(None, "spec-1-good", "h1", "p/a.md", bytearray(b"# A\n\nFine.\n")), (None, "spec-2-bad", "h2", "p/b.md", bytearray(b"# B\n\nBROKEN here.\n"))]
+    docs = spark.createDataFrame(rows, "package string, document_stem string, document_hash string, path string, content binary")
+    out = reconcile(spark, store, docs, Failing())
+    assert out["reindexed"] == 1 and [(f["document_stem"], f["error_kind"]) for f in out["failures"]] == [("spec-2-bad", "embedding")]
+    assert "no embedding" in out["failures"][0]["error"]
+    assert [r.document_stem for r in store.documents().collect()] == ["spec-1-good"]
+
+
+def test_pointers_are_never_changed_and_old_versions_go(spark, tmp_path):
+    from lodestone.sources.store import SCHEMA, Store
+
+    store = Store(spark, f"{tmp_path}/store", "fake", 2)
+    store.ensure()
+    before = store.rows()
+    for _ in range(3):
+        store.replace(spark.createDataFrame([], SCHEMA))
+    assert before.count() == 0 and len(store._pointers()) == 4
+    assert store.vacuum() == 2 and len(store._pointers()) == 2 and store.rows().count() == 0
+    assert store.vacuum() == 0
