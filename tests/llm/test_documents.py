@@ -488,3 +488,31 @@ def test_winnowing_against_brute_force(spark):
         altered = mine[: len(mine) - half] + after[:half]
         if all(w in symbol for w in altered.split()):
             assert r.e == pytest.approx(near(chosen(mine), chosen(altered)))
+
+
+def test_quality_by_plain_densities():
+    """Scores of the model are those of the two normal densities, computed without factors."""
+    gen = np.random.default_rng(3)
+    d = len(quality.STATISTICS)
+    rows = {c: gen.normal(c, 1 + c, (40, d)) @ gen.normal(0, 1, (d, d)) for c in (0, 1)}
+    for r in rows.values():
+        r[:, 0] = np.abs(r[:, 0])
+    model = quality.fitted({c: (len(r), r.sum(0), r.T @ r) for c, r in rows.items()})
+    x = np.concatenate([rows[0][:5], rows[1][:5]])
+    density = []
+    for c in (0, 1):
+        cov = np.cov(rows[c].T)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov))
+        cov = 0.98 * cov + 0.02 * np.trace(cov) / d * np.eye(d)
+        diff = x - rows[c].mean(0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff) + np.linalg.slogdet(cov)[1]))
+    words = np.expm1(x[:, 0])
+    odds = 0.25 * words / (words + 20) * (density[1] - density[0])  # the classes are of one size
+    assert model.scores(x) == pytest.approx(1 / (1 + np.exp(-np.clip(odds, -700, 700))), abs=1e-9)
+
+
+def test_quality_keeps_nothing_of_nothing(spark, empty):
+    model = quality.Model(0.9)
+    assert quality.keep(empty, model).collect() == [] and quality.keep(empty, model).columns == empty.columns
+    long = spark.createDataFrame([("word " * 300_000,), (None,), ("",)], "text string")
+    assert quality.keep(long, model).count() == 3

@@ -163,3 +163,57 @@ def test_preferences(spark):
     assert (out[1].common_turns, out[1].chosen, out[1].rejected) == (0, "<||>\nx<|end|>\n", "")
     assert (out[2].common_turns, out[2].chosen, out[2].rejected) == (1, "", "") and len(out) == 3
     assert preferences.formatted(preferences.paired(df.where("false"))).isEmpty()
+
+
+def test_media_columns_by_hand(spark):
+    """Every column of the query from the definition; the stored form is read by a reader of its own."""
+    import hashlib
+    import struct
+    import zlib
+
+    from lodestone.llm import media
+
+    texts = [None, "", "a", "é" * 100, "x" * 192, "y" * 193, "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = media.stored_media(docs).cache()
+    rows = {r.doc_id: r for r in media.resolved(media.sequences(kept, "doc_id", "html"), media.read_back(kept)).where("kind = 'media'").collect()}
+    stored = {r.doc_id: bytes(r.media) for r in kept.collect()}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        r, png = rows[k], stored[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.digest) == (len(png), hashlib.sha256(png).hexdigest())
+        at, data = 8, b""
+        while at < len(png):
+            n, kind = struct.unpack(">I4s", png[at : at + 8])
+            data += png[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += n + 12
+        lines = zlib.decompress(data)
+        assert b"".join(lines[i + 1 : i + 193] for i in range(0, len(lines), 193)) == payload
+        mean = sum(payload) / len(payload)
+        spread = max(0.0, sum(b * b for b in payload) / len(payload) - mean * mean) ** 0.5
+        first, second, bits = r.feature.split(":")
+        assert (first, second, len(bits)) == (f"{mean:.3f}", f"{spread:.3f}", 16)
+    assert rows[2].feature == rows[6].feature and rows[2].digest == rows[6].digest and rows[0].digest == rows[1].digest
+    none = media.stored_media(docs.limit(0))
+    assert media.resolved(media.sequences(none, "doc_id", "html"), media.read_back(none)).count() == 0
+
+
+def test_sequences_of_pages_with_several_media(spark):
+    from lodestone.llm import media
+
+    png = {k: media.as_png(k.encode()) for k in ("one", "two")}
+    import hashlib
+
+    d = {k: hashlib.sha256(v).hexdigest() for k, v in png.items()}
+    page = f'<p>Before</p><figure><img src="sha256:{d["one"]}"><img src="sha256:{d["two"]}"><figcaption>Both</figcaption></figure><p>Between</p><img src="sha256:{"0" * 64}" alt="Gone"><p>After</p><img src="x.png">'
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
+    stored = spark.createDataFrame([(bytearray(x),) for x in (*png.values(), png["one"])], "media binary")
+    rows = media.resolved(media.sequences(pages, "page_id", "html"), media.read_back(stored)).orderBy("position").collect()
+    assert [(r.position, r.kind, r.text, r.digest, r.caption, r.n_bytes) for r in rows] == [
+        (0, "text", "Before", None, None, None), (1, "media", None, d["one"], "Both", 3), (2, "media", None, d["two"], "Both", 3),
+        (3, "text", "Between", None, None, None), (4, "media", None, "0" * 64, "Gone", None), (5, "text", "After", None, None, None),
+        (6, "media", None, None, None, None),
+    ]
