@@ -391,6 +391,23 @@ def test_ngram_join_in_two_rounds(spark, monkeypatch, group):
     assert sorted(map(tuple, ngram_join.join(docs).collect())) == whole
 
 
+def test_components_with_frequent_nodes(spark, tmp_path):
+    """A star, chains and repeated links, with every node frequent, some and none, against a union-find."""
+    from lodestone.llm.components import Forest, components
+
+    key = lambda i: b"%04d" % i
+    pairs = [(500, i) for i in range(0, 900, 3)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001), (2001, 2000), (2002, 2002), (899, 1060)]
+    forest = Forest()
+    for a, b in pairs:
+        if a != b:
+            forest.join(key(a), key(b))
+    want = {x: forest.root(x) for x in list(forest.parent)}
+    links = spark.createDataFrame([(bytearray(key(a)), bytearray(key(b))) for a, b in pairs], "a binary, b binary").repartition(7)
+    for frequent in (1000, 4, 1):
+        rows = components(links, f"{tmp_path}/{frequent}", frequent).collect()
+        assert len(rows) == len(want) and {bytes(r.node): bytes(r.root) for r in rows} == want
+
+
 def test_components_that_do_not_settle_are_an_error(spark, monkeypatch, tmp_path):
     from lodestone.llm import components
 
