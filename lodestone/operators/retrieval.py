@@ -55,23 +55,33 @@ def lexical_topk(df: DataFrame, terms: Sequence[str], key: str, text: str, k: in
     return best.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("lexical_rank"), "score")
 
 
-def postings(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """An index: postings(term, key, tf) and lengths(key, length)."""
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("term"))
-    return words.groupBy("term", key).agg(F.count("*").cast("int").alias("tf")), df.select(key, word_count(F.lower(F.col(text))).alias("length"))
+def postings(df: DataFrame, key: str, text: str, *others: str) -> DataFrame:
+    """An index: term, key, others, tf, length (words of the row's text)."""
+    words = df.select(key, *others, F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
+    listed = words.select(key, *others, F.size("words").alias("length"), F.explode("words").alias("term"))
+    return listed.groupBy("term", key, *others, "length").agg(F.count("*").cast("int").alias("tf"))
 
 
-def indexed_topk(index: tuple[DataFrame, DataFrame], terms: Sequence[str], key: str, k: int = LEXICAL_LIMIT) -> DataFrame:
-    """lexical_topk over a materialised index: only the query's terms are read."""
-    listed, lengths = index
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()
+def text_size(df: DataFrame, text: str) -> tuple[int, float]:
+    """Number of rows and their mean words."""
+    r = df.agg(F.count("*").alias("n"), F.avg(word_count(F.lower(F.col(text)))).alias("mean")).first()
+    return r["n"], r["mean"] or 0.0
+
+
+def indexed_topk(listed: DataFrame, n: int, mean: float, terms: Sequence[str], key: str, k: int = LEXICAL_LIMIT, where: Column | None = None) -> DataFrame:
+    """lexical_topk over a stored index of n rows: only the query's terms are read. The filter is on what postings hold.
+
+    A row's parts are added up in the order of the terms, so that equal rows tie.
+    """
     hits = listed.where(F.col("term").isin(sorted(set(terms))))
-    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    df = {r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # one row a term of the query
     if not df:
         return hits.select(key, F.lit(0).alias("lexical_rank"), F.lit(0.0).alias("score")).limit(0)
-    idf = F.create_map(*(F.lit(x) for t, n in df.items() for x in (t, math.log(1 + (stats["n"] - n + 0.5) / (n + 0.5)))))
-    part = idf[F.col("term")] * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(stats["avg"] or 1.0)))
-    best = hits.join(lengths, key).groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    hits = hits.where(where) if where is not None else hits
+    idf = F.create_map(*(F.lit(x) for t, m in df.items() for x in (t, math.log(1 + (n - m + 0.5) / (m + 0.5)))))
+    part = idf[F.col("term")] * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.lit(mean or 1.0)))
+    parts = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
+    best = parts.select(key, F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score")).orderBy(F.desc("score"), key).limit(k)
     return best.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("lexical_rank"), "score")
 
 

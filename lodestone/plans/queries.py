@@ -43,7 +43,8 @@ def lexical_bm25_topk(spark, d):
 
 
 def lexical_indexed_topk(spark, d):
-    return S.indexed_topk(S.postings(_t(spark, d, "documents"), "doc_id", "text"), TERMS, "doc_id").withColumn("score", F.round("score", 6))
+    docs = _t(spark, d, "documents")
+    return S.indexed_topk(S.postings(docs, "doc_id", "text"), *S.text_size(docs, "text"), TERMS, "doc_id").withColumn("score", F.round("score", 6))
 
 
 def _fused(spark, d):

@@ -56,8 +56,7 @@ def reconcile(spark: SparkSession, store: Store, documents: DataFrame, embedder:
     failures = [r.asDict() for r in failed.unionByName(doubles).orderBy(F.asc_nulls_first("package"), "document_stem").collect()]
     n_work = n_fresh + sum(f["error_kind"] != "duplicate_document" for f in failures)
     if n_stale or n_fresh or any(f["error_kind"] == "no_chunks" for f in failures):
-        keep = old.join(gone, relational.null_safe(old, gone, DOCUMENT), "left_anti")
-        store.replace(keep.select(*SCHEMA.names).unionByName(rows))
+        store.merge(gone, rows)
     out = {"skipped": n_found - n_work, "reindexed": n_fresh, "deleted": n_stale, "embedded": misses.count(), "failures": failures}
     for df in (ranked, stale, chunked, with_old, made, unembedded):
         df.unpersist()

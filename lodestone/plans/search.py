@@ -37,7 +37,7 @@ def search(store: Store, embedder: Embedder, query: str, package: str | None = N
     else:
         semantic = S.semantic_topk(mine, embedder.embed([query])[0], "chunk_id")
     terms = re.findall(r"[^\W_]+", query.lower())
-    fts = S.lexical_topk(rows, terms, "chunk_id", "search_text", where=where) if terms else mine.select("chunk_id", F.lit(1).alias("lexical_rank")).limit(0)
+    fts = S.indexed_topk(*store.text_index(), terms, "chunk_id", where=where) if terms else mine.select("chunk_id", F.lit(1).alias("lexical_rank")).limit(0)
     branches = [S.exact_stem_hits(mine, query), S.exact_filename_hit(mine, query), fts.select("chunk_id", F.col("lexical_rank").alias("position"))]
     lexical = S.merge_ranked(branches, "chunk_id", S.LEXICAL_LIMIT).withColumnRenamed("position", "lexical_rank")
     fused = S.fuse(semantic, lexical, "chunk_id")

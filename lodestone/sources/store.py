@@ -1,15 +1,25 @@
-"""The chunk store: one Parquet table in versions, swapped by a pointer file. One writer at a time."""
+"""The chunk store: Parquet tables in buckets of documents, swapped by a pointer file. One writer at a time.
+
+A document's chunks and their postings lie in the bucket of its name's hash. A change writes the buckets that it
+touches as a new version; the pointer names each bucket's version, so the others stay as they are. Postings are
+sorted by term and hold their chunk's length, and the pointer has the sums of chunks and words: a lexical query reads
+its terms' pages and nothing else. The number of buckets is fixed when a store is made: a large corpus takes thousands.
+"""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 1
+from lodestone.functions.text import word_count
+from lodestone.operators.retrieval import postings
+
+SCHEMA_VERSION = 2
+BUCKETS = 16
 SCHEMA = T.StructType(
     [
         T.StructField("chunk_id", T.StringType(), False),
@@ -28,6 +38,13 @@ SCHEMA = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType()), False),
     ]
 )
+POSTINGS = T.StructType(
+    [
+        *(T.StructField(name, T.StringType()) for name in ("term", "chunk_id", "package", "document_stem")),
+        *(T.StructField(name, T.IntegerType()) for name in ("tf", "length")),
+    ]
+)
+_BUCKET = T.StructField("bucket", T.IntegerType())
 
 
 class IncompatibleStore(ValueError):
@@ -43,11 +60,15 @@ class StoreConflict(RuntimeError):
 
 
 class Store:
-    """A store at a path that Spark's file systems reach: of its numbered pointers pointer-N.json the greatest names the current version's folder."""
+    """A store at a path that Spark's file systems reach: of its numbered pointers pointer-N.json the greatest names each bucket's version.
+
+    ``buckets`` is for a store that isn't there yet; later its own number counts.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, model: str, dimension: int):
-        if not model.strip() or dimension <= 0:
-            raise ValueError("a store needs a model name and a positive dimension")
+    def __init__(self, spark: SparkSession, path: str, model: str, dimension: int, buckets: int = BUCKETS):
+        if not model.strip() or dimension <= 0 or buckets <= 0:
+            raise ValueError("a store needs a model name, a positive dimension and a positive number of buckets")
+        self.buckets = buckets
         self.spark, self.path, self.model, self.dimension = spark, path.rstrip("/"), model, dimension
 
     def _fs(self, name: str):
@@ -69,73 +90,118 @@ class Store:
         names = self._pointers()
         return self._read(names[-1]) if names else None
 
-    def _point(self, version: str) -> None:
+    def _point(self, parts: dict) -> None:
         """A rename to a name that isn't there yet: a crash before it leaves the old pointer, and of two writers one fails."""
         names = self._pointers()
         number = int(names[-1][8:-5]) + 1 if names else 0
         fs, path = self._fs(f"pointer-{number:012d}.json")
         staged = self._fs(f"staged-{uuid.uuid4().hex}.json")[1]
         out = fs.create(staged, False)
-        out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "model": self.model, "dimension": self.dimension, "version": version}).encode()))
+        out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "model": self.model, "dimension": self.dimension, "buckets": self._buckets(), "parts": parts}).encode()))
         out.close()
         if fs.exists(path) or not fs.rename(staged, path):
             fs.delete(staged, False)
             raise StoreConflict(f"another writer was first at {path.getName()}")
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete all but the newest ``keep`` versions and their pointers; how many went. Readers of older ones must be done."""
+        """Forget all but the newest ``keep`` pointers and delete versions that only the others name; how many pointers went.
+
+        Readers of older ones must be done.
+        """
         names = self._pointers()
         old = names[: max(0, len(names) - max(1, keep))]
-        stay = {self._read(n)["version"] for n in names[len(old) :]}
+        versions = lambda n: {p["version"] for p in self._read(n)["parts"].values()}
+        stay = set().union(*map(versions, names[len(old) :]))
         for name in old:
-            version = self._read(name)["version"]
-            if version not in stay:
-                fs, path = self._fs(version)
+            for gone in [*(versions(name) - stay), name]:
+                fs, path = self._fs(gone)
                 fs.delete(path, True)
-            fs, path = self._fs(name)
-            fs.delete(path, False)
         return len(old)
 
     def ensure(self) -> None:
-        """Create the store if it isn't there; otherwise its model and dimension must be ours."""
+        """Create the store if it isn't there; otherwise its form, model and dimension must be ours."""
         meta = self._meta()
         if meta is None:
-            self.replace(self.spark.createDataFrame([], SCHEMA))
-        elif (meta["model"], meta["dimension"]) != (self.model, self.dimension):
-            raise IncompatibleStore(f"the store holds {meta['model']} in {meta['dimension']} dimensions")
+            self._point({})
+        elif (meta["schema_version"], meta["model"], meta["dimension"]) != (SCHEMA_VERSION, self.model, self.dimension):
+            raise IncompatibleStore(f"the store holds {meta['model']} in {meta['dimension']} dimensions, form {meta['schema_version']}")
 
     def exists(self) -> bool:
         return self._meta() is not None
 
-    def rows(self) -> DataFrame:
+    def _buckets(self) -> int:
+        meta = self._meta()
+        return meta["buckets"] if meta else self.buckets
+
+    def _parts(self) -> dict:
         meta = self._meta()
         if meta is None:
             raise MissingStore(self.path)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{meta['version']}")
+        return meta["parts"]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("package", "document_stem"), F.lit(self._buckets())).cast("int")
+
+    def _table(self, kind: str, schema: T.StructType, only: set[str] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{p['version']}/{kind}/bucket={b}" for b, p in self._parts().items() if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def rows(self, only: set[str] | None = None) -> DataFrame:
+        """All chunks, or those of some buckets."""
+        return self._table("chunks", SCHEMA, only)
+
+    def text_index(self) -> tuple[DataFrame, int, float]:
+        """postings(term, chunk_id, package, document_stem, tf, length) of the search texts, number of chunks, their mean length."""
+        parts = self._parts().values()
+        n = sum(p["n"] for p in parts)
+        return self._table("postings", POSTINGS), n, sum(p["words"] for p in parts) / n if n else 0.0
+
+    def _write(self, rows: DataFrame) -> dict:
+        """Write rows as a version of their buckets: what the pointer has to say of each. A bucket may take several files and tasks."""
+        version = f"version-{uuid.uuid4().hex}"
+        checked = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("an embedding has another dimension")).cast("array<float>"))
+        fixed = rows.select(*(checked.alias("embedding") if f.name == "embedding" else F.col(f.name).cast(f.dataType) for f in SCHEMA))
+        fixed.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/chunks")
+        chunks = self.spark.read.schema(T.StructType([*SCHEMA.fields, _BUCKET])).parquet(f"{self.path}/{version}/chunks")
+        listed = postings(chunks, "chunk_id", "search_text", "package", "document_stem", "bucket").select(*POSTINGS.names, "bucket")
+        listed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{version}/postings")
+        sums = chunks.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(word_count(F.lower("search_text"))).alias("words"))
+        return {str(r["bucket"]): {"version": version, "n": r["n"], "words": r["words"]} for r in sums.collect()}  # one row a bucket
 
     def replace(self, rows: DataFrame) -> None:
-        """Write all rows as a new version, then point at it: readers see the old version or the new one."""
-        version = f"chunks-{uuid.uuid4().hex}"
-        checked = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("a embedding has another dimension")).cast("array<float>"))
-        rows.select(*(checked.alias("embedding") if f.name == "embedding" else F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.parquet(f"{self.path}/{version}")
-        self._point(version)
+        """Write all rows as new versions, then point at them: readers see the old ones or the new ones."""
+        self._point(self._write(rows))
+
+    def merge(self, gone: DataFrame, rows: DataFrame) -> None:
+        """Delete the chunks of the documents gone(package, document_stem) and add rows; only their buckets are written."""
+        parts = self._parts()
+        names = gone.select("package", "document_stem").unionByName(rows.select("package", "document_stem"))
+        touched = {str(r["bucket"]) for r in names.select(self._bucket().alias("bucket")).distinct().collect()}  # numbers of buckets
+        if not touched:
+            return
+        old = self.rows(touched)
+        same = old["package"].eqNullSafe(gone["package"]) & (old["document_stem"] == gone["document_stem"])
+        written = self._write(old.join(gone, same, "left_anti").select(*SCHEMA.names).unionByName(rows.select(*SCHEMA.names)))
+        self._point({b: p for b, p in parts.items() if b not in touched} | written)
 
     def documents(self) -> DataFrame:
         return self.rows().select("package", "document_stem").distinct()
 
+    def _document(self, package: str | None, stem: str) -> DataFrame:
+        """A document's chunks, looked for in its bucket only."""
+        name = self.spark.createDataFrame([(package, stem)], "package string, document_stem string")
+        bucket = str(name.select(self._bucket()).first()[0])
+        return self.rows({bucket}).where(F.col("package").eqNullSafe(F.lit(package)) & (F.col("document_stem") == stem))
+
     def is_indexed(self, package: str | None, stem: str, digest: str) -> bool:
-        if not self.exists():
-            return False
-        same = F.col("package").eqNullSafe(F.lit(package)) & (F.col("document_stem") == stem) & (F.col("document_hash") == digest)
-        return not self.rows().where(same).isEmpty()
+        return self.exists() and not self._document(package, stem).where(F.col("document_hash") == digest).isEmpty()
 
     def delete_document(self, package: str | None, stem: str) -> int:
         """Delete a document's chunks; how many there were."""
         if not self.exists():
             return 0
-        rows = self.rows()
-        mine = F.col("package").eqNullSafe(F.lit(package)) & (F.col("document_stem") == stem)
-        n = rows.where(mine).count()
+        mine = self._document(package, stem)
+        n = mine.count()
         if n:
-            self.replace(rows.where(~mine))
+            self.merge(mine.select("package", "document_stem").distinct(), self.spark.createDataFrame([], SCHEMA))
         return n

@@ -1,11 +1,13 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import HashingEmbedder
+from lodestone.operators import retrieval
 from lodestone.plans.reconcile import reconcile
 from lodestone.plans.search import context, search
-from lodestone.sources.store import IncompatibleStore, MissingStore, Store
+from lodestone.sources.store import SCHEMA, IncompatibleStore, MissingStore, Store
 from lodestone.streaming.indexing import index_stream
 
 
@@ -150,3 +152,51 @@ def test_pointers_are_never_changed_and_old_versions_go(spark, tmp_path):
     assert before.count() == 0 and len(store._pointers()) == 4
     assert store.vacuum() == 2 and len(store._pointers()) == 2 and store.rows().count() == 0
     assert store.vacuum() == 0
+
+
+def chunk_rows(spark, docs):
+    rows = [(f"{stem}-{i}", package, stem, "h", "c", i, [], None, t, t, 1, "fake", 2, [float(i), 0.0]) for package, stem, texts in docs for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_merge_writes_only_touched_buckets(spark, tmp_path):
+    """As a dictionary of documents does; buckets that no changed document lies in keep their version."""
+    store = Store(spark, f"{tmp_path}/store", "fake", 2, buckets=4)
+    store.ensure()
+    docs = {(None, f"s-{i}-x"): ["one two", f"word{i} two two"] for i in range(12)} | {("pkg", "s-1-x"): ["other"]}
+    store.replace(chunk_rows(spark, [(*k, v) for k, v in docs.items()]))
+    before = store._parts()
+    assert len(before) > 2
+    changes = [(None, "s-1-x", ["new two"])]
+    store.merge(spark.createDataFrame([(None, "s-1-x"), ("none", "s-0-x")], "package string, document_stem string"), chunk_rows(spark, changes))
+    docs[(None, "s-1-x")] = ["new two"]
+    after = store._parts()
+    changed = {b for b in after if after[b]["version"] != before.get(b, {}).get("version")}
+    assert 1 <= len(changed) <= 2 < len(after)
+    got = {}
+    for r in store.rows().orderBy("chunk_ordinal").collect():
+        got.setdefault((r.package, r.document_stem), []).append(r.text)
+    assert got == docs
+    listed, n, mean = store.text_index()
+    texts = [t.split() for v in docs.values() for t in v]
+    assert n == len(texts) and mean == pytest.approx(sum(map(len, texts)) / n)
+    want = sorted((w, t.count(w), len(t)) for t in texts for w in set(t))
+    assert sorted((r.term, r.tf, r.length) for r in listed.collect()) == want
+    for stem in [k[1] for k in docs if k[0] is None]:
+        assert store.delete_document(None, stem) == len(docs[(None, stem)])
+    assert [r.text for r in store.rows().collect()] == ["other"] and len(store._parts()) == 1
+    assert store.vacuum() > 0 and store.rows().count() == 1
+    assert Store(spark, store.path, "fake", 2, buckets=99)._buckets() == 4  # its own number counts
+
+
+def test_stored_postings_rank_as_texts_do(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", "fake", 2)
+    store.replace(chunk_rows(spark, [(None if i % 2 else "p", f"s-{i}-x", [" ".join(["Needle"] * (i % 4) + ["hay"] * (i % 7)), "straw hay"]) for i in range(30)]))
+    listed, n, mean = store.text_index()
+    for where in (None, F.col("package") == "p", F.col("document_stem") == "s-3-x"):
+        for terms in (["needle"], ["hay", "needle", "straw"], ["none"]):
+            want = retrieval.lexical_topk(store.rows(), terms, "chunk_id", "search_text", where=where).collect()
+            got = retrieval.indexed_topk(listed, n, mean, terms, "chunk_id", where=where).collect()
+            assert [(r.chunk_id, r.lexical_rank, round(r.score, 9)) for r in got] == [(r.chunk_id, r.lexical_rank, round(r.score, 9)) for r in want]
+    plan = listed.where(F.col("term").isin(["needle"])).select("chunk_id")._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(term,needle)" in plan.replace("In(term, [needle])", "EqualTo(term,needle)")
