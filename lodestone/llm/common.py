@@ -17,6 +17,8 @@ ROWS_AT_ONCE = 1000
 ROW_GROUP = 16 << 20
 #: Files of a stored table for each core.
 FILES = 6
+#: A key with more than one in so many of all rows is frequent: there are no more than so many, whatever the input.
+FREQUENT = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -70,6 +72,20 @@ def drop(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with values (one row a key: key, n rows of that key, others); ``total`` is no less than the rows.
+
+    The values of frequent keys, FREQUENT at most, are broadcast, so that the rows of a large group never
+    meet in one task; of the rows that are exchanged no key has more than one in FREQUENT.
+    """
+    others = [c for c in values.columns if c not in (key, "n")]
+    often = F.col("n") * FREQUENT > total
+    marked = rows.join(F.broadcast(values.where(often).select(key, F.struct(*others).alias("__often"))), key, "left")
+    met = marked.where("__often is not null").select(*rows.columns, *(F.col(f"__often.{c}").alias(c) for c in others))
+    rare = marked.where("__often is null").select(*rows.columns).join(values.where(~often).select(key, *others), key)
+    return met.union(rare.select(*rows.columns, *others))
+
+
 def sweep(spark: SparkSession) -> None:
     """Have the driver and the executors drop what is no longer referred to.
 

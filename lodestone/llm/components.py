@@ -8,13 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch, drop, stored, tidied
+from lodestone.llm.common import batch, beside, drop, stored, tidied
 
 LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 #: The number of rounds grows with the logarithm of the number of nodes; so many are never needed.
 ROUNDS = 200
-#: A node with more than one in so many of all links is frequent: there are no more than so many, whatever the input.
-FREQUENT = 1000
 
 
 class Forest:
@@ -62,19 +60,7 @@ def _thinned(links: DataFrame, limit: int = 1 << 20) -> DataFrame:
     return links.mapInArrow(tidied(run), "a binary, b binary")
 
 
-def _beside(rows: DataFrame, values: DataFrame, total: int, frequent: int) -> DataFrame:
-    """rows(a, b) with m of values(a, m, n: rows of a); ``total`` is no less than the rows.
-
-    Frequent nodes, ``frequent`` at most, are broadcast, so that the star of a large group never meets in
-    one task; of the rows that are exchanged no node has more than one in ``frequent``.
-    """
-    often = values.where(F.col("n") * frequent > total).select("a", F.col("m").alias("often"))
-    marked = rows.join(F.broadcast(often), "a", "left")
-    rare = values.where(F.col("n") * frequent <= total).select("a", "m")
-    return marked.where("often is not null").select("a", "b", F.col("often").alias("m")).union(marked.where("often is null").select("a", "b").join(rare, "a"))
-
-
-def components(links: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+def components(links: DataFrame, path: str) -> DataFrame:
     """node, root (the least node that links reach from it) for every node of links(a binary, b binary).
 
     Alternating stars: each round hangs a node's larger neighbours on its least one, then its
@@ -89,10 +75,10 @@ def components(links: DataFrame, path: str, frequent: int = FREQUENT) -> DataFra
         total = 2 * links.count()
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select("a", F.least("a", "least").alias("m"), "n")
-        large = _beside(both.where("b > a"), least, total, frequent).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = beside(both.where("b > a"), least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         m = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _beside(down, m, total, frequent).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = beside(down, m, "a", total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         links = stored(_thinned(small.where("a <> b")), f"{path}/links-{k}", files=files)
         drop(spark, f"{path}/links-{k - 1}")
     raise RuntimeError(f"components have not settled in {ROUNDS} rounds")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import sketch
-from lodestone.llm.common import batch, drop, shared_dir, stored, sweep, tidied, utf8
+from lodestone.llm.common import batch, beside, drop, shared_dir, stored, sweep, tidied, utf8
 from lodestone.llm.components import Forest, components
 from lodestone.llm.sketch import mixed
 
@@ -380,8 +380,14 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     drop(spark, *(f"{path}/{x}" for x in ("groups", "pairs", "found", "first", "rest", "found-rest")))
     sweep(spark)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    some = every.where("digest is not null").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "root").select("doc_id", "n_shingles", "component_id", *(("digest", "root") if nodes else ()))
+    some = every.where("digest is not null")
+    # what is decided by set, then by component: copies don't meet, however many there are
+    sets = some.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    sets = stored(sets.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")), f"{path}/rooted")
+    least = sets.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    decided = beside(sets.withColumnRenamed("n", "copies"), least, "root", sets.count())
+    decided = stored(decided.select("digest", "root", "component_id", F.col("copies").alias("n")), f"{path}/decided")
+    drop(spark, f"{path}/rooted")
+    out = beside(some, decided, "digest", every.count()).select("doc_id", "n_shingles", "component_id", *(("digest", "root") if nodes else ()))
     empty = every.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest", F.col("digest").alias("root"))
     return out.union(empty.select(out.columns))

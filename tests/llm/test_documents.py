@@ -380,6 +380,20 @@ def test_words_of_like_patterns_differ(spark):
     assert got == {1: 1, 2: 2}
 
 
+@pytest.mark.parametrize("frequent", [1000, 3, 1])
+def test_beside_is_a_join(spark, monkeypatch, frequent):
+    """Whatever keys count as frequent; null keys and keys without a value go, rows that repeat stay."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", frequent)
+    keys = ["a"] * 9 + ["b"] * 2 + ["c", None, "z"]
+    rows = spark.createDataFrame([(k, i // 2) for i, k in enumerate(keys)], "k string, i int").repartition(3)
+    values = spark.createDataFrame([("a", 9, 1, None), ("b", 2, None, "y"), ("c", 1, 3, "x"), ("q", 0, 4, "w")], "k string, n int, v int, w string")
+    want = rows.join(values.drop("n"), "k").select("k", "i", "v", "w").collect()
+    got = common.beside(rows, values, "k", len(keys))
+    assert got.columns == ["k", "i", "v", "w"] and sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("group", [1, 2, 5])
 def test_ngram_join_in_two_rounds(spark, monkeypatch, group):
     """With neighbours first and labels from components the result is that of all pairs."""
@@ -391,8 +405,9 @@ def test_ngram_join_in_two_rounds(spark, monkeypatch, group):
     assert sorted(map(tuple, ngram_join.join(docs).collect())) == whole
 
 
-def test_components_with_frequent_nodes(spark, tmp_path):
+def test_components_with_frequent_nodes(spark, tmp_path, monkeypatch):
     """A star, chains and repeated links, with every node frequent, some and none, against a union-find."""
+    from lodestone.llm import common
     from lodestone.llm.components import Forest, components
 
     key = lambda i: b"%04d" % i
@@ -404,7 +419,8 @@ def test_components_with_frequent_nodes(spark, tmp_path):
     want = {x: forest.root(x) for x in list(forest.parent)}
     links = spark.createDataFrame([(bytearray(key(a)), bytearray(key(b))) for a, b in pairs], "a binary, b binary").repartition(7)
     for frequent in (1000, 4, 1):
-        rows = components(links, f"{tmp_path}/{frequent}", frequent).collect()
+        monkeypatch.setattr(common, "FREQUENT", frequent)
+        rows = components(links, f"{tmp_path}/{frequent}").collect()
         assert len(rows) == len(want) and {bytes(r.node): bytes(r.root) for r in rows} == want
 
 
