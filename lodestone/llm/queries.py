@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, media, ngram_join, packing, preferences, quality, suffix_dedup, surrogates, templates, toxicity, winnowing
+from lodestone.llm import bpe, collocations, media, ngram_join, packing, preferences, quality, suffix_dedup, surrogates, templates, toxicity, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
 #: A deployment passes a secret of its own.
@@ -72,6 +72,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(collocations.collocations(table(spark, sf_dir, "documents")), 2000)
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -89,9 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_winnowing": op8_winnowing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
+        "op11_collocations": op11_collocations,
         "op13_toxicity": op13_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preferences": preferences.ORACLE_SQL}
+    return {"op5_preferences": preferences.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
