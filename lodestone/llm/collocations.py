@@ -43,6 +43,8 @@ FLUSH, HELD = 1 << 20, 1 << 20
 #: Stretches of a pivot from which it is dealt over several groups, so many to each.
 SPLIT = 1 << 18
 MOST_SLOT_BITS = 26
+#: Bytes of words whose ranks a task remembers.
+REMEMBERED = 64 << 20
 #: 0xFF is in no UTF-8 text: it stands between pieces.
 _BREAK = b"\xff"
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _BREAK * 10)
@@ -100,7 +102,7 @@ class Levels:
     def __init__(self, words: DataFrame):
         schema = pa.schema([("slot", pa.int32()), ("level", pa.int32())])
         n = words.count()
-        self.bits = bits = max(12, min(MOST_SLOT_BITS, math.ceil(math.log2(16 * max(n, 1)))))
+        self.bits = bits = max(1, min(MOST_SLOT_BITS, math.ceil(math.log2(16 * max(n, 1)))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -122,26 +124,24 @@ class Levels:
 class Ranks(dict):
     """Rank by word: a frequent word's level, then its hash; 0 for others and for breaks. Forgets when it holds too much."""
 
-    MOST = 64 << 20
-
-    def __init__(self, lang: str, table: np.ndarray, bits: int):
-        self.lang, self.levels, self.shift, self.size = lang, table, 64 - bits, 0
+    def __init__(self, lang: str, table: np.ndarray, bits: int, most: int):
+        self.lang, self.levels, self.shift, self.most, self.size = lang, table, 64 - bits, most, 0
 
     def __missing__(self, word: bytes) -> int:
         h = _hash(self.lang, word)
         k = int(self.levels[h >> self.shift])
         rank = 0 if word == _BREAK or not k else k << 55 | (h & ((1 << 55) - 1))
         self.size += len(word) + 120
-        if self.size > self.MOST:
+        if self.size > self.most:
             self.clear()
             self.size = 0
         self[word] = rank
         return rank
 
 
-def groups_of(rank: int) -> int:
+def groups_of(rank: int, split: int) -> int:
     """Over how many groups a pivot's stretches are dealt, from the most that its level stands for."""
-    return max(1, math.ceil(2 ** ((rank >> 55) / 4) / SPLIT))
+    return max(1, math.ceil(2 ** ((rank >> 55) / 4) / split))
 
 
 def stretches(words: list[bytes], ranks: np.ndarray, longest: int) -> Iterator[tuple[int, bytes]]:
@@ -195,10 +195,10 @@ def mined(df: DataFrame, words: DataFrame, text_col: str = "text", lang_col: str
                 if lang not in ranks:
                     if len(ranks) > 64:
                         ranks.clear()
-                    ranks[lang] = Ranks(lang, table, levels.bits)
+                    ranks[lang] = Ranks(lang, table, levels.bits, REMEMBERED)
                 rows = []
                 for pivot, payload in stretches(of, np.fromiter(map(ranks[lang].__getitem__, of), np.int64, len(of)), longest):
-                    parts = groups_of(pivot)
+                    parts = groups_of(pivot, SPLIT)
                     rows.append((pivot, zlib.crc32(payload) % parts, parts, payload))
                     if len(rows) == 10_000:
                         yield batch(route, [[lang] * len(rows), *map(list, zip(*rows))])
