@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, collocations, media, ngram_join, packing, preferences, quality, suffix_dedup, surrogates, templates, toxicity, winnowing
+from lodestone.llm import bpe, collocations, media, ngram_join, packing, preferences, quality, suffix_dedup, surrogates, templates, toxicity, whitening, winnowing
 from lodestone.llm.common import shared_dir, stored, table
 
 #: A deployment passes a secret of its own.
@@ -76,6 +76,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.best(collocations.collocations(table(spark, sf_dir, "documents")), 2000)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -94,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_bpe": op10_bpe,
         "op11_collocations": op11_collocations,
+        "op12_whitening": op12_whitening,
         "op13_toxicity": op13_toxicity,
     }
 
