@@ -13,6 +13,8 @@ from lodestone.operators import markdown as M
 from lodestone.operators import relational as R
 from lodestone.operators import retrieval as S
 from lodestone.operators import validate as V
+from lodestone.session import work_dir
+from lodestone.sources.vector_index import VectorIndex
 
 TERMS = ("thatly", "ndther", "reing")
 
@@ -38,6 +40,20 @@ def semantic_topk_filtered(spark, d):
     return S.semantic_topk(emb, _query_embedding(emb, 0), "vec_id", "embedding", where=F.col("label") == 3)
 
 
+def vector_index_nearest(spark, d):
+    """The nearest rows of one vector by the index with exact bounds."""
+    emb = _t(spark, d, "embeddings")
+    index = VectorIndex.build(emb, f"{work_dir(spark)}/vectors", "vec_id")
+    return index.nearest(spark, _query_embedding(emb, 0), exact=True).select("vec_id", F.col("rank").alias("semantic_rank"))
+
+
+def vector_index_topk(spark, d):
+    """The ten nearest rows of every hundredth vector among all, by the nearest cells of the index; recall is 0.9 or more."""
+    emb = _t(spark, d, "embeddings")
+    index = VectorIndex.build(emb, f"{work_dir(spark)}/vectors", "vec_id")
+    return index.nearest_of(emb.where("vec_id % 100 = 0"), "vec_id", k=10).select(F.col("query").cast("long").alias("query_id"), "vec_id", "rank", "distance")
+
+
 def lexical_bm25_topk(spark, d):
     return S.lexical_topk(_t(spark, d, "documents"), TERMS, "doc_id", "text").withColumn("score", F.round("score", 6))
 
@@ -329,11 +345,11 @@ def stem_dictionary_match(spark, d):
     return docs.select("doc_id", F.explode(found).alias("stem")).groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
 
 
-SEQUENTIAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chunk_paragraphs, stem_dictionary_match)}
+SEQUENTIAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chunk_paragraphs, stem_dictionary_match, vector_index_topk)}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        hybrid_search, semantic_topk, semantic_topk_filtered, lexical_bm25_topk, lexical_indexed_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
+        hybrid_search, semantic_topk, semantic_topk_filtered, vector_index_nearest, lexical_bm25_topk, lexical_indexed_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
         stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, merge_upsert_whole, merge_counts_whole, distinct_documents, next_code, tag_listing, catalogue_tree, catalogue_tree_whole, dashboard_status,
         token_counts, line_spans, search_text, autolinks, anchor_slugs, heading_ids, duplicate_anchors, stem_grammar, slug_check, validation_errors, union_corpora, package_plan, event_windows,
     )
@@ -383,6 +399,7 @@ _ANCHOR = lambda c: rf"regexp_replace(regexp_replace(regexp_replace(regexp_repla
 ORACLE: dict[str, str] = {
     "semantic_topk": f"WITH {_SEM.format(where='')} SELECT * FROM semantic",
     "semantic_topk_filtered": f"WITH {_SEM.format(where='WHERE label = 3')} SELECT * FROM semantic",
+    "vector_index_nearest": f"WITH {_SEM.format(where='')} SELECT * FROM semantic",
     "lexical_bm25_topk": f"WITH {_LEX('doc_id', 'documents', 20)} SELECT id AS doc_id, lexical_rank, round(score, 6) AS score FROM lexical",
     "lexical_indexed_topk": f"WITH {_LEX('doc_id', 'documents', 20)} SELECT id AS doc_id, lexical_rank, round(score, 6) AS score FROM lexical",
     "rrf_fusion": f"{_FUSED} SELECT doc_id, semantic_rank, lexical_rank, round(score::DOUBLE, 6) AS score, row_number() OVER (ORDER BY {_ORDER}) AS position FROM fused",
