@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,7 +93,8 @@ class VectorIndex:
         drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(max(n, 1))) < k * SAMPLE_A_CELL
         sample = rows.where(drawn).select(array_to_vector("embedding").alias("features"))
         if n:
-            index.centroids = np.array(KMeans(k=max(k, 2), seed=1, maxIter=ROUNDS).fit(sample).clusterCenters(), float)
+            found = KMeans(k=k, seed=1, maxIter=ROUNDS).fit(sample).clusterCenters() if k > 1 else [sample.select(Summarizer.mean(F.col("features"))).first()[0].toArray()]
+            index.centroids = np.array(found, float)
         else:
             index.centroids = np.zeros((0, index.dimension))
         index.sizes, index.radii = [0] * len(index.centroids), [0.0] * len(index.centroids)
