@@ -14,6 +14,7 @@ from lodestone.operators import relational as R
 from lodestone.operators import retrieval as S
 from lodestone.operators import validate as V
 from lodestone.session import work_dir
+from lodestone.sources.text_index import TextIndex
 from lodestone.sources.vector_index import VectorIndex
 
 TERMS = ("thatly", "ndther", "reing")
@@ -63,6 +64,14 @@ def lexical_indexed_topk(spark, d):
     return S.indexed_topk(S.postings(docs, "doc_id", "text"), *S.text_size(docs, "text"), TERMS, "doc_id").withColumn("score", F.round("score", 6))
 
 
+def text_index_topk(spark, d):
+    """The best documents by an index of term folders and bounded blocks, built over all of them."""
+    index = TextIndex(spark, f"{work_dir(spark)}/terms")
+    segments = index.added([], _t(spark, d, "documents"), "doc_id", "text")
+    best = index.topk(segments, TERMS)
+    return best.select(F.col("key").cast("long").alias("doc_id"), "lexical_rank", F.round("score", 6).alias("score"))
+
+
 def _fused(spark, d):
     emb = _t(spark, d, "embeddings")
     sem = S.semantic_topk(emb, _query_embedding(emb, 0), "vec_id", "embedding").withColumnRenamed("vec_id", "doc_id")
@@ -349,7 +358,7 @@ SEQUENTIAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        hybrid_search, semantic_topk, semantic_topk_filtered, vector_index_nearest, lexical_bm25_topk, lexical_indexed_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
+        hybrid_search, semantic_topk, semantic_topk_filtered, vector_index_nearest, lexical_bm25_topk, lexical_indexed_topk, text_index_topk, rrf_fusion, section_dedup, exact_first_rows, merge_ranked, neighbor_ids, adjacent_expansion, context_sources,
         stale_documents, unchanged_documents, changed_documents, embedding_reuse, index_summary, merge_upsert, merge_counts, merge_upsert_whole, merge_counts_whole, distinct_documents, next_code, tag_listing, catalogue_tree, catalogue_tree_whole, dashboard_status,
         token_counts, line_spans, search_text, autolinks, anchor_slugs, heading_ids, duplicate_anchors, stem_grammar, slug_check, validation_errors, union_corpora, package_plan, event_windows,
     )
@@ -402,6 +411,7 @@ ORACLE: dict[str, str] = {
     "vector_index_nearest": f"WITH {_SEM.format(where='')} SELECT * FROM semantic",
     "lexical_bm25_topk": f"WITH {_LEX('doc_id', 'documents', 20)} SELECT id AS doc_id, lexical_rank, round(score, 6) AS score FROM lexical",
     "lexical_indexed_topk": f"WITH {_LEX('doc_id', 'documents', 20)} SELECT id AS doc_id, lexical_rank, round(score, 6) AS score FROM lexical",
+    "text_index_topk": f"WITH {_LEX('doc_id', 'documents', 20)} SELECT id AS doc_id, lexical_rank, round(score, 6) AS score FROM lexical",
     "rrf_fusion": f"{_FUSED} SELECT doc_id, semantic_rank, lexical_rank, round(score::DOUBLE, 6) AS score, row_number() OVER (ORDER BY {_ORDER}) AS position FROM fused",
     "section_dedup": f"{_FUSED} SELECT doc_id, lang, source FROM fused JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_ORDER}) = 1",
     "hybrid_search": f"{_FUSED}, best AS (SELECT fused.*, lang, source FROM fused JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {_ORDER}) = 1) SELECT doc_id, lang, source, row_number() OVER (ORDER BY {_ORDER}) AS position FROM best QUALIFY position <= 8",
