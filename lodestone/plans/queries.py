@@ -67,7 +67,8 @@ def lexical_indexed_topk(spark, d):
 def text_index_topk(spark, d):
     """The best documents by an index of term folders and bounded blocks, built over all of them."""
     index = TextIndex(spark, f"{work_dir(spark)}/terms")
-    segments = index.added([], _t(spark, d, "documents"), "doc_id", "text")
+    docs = _t(spark, d, "documents").select(F.format_string("%019d", "doc_id").alias("name"), "text")  # in the order of the numbers
+    segments = index.added([], docs, "name", "text")
     best = index.topk(segments, TERMS)
     return best.select(F.col("key").cast("long").alias("doc_id"), "lexical_rank", F.round("score", 6).alias("score"))
 

@@ -35,9 +35,9 @@ def search(store: Store, embedder: Embedder, query: str, package: str | None = N
     if mine.isEmpty():
         semantic = mine.select("chunk_id", F.lit(1).alias("semantic_rank"))
     else:
-        semantic = S.semantic_topk(mine, embedder.embed([query])[0], "chunk_id")
+        semantic = store.semantic(embedder.embed([query])[0], where=where)
     terms = re.findall(r"[^\W_]+", query.lower())
-    fts = S.indexed_topk(*store.text_index(), terms, "chunk_id", where=where) if terms else mine.select("chunk_id", F.lit(1).alias("lexical_rank")).limit(0)
+    fts = store.lexical(terms, S.LEXICAL_LIMIT, where)
     branches = [S.exact_stem_hits(mine, query), S.exact_filename_hit(mine, query), fts.select("chunk_id", F.col("lexical_rank").alias("position"))]
     lexical = S.merge_ranked(branches, "chunk_id", S.LEXICAL_LIMIT).withColumnRenamed("position", "lexical_rank")
     fused = S.fuse(semantic, lexical, "chunk_id")
@@ -47,8 +47,12 @@ def search(store: Store, embedder: Embedder, query: str, package: str | None = N
     best = S.best_of_sections(placed, SECTION, "chunk_id").orderBy(*S.result_order("chunk_id")).limit(limit)
     primaries = best.select("chunk_id", F.row_number().over(Window.orderBy(*S.result_order("chunk_id"))).alias("result_position"), "rrf_score", "semantic_rank", "lexical_rank")
     expanded = S.expand(primaries, rows.select("chunk_id", *SECTION, "chunk_ordinal"), limit)
-    sections = S.with_neighbors(rows.select("chunk_id", *SECTION, "chunk_ordinal"), SECTION, ["chunk_ordinal", "chunk_id"], "chunk_id", ("section_previous", "section_next"))
-    return expanded.join(rows.select("chunk_id", *SECTION, "document_hash", "chunk_ordinal", "frontmatter", "text", "token_count"), "chunk_id").join(sections.select("chunk_id", "section_previous", "section_next"), "chunk_id")
+    # neighbours are of one document: only the results' documents are looked at, limit rows at most
+    documents = F.broadcast(rows.join(F.broadcast(expanded.select("chunk_id")), "chunk_id", "left_semi").select("package", "document_stem").distinct())
+    near = rows.join(documents, rows["package"].eqNullSafe(documents["package"]) & (rows["document_stem"] == documents["document_stem"]), "left_semi")
+    sections = S.with_neighbors(near.select("chunk_id", *SECTION, "chunk_ordinal"), SECTION, ["chunk_ordinal", "chunk_id"], "chunk_id", ("section_previous", "section_next"))
+    few = F.broadcast(expanded)
+    return rows.select("chunk_id", *SECTION, "document_hash", "chunk_ordinal", "frontmatter", "text", "token_count").join(few, "chunk_id").join(sections.select("chunk_id", "section_previous", "section_next"), "chunk_id")
 
 
 def context(store: Store, embedder: Embedder, query: str, package: str | None = None, document: str | None = None, limit: int = S.RESULT_LIMIT) -> DataFrame:

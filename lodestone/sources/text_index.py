@@ -180,6 +180,8 @@ class TextIndex:
         rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), *self.others, words.alias("words"))
         rows = rows.select("key", *self.others, F.size("words").alias("length"), F.explode_outer("words").alias("term"))
         counted = rows.groupBy("term", "key", *self.others, "length").agg(F.count("*").cast("int").alias("tf"))
+        if docs.isEmpty():
+            rows, counted, docs = rows.limit(0), counted.limit(0), docs.limit(0)  # nothing to deal out: a deletion
         self._write_postings(counted.where("term is not null"), name)
         mine = self.spark.read.schema(self._blocks).parquet(f"{self.path}/{name}/postings").select("term", F.explode(F.arrays_zip("keys", "lengths")).alias("x"))
         forward = mine.groupBy(F.col("x.keys").alias("key"), F.col("x.lengths").alias("length")).agg(F.collect_list("term").alias("terms"))
@@ -197,7 +199,18 @@ class TextIndex:
             r = dead.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
             new |= {"gone": r["n"], "lost_n": r["n"], "lost_words": r["words"]}
         new["folders"] = {t: self._folders(f"{name}/{t}") for t in ("postings", "forward", "gone", "lost")}
-        return self._merged([*segments, new])
+        out = self._merged([*segments, new])
+        self._forget({new["name"]} - {s["name"] for s in out})
+        return out
+
+    def _forget(self, names: set[str]) -> None:
+        for name in names:
+            fs, path = self._file(name)
+            fs.delete(path, True)
+
+    def vacuum(self, gone: list[list[dict]], stay: list[list[dict]]) -> None:
+        """Delete the segments that only the lists ``gone`` name; their readers must be done."""
+        self._forget({s["name"] for of in gone for s in of} - {s["name"] for of in stay for s in of})
 
     def _touched(self, keys: DataFrame) -> list[int]:
         return [r[0] for r in keys.select(self._part("key")).distinct().collect()]  # numbers of folders

@@ -200,3 +200,27 @@ def test_stored_postings_rank_as_texts_do(spark, tmp_path):
             assert [(r.chunk_id, r.lexical_rank, round(r.score, 9)) for r in got] == [(r.chunk_id, r.lexical_rank, round(r.score, 9)) for r in want]
     plan = listed.where(F.col("term").isin(["needle"])).select("chunk_id")._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan and "EqualTo(term,needle)" in plan.replace("In(term, [needle])", "EqualTo(term,needle)")
+
+
+def test_a_vector_index_beside_changed_buckets(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", "fake", 2, buckets=6)
+    docs = [(None if i % 2 else "p", f"s-{i}-x", ["a", "b", "c"]) for i in range(30)]
+    rows = chunk_rows(spark, docs).withColumn("embedding", F.array(F.substring("document_stem", 3, 9).substr(F.lit(1), F.length("document_stem") - 4).cast("float"), F.col("chunk_ordinal") / 10).cast("array<float>"))
+    store.replace(rows)
+
+    def agree():
+        for query in ([3.0, 0.0], [17.2, 0.1]):
+            for where in (None, F.col("package") == "p"):
+                want = retrieval.semantic_topk(store.rows(), query, "chunk_id", k=5, where=where).collect()
+                got = store.semantic(query, 5, where).collect()
+                assert [(r.chunk_id, r.semantic_rank) for r in got] == [(r.chunk_id, r.semantic_rank) for r in want]
+
+    agree()
+    index = store.index_vectors()
+    assert sum(index.sizes) == 90
+    index.probes = len(index.sizes)
+    agree()
+    store.merge(spark.createDataFrame([(None, "s-17-x")], "package string, document_stem string"), rows.where("document_stem = 's-3-x'").withColumn("document_stem", F.lit("s-99-x")).withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_ordinal")))
+    assert store._meta()["vectors"] is not None and {r.chunk_id for r in store.semantic([3.0, 0.0], 6).collect()} == {"new-0", "new-1", "new-2", "s-3-x-0", "s-3-x-1", "s-3-x-2"}
+    assert "s-17-x-0" not in {r.chunk_id for r in store.semantic([17.0, 0.0], 6).collect()}
+    assert store.vacuum(1) > 0 and len(store.semantic([3.0, 0.0], 6).collect()) == 6
