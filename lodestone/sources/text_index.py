@@ -1,7 +1,7 @@
 """A text index of postings dealt by term: blocks with score bounds, segments, increments without a rewrite.
 
 A segment holds, of a set of documents, ``postings`` in folders by the term's hash: blocks of at most BLOCK postings of one term
-in key order, each with its first and last key, its number and the pairs of tf and length that can score best; and ``forward``, each document's
+by key, each with its first and last key, its number and the pairs of tf and length that can score best; and ``forward``, each document's
 terms, in folders by the key's hash. A query opens its terms' folders only. It reads the blocks' heads (a few columns), so
 document frequencies are sums; then it takes the blocks of the best bounds for a first threshold, the k-th best exact score found
 there, and reads of the other blocks only those that a better document may be in: a block is passed over when its bound and
@@ -24,6 +24,7 @@ import heapq
 import json
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -39,6 +40,10 @@ BLOCK, PARTS, TIER = 128, 64, 4
 FIRST, HEADS = 2, 50_000
 #: Documents whose other postings are looked up by key; where more may reach the threshold, blocks are chosen by ranges only.
 CANDIDATES = 10_000
+#: Postings that a task packs by term before it sends them.
+HELD = 1 << 19
+#: Postings of one term that a task brings in key order before it cuts them into blocks.
+SORTED = 1 << 16
 
 
 @dataclass
@@ -63,8 +68,8 @@ class Plan:
         most = dict(self.wide)
         runs: dict[str, list[_Run]] = {}
         for t in self.df:
-            for at in sorted({b["at"] for b in self.blocks if b["term"] == t}):
-                runs.setdefault(t, []).append(_Run([b for b in self.blocks if b["term"] == t and b["at"] == at]))
+            for chain in _chains([b for b in self.blocks if b["term"] == t]):
+                runs.setdefault(t, []).append(_Run(chain))
             if t in runs:
                 most[t] = max(r.highest for r in runs[t])
         total = sum(most.values())
@@ -96,8 +101,22 @@ class Plan:
         return [b for t in terms for r in self.runs[t] for b, first, last in zip(r.blocks, r.firsts, r.lasts) if bisect.bisect_left(keys, first) < bisect.bisect_right(keys, last)]
 
 
+def _chains(blocks: list[dict]) -> list[list[dict]]:
+    """Blocks dealt to as few lists as can be in which none overlaps another."""
+    out: list[list[dict]] = []
+    free: list[tuple[bytes, int]] = []  # each list's last key
+    for b in sorted(blocks, key=lambda b: b["first"].encode()):
+        if free and free[0][0] < b["first"].encode():
+            k = heapq.heapreplace(free, (b["last"].encode(), free[0][1]))[1]
+            out[k].append(b)
+        else:
+            heapq.heappush(free, (b["last"].encode(), len(out)))
+            out.append([b])
+    return out
+
+
 class _Run:
-    """A term's blocks of one segment, which share no key, and the greatest bound of any range of them."""
+    """Blocks of a term that don't overlap, and the greatest bound of any range of them."""
 
     def __init__(self, blocks: list[dict]):
         self.blocks = sorted(blocks, key=lambda b: b["first"].encode())
@@ -178,15 +197,9 @@ class TextIndex:
         name = f"segment-{uuid.uuid4().hex}"
         words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), *self.others, words.alias("words"))
-        rows = rows.select("key", *self.others, F.size("words").alias("length"), F.explode_outer("words").alias("term"))
-        counted = rows.groupBy("term", "key", *self.others, "length").agg(F.count("*").cast("int").alias("tf"))
-        if docs.isEmpty():
-            rows, counted, docs = rows.limit(0), counted.limit(0), docs.limit(0)  # nothing to deal out: a deletion
-        self._write_postings(counted.where("term is not null"), name)
-        mine = self.spark.read.schema(self._blocks).parquet(f"{self.path}/{name}/postings").select("term", F.explode(F.arrays_zip("keys", "lengths")).alias("x"))
-        forward = mine.groupBy(F.col("x.keys").alias("key"), F.col("x.lengths").alias("length")).agg(F.collect_list("term").alias("terms"))
-        empty = docs.where(F.col(key).isNotNull() & (F.size(words) == 0)).select(F.col(key).cast("string").alias("key"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("terms"))
-        self._write(forward.unionByName(empty), "forward", name, "key")
+        rows = rows.limit(0) if docs.isEmpty() else rows  # nothing to deal out: a deletion
+        self._write_postings(rows.mapInArrow(self._packed, self._rows), name)
+        self._write(rows.select("key", F.size("words").alias("length"), F.array_distinct("words").alias("terms")), "forward", name, "key")
         sums = self.spark.read.schema(self._forward).parquet(f"{self.path}/{name}/forward").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         new = {"name": name, "n": sums["n"], "words": sums["words"], "gone": 0, "lost_n": 0, "lost_words": 0}
         if segments:
@@ -224,18 +237,70 @@ class TextIndex:
     def _write(self, rows: DataFrame, table: str, name: str, by: str) -> None:
         rows.withColumn("part", self._part(by)).hint("rebalance", "part").sortWithinPartitions("part", by).write.partitionBy("part").parquet(f"{self.path}/{name}/{table}")
 
+    @property
+    def _packed(self):
+        """A function from documents(key, others, words) or postings(term, key, length, tf, others) to rows of one term with its postings of a task, by key."""
+        others, most = self.others, HELD
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[str, list[tuple]] = {}
+            n = 0
+
+            def sent() -> pa.RecordBatch:
+                of = {t: list(zip(*sorted(rows, key=lambda r: r[0].encode()))) for t, rows in held.items()}
+                return pa.RecordBatch.from_pydict({
+                    "term": pa.array(list(of), pa.string()), "first": pa.array([x[0][0] for x in of.values()], pa.string()), "keys": pa.array([x[0] for x in of.values()], pa.list_(pa.string())),
+                    "tfs": pa.array([x[1] for x in of.values()], pa.list_(pa.int32())), "lengths": pa.array([x[2] for x in of.values()], pa.list_(pa.int32())),
+                } | {f"{c}_of": pa.array([x[3 + i] for x in of.values()], pa.list_(pa.string())) for i, c in enumerate(others)})
+
+            for b in batches:
+                more = [b.column(c).to_pylist() for c in others]
+                if "words" in b.schema.names:
+                    for key, words, *x in zip(b.column("key").to_pylist(), b.column("words").to_pylist(), *more):
+                        for t, tf in Counter(words).items():
+                            held.setdefault(t, []).append((key, tf, len(words), *x))
+                            n += 1
+                        if n > most:
+                            yield sent()
+                            held.clear()
+                            n = 0
+                else:
+                    for t, *x in zip(*(b.column(c).to_pylist() for c in ("term", "key", "tf", "length")), *more):
+                        held.setdefault(t, []).append(tuple(x))
+                        n += 1
+                    if n > most:
+                        yield sent()
+                        held.clear()
+                        n = 0
+            if held:
+                yield sent()
+
+        return run
+
+    @property
+    def _rows(self) -> str:
+        return "term string, first string, keys array<string>, tfs array<int>, lengths array<int>" + "".join(f", `{c}_of` array<string>" for c in self.others)
+
     def _write_postings(self, rows: DataFrame, name: str) -> None:
-        """Cut postings(term, key, others, length, tf) into blocks. Ranges of (part, term, key) bound a task, however frequent a term is."""
+        """Cut packed rows into blocks. Ranges of (part, term, first) bound a task, however frequent a term is."""
         others = self.others
         schema = T.StructType([f for f in self._blocks.fields if f.name != "part"] + [T.StructField("part", T.IntegerType())])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
-            columns = ["part", "term", "key", "tf", "length", *others]
+            now = None
+            columns = ["part", "term", "keys", "tfs", "lengths", *(f"{c}_of" for c in others)]
 
-            def block(of: list[tuple]) -> dict:
-                part, term, keys, tfs, lengths, *more = zip(*of)
-                return {"term": term[0], "first": keys[0], "last": keys[-1], "n": len(of), "tf": max(tfs), "length": min(lengths), "tops": tops(tfs, lengths), "keys": keys, "tfs": tfs, "lengths": lengths} | {f"{c}_of": m for c, m in zip(others, more)} | {"part": part[0]}
+            def blocks(all_: bool) -> list[dict]:
+                """Of what is held, in key order; without all_ what is less than a block stays."""
+                nonlocal held
+                held.sort(key=lambda r: r[0].encode())
+                out = []
+                while len(held) >= (1 if all_ else BLOCK):
+                    keys, tfs, lengths, *more = zip(*held[:BLOCK])
+                    held = held[BLOCK:]
+                    out.append({"term": now[1], "first": keys[0], "last": keys[-1], "n": len(keys), "tf": max(tfs), "length": min(lengths), "tops": tops(tfs, lengths), "keys": keys, "tfs": tfs, "lengths": lengths} | {f"{c}_of": m for c, m in zip(others, more)} | {"part": now[0]})
+                return out
 
             def batch(of: list[dict]) -> pa.RecordBatch:
                 types = {"n": pa.int32(), "tf": pa.int32(), "length": pa.int32(), "part": pa.int32(), "tops": pa.list_(pa.int32()), "keys": pa.list_(pa.string()), "tfs": pa.list_(pa.int32()), "lengths": pa.list_(pa.int32())}
@@ -243,17 +308,19 @@ class TextIndex:
 
             for b in batches:
                 out = []
-                for r in zip(*(b.column(c).to_pylist() for c in columns)):
-                    if held and (held[0][1] != r[1] or len(held) == BLOCK):
-                        out.append(block(held))
-                        held = []
-                    held.append(r)
+                for part, term, *lists in zip(*(b.column(c).to_pylist() for c in columns)):
+                    if now != (part, term):
+                        out += blocks(True)
+                        now = part, term
+                    held.extend(zip(*lists))
+                    if len(held) >= SORTED:
+                        out += blocks(False)
                 if out:
                     yield batch(out)
             if held:
-                yield batch([block(held)])
+                yield batch(blocks(True))
 
-        dealt = rows.withColumn("part", self._part("term")).repartitionByRange("part", "term", "key").sortWithinPartitions("part", "term", "key")
+        dealt = rows.withColumn("part", self._part("term")).repartitionByRange("part", "term", "first").sortWithinPartitions("part", "term", "first")
         dealt.mapInArrow(cut, schema).write.partitionBy("part").parquet(f"{self.path}/{name}/postings")
 
     def _merged(self, segments: list[dict]) -> list[dict]:
@@ -268,7 +335,7 @@ class TextIndex:
         """The newest ``run`` segments as one."""
         stay, these = segments[: len(segments) - run], segments[len(segments) - run :]
         name = f"segment-{uuid.uuid4().hex}"
-        self._write_postings(self.postings(these).select("term", "key", *self.others, "length", "tf"), name)
+        self._write_postings(self.postings(these).select("term", "key", "tf", "length", *self.others).mapInArrow(self._packed, self._rows), name)
         alive = self._living(these, self._read(these, "forward", self._forward))
         self._write(alive.select("key", "length", "terms"), "forward", name, "key")
         sums = self.spark.read.schema(self._forward).parquet(f"{self.path}/{name}/forward").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()

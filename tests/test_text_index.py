@@ -146,6 +146,8 @@ def test_bounds_of_shared_keys():
     blocks = [b("x", 0, "a", "c", 2.0), b("x", 0, "d", "f", 1.0), b("y", 0, "b", "b", 3.0), b("y", 1, "e", "z", 0.5)]
     plan = Plan({"x": 9, "y": 9}, {}, blocks, {})
     plan.reaching(0.0)
+    chains = text_index._chains([b("x", 0, f, l, 1.0) for f, l in (("a", "d"), ("b", "c"), ("d", "e"), ("e", "g"), ("f", "f"))])
+    assert len(chains) == 2 and all(x["last"] < y["first"] for c in chains for x, y in zip(c, c[1:]))
     assert plan.spare(2.5) == ({"x"}, 2.0) and plan.spare(1.0) == (set(), 0.0) and [x["first"] for x in plan.holding({"x"}, ["c", "cc"])] == ["a"]
     assert plan.reaching(0.0)[0] and len(plan.reaching(0.0)[0]) == 4
     assert [x["first"] for x in plan.reaching(4.0)[0]] == ["a", "b"]
