@@ -64,11 +64,11 @@ def main(argv: list[str] | None = None) -> int:
     types = config.document_types(spark.read.text(f"{a.workspace}/{TYPES}", wholetext=True).first()[0])
     files = discovery.with_names(discovery.files(spark, [f"{a.workspace}/{discovery.CORPUS_ROOT}"]))
     documents = files.withColumn("doc_type", F.regexp_extract("path", r"/doc/([^/]+)/", 1)).where((F.col("extension") == "md") | ~F.col("file_name").contains("."))
-    stems = [r[0] for r in documents.select("document_stem").distinct().collect()]
-    errors = validate.validate(documents.select("path", "doc_type", "content"), types, stems).orderBy("path", "error").collect()
-    for e in errors:
+    stems = documents.select(F.col("document_stem").alias("stem"))
+    n = 0
+    for n, e in enumerate(validate.validate(documents.select("path", "doc_type", "content"), types, stems).orderBy("path", "error").toLocalIterator(), 1):
         print(f"{e.path}: {e.error}")
-    return int(bool(errors))
+    return int(n > 0)
 
 
 if __name__ == "__main__":

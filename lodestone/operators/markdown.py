@@ -19,6 +19,21 @@ _EXTRACTED = (
 )
 
 
+def _extracted(content) -> dict:
+    """What extraction finds; a content that is missing, isn't UTF-8 or is nested too deep is a failure like others."""
+    failed = lambda kind, error: {"status": "failed", "error_kind": kind, "error": error}
+    if content is None:
+        return failed("no_content", "the document has no content")
+    try:
+        e = md.extract(bytes(content).decode())
+        fm.to_json(e.get("metadata"))  # which recurses as well
+        return e
+    except UnicodeDecodeError:
+        return failed("encoding", "not UTF-8")
+    except RecursionError:
+        return failed("malformed_frontmatter", "nested too deep")
+
+
 def extract(documents: DataFrame) -> DataFrame:
     """The documents' columns but for the content, and what extraction finds; a failure is a row with an error."""
     keys = [f for f in documents.schema if f.name != "content"]
@@ -27,10 +42,7 @@ def extract(documents: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for content in pdf.pop("content"):
-                try:
-                    e = md.extract(bytes(content).decode())
-                except UnicodeDecodeError:
-                    e = {"status": "failed", "error_kind": "encoding", "error": "not UTF-8"}
+                e = _extracted(content)
                 e["frontmatter"] = fm.to_json(e.get("metadata"))
                 e["tags"] = fm.filterable(e.get("metadata")).get("tags")
                 rows.append([e.get(k) for k in ("status", "error_kind", "error", "format", "frontmatter", "tags", "body_start", "headings", "links", "diagnostics")])
@@ -48,14 +60,12 @@ def chunks(documents: DataFrame, config: md.Config = md.Config()) -> DataFrame:
     """One row a chunk; a document that fails (or has no text) is one row with status 'failed'."""
 
     def of(package, stem, digest, content) -> list[tuple]:
+        e = _extracted(content)
+        if e["status"] == "failed":
+            return [(package, stem, digest, "failed", e["error_kind"], e["error"])]
         try:
-            e = md.extract(bytes(content).decode())
-            if e["status"] == "failed":
-                return [(package, stem, digest, "failed", e["error_kind"], e["error"])]
             meta = fm.to_json(e["metadata"])
             found = md.chunk(package, stem, e, config)
-        except UnicodeDecodeError:
-            return [(package, stem, digest, "failed", "encoding", "not UTF-8")]
         except md.OversizedBlock as x:
             return [(package, stem, digest, "failed", "oversized_block", str(x))]
         if not found:

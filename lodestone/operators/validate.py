@@ -1,8 +1,8 @@
 """Rules over governed documents, and plans to repair what they find.
 
 documents(path, doc_type, content): one row a file below doc/<type>. Rules are columns, so a
-document is looked at once; stems that are mentioned outside links are found by a hash look-up of
-candidate words in the set of known stems.
+document is looked at once. For stems that are mentioned outside links, each text gives its candidate words
+with their places, and a join keeps those that are in the table of stems: stems stay a table, whatever their number.
 """
 
 from __future__ import annotations
@@ -21,14 +21,17 @@ from lodestone.sources.config import DocumentType
 
 REQUIRED = ("id", "type", "code", "slug", "title", "description", "created", "tags")
 BOM = b"\xef\xbb\xbf"
-#: Stems, with their packages, that are sent to all tasks; more of them are looked up in parts.
-STEMS_AT_ONCE = 1_000_000
+#: Over how many keys the mentions of one stem are dealt: a stem that a third of all documents name is no one task's.
+SALTS = 32
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_/-])[a-z0-9-]+(?:/[a-z0-9-]+)?(?![A-Za-z0-9_/-])(?!\.[A-Za-z0-9])")
 _PROTECTED = re.compile(r"\[\[.*?\]\]|`[^`]*(?:`|\Z)|[A-Za-z0-9+.-]*://[^\s)\]]*")
 
 
-def bare_stems(content: str, stems: frozenset[str]) -> list[tuple[str, int, int]]:
-    """(stem, from, to) of known stems in a body's text outside links, code and addresses."""
+def candidates(content: str) -> list[tuple[str, int, int]]:
+    """(word, from, to) of the words of a body's text, outside links, code and addresses, that may be stems.
+
+    A candidate is a whole run of a stem's characters, so no two overlap and the longest stem at a place is the only one.
+    """
     pieces = content.split("---", 2)
     at = len(content) - len(pieces[2]) if len(pieces) == 3 else 0
     out, fenced = [], False
@@ -38,12 +41,34 @@ def bare_stems(content: str, stems: frozenset[str]) -> list[tuple[str, int, int]
         elif not fenced:
             shielded = [m.span() for m in _PROTECTED.finditer(line)]
             for m in _CANDIDATE.finditer(line):
-                if m[0] in stems and not any(a < m.end() and m.start() < b for a, b in shielded):
+                if not any(a < m.end() and m.start() < b for a, b in shielded):
                     out.append((m[0], at + m.start(), at + m.end()))
         at += len(line)
     return out
 
 
+def bare_stems(content: str, stems: frozenset[str]) -> list[tuple[str, int, int]]:
+    """Those of a text's candidates that are among these stems."""
+    return [x for x in candidates(content) if x[0] in stems]
+
+
+def stem_mentions(texts: DataFrame, key: str, stems: DataFrame) -> DataFrame:
+    """key, stem, start, end: the known stems(stem) that texts(key, text) name bare, by a join; null texts and stems have none."""
+
+    @F.pandas_udf("array<struct<stem string, start int, end int>>")
+    def found(of: pd.Series) -> pd.Series:
+        return of.map(lambda t: [dict(zip(("stem", "start", "end"), x)) for x in candidates(t)] if t else [])
+
+    words = texts.select(key, F.explode(found(F.col("text"))).alias("x")).select(key, "x.*")
+    salted = words.withColumn("salt", F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int"))
+    known = stems.select("stem").where("stem is not null").distinct().select("stem", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return salted.join(known, ["stem", "salt"], "left_semi").select(key, "stem", "start", "end")
+
+
+def stem_table(spark, stems: DataFrame | Sequence[str]) -> DataFrame:
+    return stems if isinstance(stems, DataFrame) else spark.createDataFrame([(s,) for s in sorted(set(stems))], "stem string")
+
+
 def stem_dictionary(workspace: DataFrame, packages: DataFrame) -> DataFrame:
     """Distinct stems of workspace(document_stem) and package/stem of packages(package, document_stem), longest first."""
     every = workspace.select(F.col("document_stem").alias("stem")).union(packages.select(F.concat_ws("/", "package", "document_stem")))
@@ -67,8 +92,11 @@ def _listed(values: Column) -> Column:
     return _say("[", F.array_join(F.transform(values, lambda v: _say('"', v, '"')), ", "), "]")
 
 
-def validate(documents: DataFrame, types: Sequence[DocumentType], stems: Sequence[str] = (), top_folders: Sequence[str] = ()) -> DataFrame:
-    """path, error: one row for each rule that a document breaks."""
+def validate(documents: DataFrame, types: Sequence[DocumentType], stems: DataFrame | Sequence[str] = (), top_folders: Sequence[str] = ()) -> DataFrame:
+    """path, error: one row for each rule that a document breaks; stems(stem) are those that should be links.
+
+    A document without content, or of a type that isn't configured, is one row that says so.
+    """
     spark = documents.sparkSession
     config = spark.createDataFrame([(t.name, t.layout, t.statuses) for t in types], "doc_type string, layout string, statuses array<string>")
     status_folders = sorted({s for t in types for s in t.statuses})
@@ -76,10 +104,12 @@ def validate(documents: DataFrame, types: Sequence[DocumentType], stems: Sequenc
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     crlf = F.instr(text, "\r\n") > 0
     encoding = (
-        F.when(F.substring("content", 1, 3) == F.lit(BOM), "file starts with a UTF-8 byte order mark")
+        F.when(F.col("content").isNull(), "file has no content")
+        .when(F.substring("content", 1, 3) == F.lit(BOM), "file starts with a UTF-8 byte order mark")
         .when(text.isNull(), "file is not valid UTF-8")
         .when(crlf, "file has CRLF line endings")
     )
+    unknown = documents.join(F.broadcast(config), "doc_type", "left_anti").select("path", _say("Unknown document type '", F.coalesce("doc_type", F.lit("")), "'").alias("error"))
     rows = documents.join(F.broadcast(config), "doc_type").select(
         "path", "doc_type", "layout", "statuses", F.element_at(parts, -1).alias("name"), F.try_element_at(parts, F.lit(-2)).alias("folder"), encoding.alias("encoding"), text.alias("text")
     )
@@ -115,25 +145,13 @@ def validate(documents: DataFrame, types: Sequence[DocumentType], stems: Sequenc
     errors = (
         F.when(F.col("encoding").isNotNull(), F.array("encoding"))
         .when(F.col("fields").isNull(), F.array(F.lit("Missing or malformed frontmatter")))
-        .otherwise(F.concat(F.when(F.col("doc_type") == "template", none).otherwise(F.array_compact(of_fields)), wiki, _bare(spark, stems), placeholders))
+        .otherwise(F.concat(F.when(F.col("doc_type") == "template", none).otherwise(F.array_compact(of_fields)), wiki, placeholders))
     )
-    return rows.select("path", F.explode(errors).alias("error"))
-
-
-def _bare(spark, stems: Sequence[str]) -> Column:
-    """Messages for bare stems; the stems go to the tasks in parts of a bounded size."""
-    stems = sorted(set(stems))
-    out = F.array().cast("array<string>")
-    for at in range(0, len(stems), STEMS_AT_ONCE):
-        known = spark.sparkContext.broadcast(frozenset(stems[at : at + STEMS_AT_ONCE]))
-
-        @F.pandas_udf("array<string>")
-        def hits(texts: pd.Series) -> pd.Series:
-            say = lambda s: f"Bare governed document stem '{s}' should be a wikilink; expected '[[{s}]]'"
-            return texts.map(lambda t: [say(s) for s, _, _ in bare_stems(t or "", known.value)])
-
-        out = F.concat(out, hits(F.col("text")))
-    return out
+    out = rows.select("path", F.explode(errors).alias("error")).unionByName(unknown)
+    if not isinstance(stems, DataFrame) and not stems:
+        return out
+    named = stem_mentions(rows.where("encoding is null and fields is not null"), "path", stem_table(spark, stems))
+    return out.unionByName(named.select("path", _say("Bare governed document stem '", F.col("stem"), "' should be a wikilink; expected '[[", F.col("stem"), "]]'").alias("error")))
 
 
 def report(errors: DataFrame) -> DataFrame:
@@ -144,6 +162,10 @@ def report(errors: DataFrame) -> DataFrame:
 # --- repairs: rewritten contents and moves, as rows; a driver step applies them
 
 
+#: The repairs that need neither stems nor a move, in their order.
+_EARLY = (("normalize_line_endings", lambda t: t.replace("\r\n", "\n")), ("normalize_wikilinks", lambda t: re.sub(r"\[\[([^\]]+)\.md\]\]", r"[[\1]]", t)))
+
+
 def repaired(content: bytes, stems: frozenset[str]) -> tuple[bytes, list[str]]:
     """A file's content after the repairs that need no move, and which were made."""
     made = []
@@ -157,7 +179,7 @@ def repaired(content: bytes, stems: frozenset[str]) -> tuple[bytes, list[str]]:
         text = content.decode()
     except UnicodeDecodeError:
         return content, made
-    for name, new in (("normalize_line_endings", lambda t: t.replace("\r\n", "\n")), ("normalize_wikilinks", lambda t: re.sub(r"\[\[([^\]]+)\.md\]\]", r"[[\1]]", t)), ("link_bare_stems", lambda t: linked(t, stems)), ("normalize_heading", headed)):
+    for name, new in (*_EARLY, ("link_bare_stems", lambda t: linked(t, stems)), ("normalize_heading", headed)):
         if (after := new(text)) != text:
             text = after
             made.append(name)
@@ -180,16 +202,24 @@ def headed(text: str) -> str:
     return f"{text[:start]}# {first.strip()}{text[start + len(first):]}"
 
 
-def repair_plan(documents: DataFrame, types: Sequence[DocumentType], stems: Sequence[str] = ()) -> DataFrame:
-    """path, target (a new place or null), content (rewritten or null), fixes: of the files to be changed."""
+def repair_plan(documents: DataFrame, types: Sequence[DocumentType], stems: DataFrame | Sequence[str] = ()) -> DataFrame:
+    """path, target (a new place or null), content (rewritten or null), fixes: of the files to be changed. A file without content stays."""
     config = documents.sparkSession.createDataFrame([(t.name, t.layout, t.statuses) for t in types], "doc_type string, layout string, statuses array<string>")
-    known = documents.sparkSession.sparkContext.broadcast(frozenset(stems))
 
     @F.pandas_udf("content binary, fixes array<string>")
-    def fixed(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([repaired(bytes(c), known.value) for c in contents], columns=["content", "fixes"])
-
-    rows = documents.join(F.broadcast(config), "doc_type").withColumn("new", fixed("content")).withColumn("fields", _fields(F.col("new.content").cast("string")))
+    def fixed(contents: pd.Series, named: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, []) if c is None else repaired(bytes(c), frozenset(() if n is None else n)) for c, n in zip(contents, named)], columns=["content", "fixes"], dtype=object)
+
+    rows = documents.join(F.broadcast(config), "doc_type")
+    if isinstance(stems, DataFrame) or stems:
+        # which stems a file names is known by a join; the file itself is then written with those only
+        plain = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+        early = F.regexp_replace(F.replace(plain, F.lit("\r\n"), F.lit("\n")), r"\[\[([^\]]+)\.md\]\]", "[[$1]]")
+        mentions = stem_mentions(rows.select("path", early.alias("text")), "path", stem_table(rows.sparkSession, stems))
+        rows = rows.join(mentions.groupBy("path").agg(F.collect_set("stem").alias("named")), "path", "left")
+    else:
+        rows = rows.withColumn("named", F.array().cast("array<string>"))
+    rows = rows.withColumn("new", fixed("content", "named")).withColumn("fields", _fields(F.col("new.content").cast("string")))
     parts = F.split("path", "/")
     name, folder = F.element_at(parts, -1), F.try_element_at(parts, F.lit(-2))
     status, category = F.try_element_at("fields", F.lit("status")), F.try_element_at("fields", F.lit("category"))

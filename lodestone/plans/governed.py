@@ -56,6 +56,17 @@ def governed_errors(spark, d):
     return validate.validate(corpus(spark, d).select("path", "doc_type", "content"), TYPES)
 
 
+def governed_stems(spark, d):
+    """Every rule, with all stems of the corpus, over the corpus with more that names its stems bare, linked and in code; some rows have no content or type."""
+    own, other = F.expr("left(name, length(name) - 3)"), F.lit("pkg/spec-1-known")
+    more = F.concat(F.lit("\nAs "), own, F.lit(" says (`"), own, F.lit("`, [["), own, F.lit("]], x-"), own, F.lit(", "), own, F.lit(".md): "), other, F.lit(".\n```\n"), own, F.lit("\n```\n"))
+    content = F.when(F.col("k") % 53 != 0, F.concat(F.col("content").cast("string"), F.when(F.col("k") % 4 == 0, more).otherwise(F.lit(""))).cast("binary"))
+    rows = corpus(spark, d)
+    stems = rows.select(own.alias("stem")).unionByName(rows.select(F.concat_ws("/", F.lit("pkg"), F.lit("spec-1-known")).alias("stem")))
+    kind = F.when(F.col("k") % 59 == 0, "memo").otherwise(F.col("doc_type"))
+    return validate.validate(rows.select("path", kind.alias("doc_type"), content.alias("content")), TYPES, stems)
+
+
 def governed_report(spark, d):
     rows = validate.report(governed_errors(spark, d))
     return rows.select("valid", F.size("errors").cast("long").alias("errors"))
@@ -170,7 +181,7 @@ def failure_kinds(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        governed_errors, governed_report, governed_repairs, extracted_metadata, extracted_outline, extracted_links, extracted_diagnostics, extracted_chunks, governed_catalogue,
+        governed_errors, governed_stems, governed_report, governed_repairs, extracted_metadata, extracted_outline, extracted_links, extracted_diagnostics, extracted_chunks, governed_catalogue,
         governed_tree, governed_next_code, governed_dashboard, governed_names, governed_tags, governed_types, governed_packages, prompt_texts, failure_kinds,
     )
 }
@@ -206,6 +217,11 @@ cat AS (SELECT path, doc_type AS type, k AS code, own AS slug, folder, CASE WHEN
   FROM records WHERE own <> 'item--x')"""
 ORACLE = {
     "governed_errors": f"{_SQL}, {_ERRORS} SELECT * FROM errors",
+    "governed_stems": f"""{_SQL}, {_ERRORS}, told AS (SELECT path, error FROM errors JOIN corpus USING (path) WHERE k % 53 <> 0 AND k % 59 <> 0
+  UNION ALL SELECT path, 'file has no content' FROM corpus WHERE k % 53 = 0 AND k % 59 <> 0
+  UNION ALL SELECT path, 'Unknown document type ' || chr(39) || 'memo' || chr(39) FROM corpus WHERE k % 59 = 0
+  UNION ALL SELECT path, 'Bare governed document stem ' || chr(39) || s || chr(39) || ' should be a wikilink; expected ' || chr(39) || '[[' || s || ']]' || chr(39) FROM (
+    SELECT path, k, unnest([{_STEM}, 'pkg/spec-1-known']) AS s FROM corpus WHERE k % 4 = 0 AND k % 53 <> 0 AND k % 59 <> 0 AND {_PLAIN})) SELECT * FROM told""",
     "governed_report": f"{_SQL}, {_ERRORS} SELECT count(*) = 0 AS valid, count(*) AS errors FROM errors",
     "governed_repairs": f"""{_SQL}, new AS (SELECT *, replace(replace(content, eol, nl), 'item-x.md]]', 'item-x]]') AS after,
 CASE WHEN doc_type = 'rfc' AND folder <> status AND status <> 'odd' THEN 'w/doc/rfc/' || status || '/' || name

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -342,17 +341,8 @@ def chunk_paragraphs(spark, d):
 def stem_dictionary_match(spark, d):
     """How often every document has each bare stem; the words of the benchmark stand for stems."""
     words = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9-]+"), F.lit(0))).alias("document_stem"))
-    stems = [r.stem for r in V.stem_dictionary(words, words.where("false").select(F.lit("").alias("package"), "document_stem")).collect()]
-    docs, found = _t(spark, d, "documents").select("doc_id", "text"), F.array().cast("array<string>")
-    for at in range(0, len(stems), V.STEMS_AT_ONCE):
-        known = spark.sparkContext.broadcast(frozenset(stems[at : at + V.STEMS_AT_ONCE]))
-
-        @F.pandas_udf("array<string>")
-        def hits(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: [s for s, _, _ in V.bare_stems(t or "", known.value)])
-
-        found = F.concat(found, hits(F.col("text")))
-    return docs.select("doc_id", F.explode(found).alias("stem")).groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
+    mentions = V.stem_mentions(_t(spark, d, "documents").select("doc_id", "text"), "doc_id", words.select(F.col("document_stem").alias("stem")))
+    return mentions.groupBy("doc_id", "stem").agg(F.count("*").alias("n"))
 
 
 SEQUENTIAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (chunk_paragraphs, stem_dictionary_match, vector_index_topk)}

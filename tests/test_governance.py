@@ -140,3 +140,33 @@ def test_text_functions(spark):
     assert one(T.stem_parts(F.lit("ai-rule-007-x-1"))["type"]) == "ai-rule" and one(T.padded_code(F.lit(123456), 5)) == "123456"
     assert one(T.token_count(F.lit("a\xa0b　c  d\n"))) == 4 and one(T.anchor(F.lit("A  B--c! é-"))) == "a-b-c"
     assert one(T.unix_lines(F.lit("a\r\nb\rc"))) == "a\nb\nc"
+
+
+def test_stems_by_join_equal_a_dictionary(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    stems = [f"rfc-{i}-{s}" for i in range(12) for s in ("a", "a-b")] + ["pkg/rfc-1-a", "pkg/rfc-2-zz"]
+    parts = [*stems, "rfc-1", "rfc-1-a/x", "x/rfc-1-a", "`rfc-1-a`", "[[rfc-2-a]]", "http://x/rfc-3-a", "rfc-4-a.md", "rfc-4-a.", "(rfc-5-a)", "\n", "\n```\n", "_rfc-1-a", "Rfc-1-a", "é"]
+    texts = [(i, " ".join(rng.choices(parts, k=rng.randrange(30)))) for i in range(80)] + [(90, None), (91, ""), (92, "rfc-1-a " * 3000)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    table = spark.createDataFrame([(s,) for s in [*stems, stems[0], None]], "stem string")
+    want = sorted((i, *x) for i, t in texts for x in validate.bare_stems(t or "", frozenset(stems)))
+    got = validate.stem_mentions(df, "id", table)
+    assert sorted(map(tuple, got.collect())) == want and any(a == "pkg/rfc-2-zz" for _, a, *_ in want)
+    assert got.where("id = 92").count() == 3000 and "Broadcast" not in got._jdf.queryExecution().logical().toString()
+
+
+def test_bad_rows_are_rows(spark):
+    schema = "package string, document_stem string, document_hash string, content binary"
+    deep = b"---\na: " + b"[" * 5000 + b"]" * 5000 + b"\n---\n# T\n\nx\n"
+    rows = [(None, "spec-1-none", "h", None), (None, "spec-2-bytes", "h", bytearray(b"\xff")), (None, "spec-3-deep", "h", bytearray(deep)), (None, "spec-4-good", "h", bytearray(b"# T\n\nFine.\n"))]
+    df = spark.createDataFrame(rows, schema)
+    want = {"spec-1-none": "no_content", "spec-2-bytes": "encoding", "spec-3-deep": "malformed_frontmatter", "spec-4-good": None}
+    for op in (ops.extract, ops.chunks):
+        assert {r.document_stem: r.error_kind for r in op(df).collect()} == want
+    governed = spark.createDataFrame([("w/doc/rfc/draft/a.md", "rfc", None), ("w/doc/memo/b.md", "memo", bytearray(b"x")), ("w/doc/c.md", None, None)], "path string, doc_type string, content binary")
+    assert {r.path: r.error for r in validate.validate(governed, TYPES).collect()} == {
+        "w/doc/rfc/draft/a.md": "file has no content", "w/doc/memo/b.md": "Unknown document type 'memo'", "w/doc/c.md": "Unknown document type ''",
+    }
+    assert validate.repair_plan(governed, TYPES, ["rfc-1-a"]).collect() == []
