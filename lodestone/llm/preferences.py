@@ -72,25 +72,44 @@ def paired(conversations: DataFrame) -> DataFrame:
     return turns.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected"))
 
 
+def _last(turns: Column) -> Column:
+    """The place (from 1) of the last trained turn, null without one."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(turns), F.lit(1))), lambda i: F.get(turns, i - 1)["role"] == TRAINED)
+    return F.array_max(places)
+
+
+def against_neighbours(conversations: DataFrame) -> DataFrame:
+    """pair_id (the conversation's id), chosen, rejected: of each conversation up to its last assistant turn, and with that turn
+    replaced by the one of its neighbour (2n of 2n + 1 and the other way round). Where the neighbour has none, the turn is
+    missing in rejected; a conversation without an assistant turn is its own pair and all prompt."""
+    both = paired(conversations)
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), F.col(mine).alias("mine"), F.col(other).alias("other")) for k, mine, other in ((0, "chosen", "rejected"), (1, "rejected", "chosen"))))
+    rows = both.select("pair_id", F.explode(sides).alias("s")).where(F.size("s.mine") > 0)
+    rows = rows.select((F.col("pair_id") * 2 + F.col("s.side")).alias("pair_id"), F.col("s.mine").alias("mine"), F.col("s.other").alias("other")).withColumns({"at": _last(F.col("mine")), "from": _last(F.col("other"))})
+    taken = F.when(F.col("from").isNotNull(), F.slice("other", F.coalesce("from", F.lit(1)), F.lit(1))).otherwise(F.slice("other", F.lit(1), F.lit(0)))
+    before = F.slice("mine", F.lit(1), F.coalesce(F.col("at") - 1, F.lit(0)))
+    return rows.select("pair_id", F.coalesce(F.slice("mine", F.lit(1), F.col("at")), F.col("mine")).alias("chosen"), F.when(F.col("at").isNull(), F.col("mine")).otherwise(F.concat(before, taken)).alias("rejected"))
+
+
 ORACLE_SQL = """
 WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
-sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS c, count(*) FILTER (side = 1) AS r FROM turns GROUP BY pair_id),
-unlike AS (
-  SELECT a.pair_id, min(a.k) AS k FROM turns a JOIN turns b ON a.pair_id = b.pair_id AND a.k = b.k
-  WHERE a.side = 0 AND b.side = 1 AND (a.role <> b.role OR a.text <> b.text) GROUP BY a.pair_id),
-common AS (SELECT pair_id, CASE WHEN unlike.k IS NULL THEN least(c, r) ELSE unlike.k - 1 END AS n FROM sizes LEFT JOIN unlike USING (pair_id)),
+finals AS (SELECT conv_id, count(*) AS size, max(k) FILTER (role = 'assistant') AS spot FROM turns GROUP BY conv_id),
+answers AS (SELECT turns.conv_id, text FROM turns JOIN finals ON turns.conv_id = finals.conv_id AND k = spot),
+pairs AS (
+  SELECT finals.conv_id, coalesce(spot, size) AS stop, CASE WHEN spot IS NULL THEN size WHEN a.text = b.text THEN spot ELSE spot - 1 END AS n, CASE WHEN spot IS NOT NULL AND a.text IS DISTINCT FROM b.text THEN b.text END AS other
+  FROM finals LEFT JOIN answers a ON a.conv_id = finals.conv_id LEFT JOIN answers b ON b.conv_id = xor(finals.conv_id, 1)),
 made AS (
-  SELECT turns.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said,
+  SELECT conv_id, n, stop, other, k, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said,
          (length(role) + 5) || ':0 ' || (length(text) + 8) || CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS mask
-  FROM turns JOIN common USING (pair_id))
-SELECT pair_id, n AS common_turns,
-  coalesce(string_agg(said, '' ORDER BY k) FILTER (side = 0 AND k <= n), '') AS prompt,
-  coalesce(string_agg(said, '' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen,
-  coalesce(string_agg(mask, ' ' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen_mask,
-  coalesce(string_agg(said, '' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected,
-  coalesce(string_agg(mask, ' ' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected_mask
-FROM made GROUP BY pair_id, n
+  FROM turns JOIN pairs USING (conv_id))
+SELECT conv_id AS pair_id, n AS common_turns,
+  coalesce(string_agg(said, '' ORDER BY k) FILTER (k <= n), '') AS prompt,
+  coalesce(string_agg(said, '' ORDER BY k) FILTER (k > n AND k <= stop), '') AS chosen,
+  coalesce(string_agg(mask, ' ' ORDER BY k) FILTER (k > n AND k <= stop), '') AS chosen_mask,
+  coalesce('<|assistant|>' || chr(10) || other || '<|end|>' || chr(10), '') AS rejected,
+  coalesce('14:0 ' || (length(other) + 8) || ':1', '') AS rejected_mask
+FROM made GROUP BY conv_id, n, other
 """

@@ -36,7 +36,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preferences.formatted(preferences.paired(table(spark, sf_dir, "conversations")))
+    return preferences.formatted(preferences.against_neighbours(table(spark, sf_dir, "conversations")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,33 @@ def test_preferences(spark):
     assert preferences.formatted(preferences.paired(df.where("false"))).isEmpty()
 
 
+def test_most_prompts_hold_turns(spark, sf_dir):
+    rows = queries.op5_preferences(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().count()
+    assert sum(r.prompt != "" and r.chosen != "" and r.rejected != "" for r in rows) > len(rows) / 2
+    assert all(r.chosen != r.rejected or not r.chosen for r in rows)
+
+
+def test_a_neighbours_answer_is_rejected(spark):
+    said = lambda *turns: [(r, t) for r, t in turns]
+    talks = {
+        0: said(("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")), 1: said(("user", "f"), ("assistant", "g")), 2: said(("user", "h"), ("assistant", "i")), 3: said(("user", "j")),
+        4: said(("user", "k"), ("assistant", "l")), 6: said(("user", "m"), ("assistant", "same")), 7: said(("assistant", "same")), -1: said(("assistant", "n")), -2: said(("system", "o"), ("assistant", None)),
+    }
+    df = spark.createDataFrame([(c, k, *t) for c, turns in talks.items() for k, t in enumerate(turns)] + [(None, 0, "user", "lost")], "conv_id long, turn long, role string, text string")
+    clash = df.withColumns({c: F.lit("clash") for c in ("pair_id", "chosen", "mine", "at", "from", "side", "s")})
+    pairs = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in preferences.against_neighbours(clash).collect()}
+    a = lambda t: ("assistant", t)
+    talk = lambda c, n: [(r, t or "") for r, t in talks[c][:n]]
+    assert pairs == {
+        0: (talk(0, 4), [*talk(0, 3), a("g")]), 1: (talk(1, 2), [*talk(1, 1), a("d")]), 2: (talk(2, 2), talk(2, 1)), 3: (talk(3, 1), talk(3, 1)), 4: (talk(4, 2), talk(4, 1)),
+        6: (talk(6, 2), talk(6, 2)), 7: (talk(7, 1), talk(7, 1)), -1: (talk(-1, 1), [a("")]), -2: (talk(-2, 2), [*talk(-2, 1), a("n")]),
+    }
+    out = {r.pair_id: r for r in preferences.formatted(preferences.against_neighbours(df)).collect()}
+    assert (out[0].common_turns, out[0].chosen, out[0].rejected) == (3, "<|assistant|>\nd<|end|>\n", "<|assistant|>\ng<|end|>\n") and out[6].rejected == "" == out[3].chosen
+    assert preferences.against_neighbours(df.where("false")).isEmpty()
+
+
 def test_media_columns_by_hand(spark):
     """Every column of the query from the definition; the stored form is read by a reader of its own."""
     import hashlib
