@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import catalog, validate
+from lodestone.operators import catalog, moves, validate
 from lodestone.operators import markdown as M
+from lodestone.session import work_dir
 from lodestone.sources.config import DocumentType
 
 CORPUS = """
@@ -67,6 +68,22 @@ def governed_stems(spark, d):
     return validate.validate(rows.select("path", kind.alias("doc_type"), content.alias("content")), TYPES, stems)
 
 
+MOVES = """
+m AS (SELECT p_partkey AS k, 'f/' || CAST(p_partkey AS STRING) AS path, CAST(floor(p_partkey / 10) AS BIGINT) AS g FROM $part),
+planned AS (SELECT k, path, CASE k % 10
+  WHEN 0 THEN 'f/' || CAST(k + 1 AS STRING) WHEN 1 THEN 'f/' || CAST(k + 1 AS STRING)
+  WHEN 3 THEN 'f/' || CAST(k + 1 AS STRING) WHEN 4 THEN 'f/' || CAST(CASE WHEN g % 2 = 0 THEN k - 1 ELSE k + 1 END AS STRING) WHEN 5 THEN CASE WHEN g % 2 = 0 THEN 'one/' || CAST(g AS STRING) ELSE 'f/' || CAST(k - 2 AS STRING) END
+  WHEN 6 THEN 'one/' || CAST(g AS STRING) WHEN 7 THEN 'f/' || CAST(k + 1 AS STRING) WHEN 8 THEN 'new/' || CAST(g AS STRING) WHEN 9 THEN 'f/' || CAST(k + 7 AS STRING) END AS target FROM m)
+"""
+
+
+def governed_moves(spark, d):
+    """Moves for every part that are chains, swaps, longer cycles, two to one place and places that are taken."""
+    spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("lodestone_part")
+    planned = spark.sql(f"WITH {MOVES.replace('$part', 'lodestone_part')} SELECT path, target FROM planned")
+    return moves.ordered_moves(planned, planned.select("path"), work_dir(spark))
+
+
 def governed_report(spark, d):
     rows = validate.report(governed_errors(spark, d))
     return rows.select("valid", F.size("errors").cast("long").alias("errors"))
@@ -181,7 +198,7 @@ def failure_kinds(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        governed_errors, governed_stems, governed_report, governed_repairs, extracted_metadata, extracted_outline, extracted_links, extracted_diagnostics, extracted_chunks, governed_catalogue,
+        governed_errors, governed_stems, governed_moves, governed_report, governed_repairs, extracted_metadata, extracted_outline, extracted_links, extracted_diagnostics, extracted_chunks, governed_catalogue,
         governed_tree, governed_next_code, governed_dashboard, governed_names, governed_tags, governed_types, governed_packages, prompt_texts, failure_kinds,
     )
 }
@@ -222,6 +239,17 @@ ORACLE = {
   UNION ALL SELECT path, 'Unknown document type ' || chr(39) || 'memo' || chr(39) FROM corpus WHERE k % 59 = 0
   UNION ALL SELECT path, 'Bare governed document stem ' || chr(39) || s || chr(39) || ' should be a wikilink; expected ' || chr(39) || '[[' || s || ']]' || chr(39) FROM (
     SELECT path, k, unnest([{_STEM}, 'pkg/spec-1-known']) AS s FROM corpus WHERE k % 4 = 0 AND k % 53 <> 0 AND k % 59 <> 0 AND {_PLAIN})) SELECT * FROM told""",
+    "governed_moves": f"""WITH RECURSIVE {MOVES.replace('$part', 'part')},
+v AS (SELECT path, target, row_number() OVER (PARTITION BY target ORDER BY path) AS nth FROM planned WHERE target IS NOT NULL AND target <> path),
+won AS (SELECT path, target FROM v WHERE nth = 1),
+walk AS (SELECT path, path AS node, target AS ahead, 0 AS turn, path AS least, false AS loop FROM won
+  UNION ALL SELECT w.path, n.path, n.target, w.turn + 1, least(w.least, n.path), n.target = w.path FROM walk w JOIN won n ON n.path = w.ahead WHERE NOT w.loop AND n.path <> w.path),
+ends AS (SELECT w.*, EXISTS (SELECT 1 FROM m WHERE m.path = w.ahead) AS shut FROM walk w WHERE NOT loop AND w.ahead NOT IN (SELECT path FROM won)),
+loops AS (SELECT path, least FROM walk WHERE loop),
+steps AS (SELECT w.path, w.turn, l.least FROM walk w JOIN loops l USING (path) WHERE w.ahead = l.least)
+SELECT e.path, v.target, NOT shut AS made, CASE WHEN shut THEN CASE WHEN e.turn = 0 THEN 'taken' ELSE 'blocked' END END AS reason, CASE WHEN NOT shut THEN e.turn END AS turn, NULL AS aside FROM ends e JOIN v USING (path)
+UNION ALL SELECT s.path, v.target, true, NULL, s.turn, CASE WHEN s.path = s.least THEN s.path || '.moving' END FROM steps s JOIN v USING (path)
+UNION ALL SELECT path, target, false, 'claimed', NULL, NULL FROM v WHERE nth > 1""",
     "governed_report": f"{_SQL}, {_ERRORS} SELECT count(*) = 0 AS valid, count(*) AS errors FROM errors",
     "governed_repairs": f"""{_SQL}, new AS (SELECT *, replace(replace(content, eol, nl), 'item-x.md]]', 'item-x]]') AS after,
 CASE WHEN doc_type = 'rfc' AND folder <> status AND status <> 'odd' THEN 'w/doc/rfc/' || status || '/' || name
