@@ -168,12 +168,25 @@ def stretches(words: list[bytes], ranks: np.ndarray, longest: int) -> Iterator[t
         yield int(pivots[a]), b"\n".join(lines[a:z])
 
 
-def owned(counts: dict[bytes, int], longest: int, into: Counter) -> None:
-    """Add the n-grams that hold the pivot's place of each stretch."""
-    for line, n in counts.items():
-        at, words = line[0] - 48, line[1:].split(b" ")
-        for a in range(max(0, at - longest + 1), at + 1):
-            for z in range(max(at + 1, a + 2), min(len(words), a + longest) + 1):
+def owned(counts: dict[bytes, int], longest: int, into: Counter, least: int = 1) -> None:
+    """Add the n-grams that hold the pivot's place of each stretch.
+
+    With ``least``, counts are all that a group has: a pair of the pivot and its neighbour belongs to the pivot wherever it is, so
+    pairs are counted first, and of pairs that are too few no longer phrase is made.
+    """
+    rows = [(line[0] - 48, line[1:].split(b" "), n) for line, n in counts.items()]
+    pairs: Counter = Counter()
+    if least > 1:
+        for at, words, n in rows:
+            if at:
+                pairs[words[at - 1], words[at]] += n
+            if at + 1 < len(words):
+                pairs[words[at], words[at + 1]] += n
+    for at, words, n in rows:
+        first = 0 if least == 1 or at and pairs[words[at - 1], words[at]] >= least else at
+        last = len(words) if least == 1 or at + 1 < len(words) and pairs[words[at], words[at + 1]] >= least else at + 1
+        for a in range(max(first, at - longest + 1), at + 1):
+            for z in range(max(at + 1, a + 2), min(last, a + longest) + 1):
                 into[b" ".join(words[a:z])] += n
 
 
@@ -234,19 +247,19 @@ def mined(df: DataFrame, words: DataFrame, text_col: str = "text", lang_col: str
             for *k, payload in zip(*(b.column(c).to_pylist() for c in ("lang", "pivot", "part", "parts", "payload"))):
                 if k != key:
                     if key:
-                        owned(counts, longest, grams)
+                        owned(counts, longest, grams, 1 if partial else least)
                         counts.clear()
                         yield emitted(key[0], 1 if partial else least)
                     key, partial = k, k[3] > 1
                 counts.update(payload.split(b"\n"))
                 if len(counts) > HELD:
+                    partial = True  # from here on the group's counts are parts
                     owned(counts, longest, grams)
                     counts.clear()
                     if len(grams) > HELD:
-                        partial = True
                         yield emitted(key[0], 1)
         if key:
-            owned(counts, longest, grams)
+            owned(counts, longest, grams, 1 if partial else least)
             yield emitted(key[0], 1 if partial else least)
 
     routed = _inputs(df, text_col, lang_col).mapInArrow(tidied(send), "lang string, pivot long, part int, parts int, payload binary")
