@@ -44,6 +44,8 @@ CANDIDATES = 10_000
 HELD = 1 << 19
 #: Postings of one term that a task brings in key order before it cuts them into blocks.
 SORTED = 1 << 16
+#: Postings in one packed row from which a term is frequent, and over how many groups it is dealt.
+MANY, SALTS = 1024, 64
 
 
 @dataclass
@@ -134,6 +136,15 @@ class _Run:
         return max(self.levels[k][a], self.levels[k][z - (1 << k)])
 
 
+def _by_key(lists: list[list]) -> list[list]:
+    """Lists side by side in the order of the first; code points order as UTF-8 does."""
+    keys = lists[0]
+    if all(map(str.__le__, keys, keys[1:])):
+        return lists
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return [[x[i] for i in order] for x in lists]
+
+
 def tops(tfs: Sequence[int], lengths: Sequence[int]) -> list[int]:
     """Those (tf, length), one after another, that no other has more of the one and less of the other: the best score is one of theirs, whatever the mean."""
     out: list[int] = []
@@ -243,31 +254,42 @@ class TextIndex:
         others, most = self.others, HELD
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[str, list[tuple]] = {}
+            held: dict[str, list[list]] = {}  # of a term: keys, tfs, lengths, others
             n = 0
 
             def sent() -> pa.RecordBatch:
-                of = {t: list(zip(*sorted(rows, key=lambda r: r[0].encode()))) for t, rows in held.items()}
-                return pa.RecordBatch.from_pydict({
-                    "term": pa.array(list(of), pa.string()), "first": pa.array([x[0][0] for x in of.values()], pa.string()), "keys": pa.array([x[0] for x in of.values()], pa.list_(pa.string())),
-                    "tfs": pa.array([x[1] for x in of.values()], pa.list_(pa.int32())), "lengths": pa.array([x[2] for x in of.values()], pa.list_(pa.int32())),
-                } | {f"{c}_of": pa.array([x[3 + i] for x in of.values()], pa.list_(pa.string())) for i, c in enumerate(others)})
+                of = [_by_key(x) for x in held.values()]
+                columns = {"term": pa.array(list(held), pa.string()), "first": pa.array([x[0][0] for x in of], pa.string())}
+                names = [("keys", pa.string()), ("tfs", pa.int32()), ("lengths", pa.int32()), *((f"{c}_of", pa.string()) for c in others)]
+                return pa.RecordBatch.from_pydict(columns | {name: pa.array([x[i] for x in of], pa.list_(kind)) for i, (name, kind) in enumerate(names)})
+
+            def add(t: str, *x) -> None:
+                lists = held.get(t)
+                if lists is None:
+                    held[t] = [[v] for v in x]
+                else:
+                    for of, v in zip(lists, x):
+                        of.append(v)
 
             for b in batches:
                 more = [b.column(c).to_pylist() for c in others]
                 if "words" in b.schema.names:
-                    for key, words, *x in zip(b.column("key").to_pylist(), b.column("words").to_pylist(), *more):
-                        for t, tf in Counter(words).items():
-                            held.setdefault(t, []).append((key, tf, len(words), *x))
-                            n += 1
+                    words_of = b.column("words")
+                    for i, key in enumerate(b.column("key").to_pylist()):
+                        words = words_of[i].as_py()
+                        x = [c[i] for c in more]
+                        counts = Counter(words)
+                        for t, tf in counts.items():
+                            add(t, key, tf, len(words), *x)
+                        n += len(counts)
                         if n > most:
                             yield sent()
                             held.clear()
                             n = 0
                 else:
-                    for t, *x in zip(*(b.column(c).to_pylist() for c in ("term", "key", "tf", "length")), *more):
-                        held.setdefault(t, []).append(tuple(x))
-                        n += 1
+                    for x in zip(*(b.column(c).to_pylist() for c in ("term", "key", "tf", "length")), *more):
+                        add(*x)
+                    n += b.num_rows
                     if n > most:
                         yield sent()
                         held.clear()
@@ -282,24 +304,26 @@ class TextIndex:
         return "term string, first string, keys array<string>, tfs array<int>, lengths array<int>" + "".join(f", `{c}_of` array<string>" for c in self.others)
 
     def _write_postings(self, rows: DataFrame, name: str) -> None:
-        """Cut packed rows into blocks. Ranges of (part, term, first) bound a task, however frequent a term is."""
+        """Cut packed rows into blocks; a task holds SORTED postings of one term at most, and its share of a frequent term."""
         others = self.others
         schema = T.StructType([f for f in self._blocks.fields if f.name != "part"] + [T.StructField("part", T.IntegerType())])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple] = []
-            now = None
             columns = ["part", "term", "keys", "tfs", "lengths", *(f"{c}_of" for c in others)]
+            held: list[list] = [[] for _ in columns[2:]]
+            now = None
 
             def blocks(all_: bool) -> list[dict]:
                 """Of what is held, in key order; without all_ what is less than a block stays."""
                 nonlocal held
-                held.sort(key=lambda r: r[0].encode())
+                held = _by_key(held)
+                n = len(held[0])
+                stop = n if all_ else n - n % BLOCK
                 out = []
-                while len(held) >= (1 if all_ else BLOCK):
-                    keys, tfs, lengths, *more = zip(*held[:BLOCK])
-                    held = held[BLOCK:]
+                for at in range(0, stop, BLOCK):
+                    keys, tfs, lengths, *more = (x[at : at + BLOCK] for x in held)
                     out.append({"term": now[1], "first": keys[0], "last": keys[-1], "n": len(keys), "tf": max(tfs), "length": min(lengths), "tops": tops(tfs, lengths), "keys": keys, "tfs": tfs, "lengths": lengths} | {f"{c}_of": m for c, m in zip(others, more)} | {"part": now[0]})
+                held = [x[stop:] for x in held]
                 return out
 
             def batch(of: list[dict]) -> pa.RecordBatch:
@@ -312,15 +336,18 @@ class TextIndex:
                     if now != (part, term):
                         out += blocks(True)
                         now = part, term
-                    held.extend(zip(*lists))
-                    if len(held) >= SORTED:
+                    for of, more in zip(held, lists):
+                        of.extend(more)
+                    if len(held[0]) >= SORTED:
                         out += blocks(False)
                 if out:
                     yield batch(out)
-            if held:
+            if held[0]:
                 yield batch(blocks(True))
 
-        dealt = rows.withColumn("part", self._part("term")).repartitionByRange("part", "term", "first").sortWithinPartitions("part", "term", "first")
+        # a term that is frequent in a task's rows is dealt over SALTS groups: its blocks then share keys, which bounds allow
+        salt = F.when(F.size("keys") >= MANY, F.pmod(F.xxhash64("first"), F.lit(SALTS))).otherwise(0)
+        dealt = rows.withColumns({"part": self._part("term"), "salt": salt}).repartition("part", "term", "salt").sortWithinPartitions("part", "term", "first")
         dealt.mapInArrow(cut, schema).write.partitionBy("part").parquet(f"{self.path}/{name}/postings")
 
     def _merged(self, segments: list[dict]) -> list[dict]:
