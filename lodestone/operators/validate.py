@@ -22,7 +22,7 @@ from lodestone.sources.config import DocumentType
 REQUIRED = ("id", "type", "code", "slug", "title", "description", "created", "tags")
 BOM = b"\xef\xbb\xbf"
 #: Over how many keys the mentions of one stem are dealt: a stem that a third of all documents name is no one task's.
-SALTS = 32
+SALTS = 8
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_/-])[a-z0-9-]+(?:/[a-z0-9-]+)?(?![A-Za-z0-9_/-])(?!\.[A-Za-z0-9])")
 _PROTECTED = re.compile(r"\[\[.*?\]\]|`[^`]*(?:`|\Z)|[A-Za-z0-9+.-]*://[^\s)\]]*")
 
@@ -62,7 +62,8 @@ def stem_mentions(texts: DataFrame, key: str, stems: DataFrame) -> DataFrame:
     words = texts.select(key, F.explode(found(F.col("text"))).alias("x")).select(key, "x.*")
     salted = words.withColumn("salt", F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int"))
     known = stems.select("stem").where("stem is not null").distinct().select("stem", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return salted.join(known, ["stem", "salt"], "left_semi").select(key, "stem", "start", "end")
+    # by exchange: what Spark guesses of an exploded table's size is too little, and stems may be many
+    return salted.join(known.hint("merge"), ["stem", "salt"], "left_semi").select(key, "stem", "start", "end")
 
 
 def stem_table(spark, stems: DataFrame | Sequence[str]) -> DataFrame:

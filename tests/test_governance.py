@@ -154,7 +154,7 @@ def test_stems_by_join_equal_a_dictionary(spark, monkeypatch):
     want = sorted((i, *x) for i, t in texts for x in validate.bare_stems(t or "", frozenset(stems)))
     got = validate.stem_mentions(df, "id", table)
     assert sorted(map(tuple, got.collect())) == want and any(a == "pkg/rfc-2-zz" for _, a, *_ in want)
-    assert got.where("id = 92").count() == 3000 and "Broadcast" not in got._jdf.queryExecution().logical().toString()
+    assert got.where("id = 92").count() == 3000 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bad_rows_are_rows(spark):
