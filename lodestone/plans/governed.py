@@ -163,11 +163,15 @@ def governed_names(spark, d):
 
 
 def governed_tags(spark, d):
-    return catalog.tags(spark.createDataFrame([(t.tags,) for t in TYPES], "tags array<string>"))
+    """The tags of all brands, each of which uses the words of its parts' types."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    return catalog.tags(part.select("p_brand", F.explode(F.split(F.lower("p_type"), " ")).alias("tag")).groupBy("p_brand").agg(F.collect_set("tag").alias("tags")))
 
 
 def governed_types(spark, d):
-    return catalog.type_listing(spark.createDataFrame([(t.name, t.layout) for t in TYPES], "name string, layout string"))
+    """A listing of all brands as types; the least size decides their layout."""
+    part = spark.read.parquet(f"{d}/part.parquet").groupBy(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "-")).alias("name")).agg(F.min("p_size").alias("least"))
+    return catalog.type_listing(part.select("name", F.expr("CASE least % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'category' ELSE 'directory' END").alias("layout")))
 
 
 def governed_packages(spark, d):
@@ -280,9 +284,9 @@ len(regexp_extract_all(text, '\\S+')) AS tokens FROM pieces""",
     "governed_dashboard": f"""{_SQL}, {_CATALOGUE} SELECT 0 AS section, 'Open' AS section_title, folder AS status, code, slug, document_stem FROM cat WHERE type = 'rfc' AND folder = 'draft'
 UNION ALL SELECT 1, 'Shelves', folder, code, slug, document_stem FROM cat WHERE type = 'spec' AND folder IN ('cat-draft', 'cat-done')""",
     "governed_names": f"{_SQL}, {_CATALOGUE} SELECT path, type || '-' || lpad(code::VARCHAR, 8, '0') || '-' || slug || '.md' AS expected_name FROM cat",
-    "governed_tags": "SELECT 'a,b,c' AS tags",
-    "governed_types": """SELECT '## project' || chr(10) || 'layout: directory' || chr(10) || chr(10) || '## rfc' || chr(10) || 'layout: status'
-|| chr(10) || chr(10) || '## spec' || chr(10) || 'layout: category' AS listing""",
+    "governed_tags": "SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS tag FROM part)",
+    "governed_types": """WITH t AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '-', 'g')) AS name, min(p_size) AS least FROM part GROUP BY 1)
+SELECT string_agg('## ' || name || chr(10) || 'layout: ' || CASE least % 3 WHEN 0 THEN 'status' WHEN 1 THEN 'category' ELSE 'directory' END, chr(10) || chr(10) ORDER BY name) AS listing FROM t""",
     "governed_packages": """SELECT n_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN 'git' ELSE 'file' END AS type, lower(n_name) AS url,
 CASE WHEN n_regionkey % 2 = 1 THEN 'copy' WHEN n_nationkey % 3 = 0 THEN 'fetch' ELSE 'clone' END AS action FROM nation""",
     "prompt_texts": """SELECT p_partkey, p_name || ' of ' || p_brand || ' costs #{price}, says @' || lower(replace(p_brand, '#', '')) || '/x and @desk; not a@b ' || p_name AS text,
