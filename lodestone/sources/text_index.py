@@ -208,13 +208,16 @@ class TextIndex:
         name = f"segment-{uuid.uuid4().hex}"
         words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), *self.others, words.alias("words"))
-        rows = rows.limit(0) if docs.isEmpty() else rows  # nothing to deal out: a deletion
-        self._write_postings(rows.mapInArrow(self._packed, self._rows), name)
-        self._write(rows.select("key", F.size("words").alias("length"), F.array_distinct("words").alias("terms")), "forward", name, "key")
-        sums = self.spark.read.schema(self._forward).parquet(f"{self.path}/{name}/forward").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
-        new = {"name": name, "n": sums["n"], "words": sums["words"], "gone": 0, "lost_n": 0, "lost_words": 0}
+        new = {"name": name, "n": 0, "words": 0, "gone": 0, "lost_n": 0, "lost_words": 0}
+        keys = self.spark.createDataFrame([], "key string")
+        if not docs.isEmpty():  # otherwise a deletion
+            self._write_postings(rows.mapInArrow(self._packed, self._rows), name)
+            self._write(rows.select("key", F.size("words").alias("length"), F.array_distinct("words").alias("terms")), "forward", name, "key")
+            forward = self.spark.read.schema(self._forward).parquet(f"{self.path}/{name}/forward")
+            sums = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+            new |= {"n": sums["n"], "words": sums["words"]}
+            keys = forward.select("key")
         if segments:
-            keys = self.spark.read.schema(self._forward).parquet(f"{self.path}/{name}/forward").select("key")
             keys = keys if gone is None else keys.union(gone.select(F.col(gone.columns[0]).cast("string"))).distinct()
             old = self._living(segments, self._read(segments, "forward", self._forward, self._touched(keys)))
             dead = old.join(keys, "key", "left_semi")
