@@ -8,9 +8,10 @@ with their places, and a join keeps those that are in the table of stems: stems
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
@@ -23,6 +24,8 @@ REQUIRED = ("id", "type", "code", "slug", "title", "description", "created", "ta
 BOM = b"\xef\xbb\xbf"
 #: Over how many keys the mentions of one stem are dealt: a stem that a third of all documents name is no one task's.
 SALTS = 8
+#: Places of candidates that a task packs by word before it sends them; texts that Python unpacks at once.
+HELD, TEXTS = 1 << 18, 64
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9_/-])[a-z0-9-]+(?:/[a-z0-9-]+)?(?![A-Za-z0-9_/-])(?!\.[A-Za-z0-9])")
 _PROTECTED = re.compile(r"\[\[.*?\]\]|`[^`]*(?:`|\Z)|[A-Za-z0-9+.-]*://[^\s)\]]*")
 
@@ -39,10 +42,14 @@ def candidates(content: str) -> list[tuple[str, int, int]]:
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
         elif not fenced:
-            shielded = [m.span() for m in _PROTECTED.finditer(line)]
+            shielded = [m.span() for m in _PROTECTED.finditer(line)] if any(x in line for x in ("`", "[[", "://")) else []
+            k = 0  # both are in order
             for m in _CANDIDATE.finditer(line):
-                if not any(a < m.end() and m.start() < b for a, b in shielded):
-                    out.append((m[0], at + m.start(), at + m.end()))
+                a, b = m.span()
+                while k < len(shielded) and shielded[k][1] <= a:
+                    k += 1
+                if k == len(shielded) or b <= shielded[k][0]:
+                    out.append((m[0], at + a, at + b))
         at += len(line)
     return out
 
@@ -53,17 +60,47 @@ def bare_stems(content: str, stems: frozenset[str]) -> list[tuple[str, int, int]
 
 
 def stem_mentions(texts: DataFrame, key: str, stems: DataFrame) -> DataFrame:
-    """key, stem, start, end: the known stems(stem) that texts(key, text) name bare, by a join; null texts and stems have none."""
+    """key, stem, start, end: the known stems(stem) that texts(key, text) name bare, by a join; null texts and stems have none.
 
-    @F.pandas_udf("array<struct<stem string, start int, end int>>")
-    def found(of: pd.Series) -> pd.Series:
-        return of.map(lambda t: [dict(zip(("stem", "start", "end"), x)) for x in candidates(t)] if t else [])
+    A task packs its candidates by word before it sends them, so that the exchange has a row for a word and HELD
+    places, not one for a place, and Python never holds more than these.
+    """
 
-    words = texts.select(key, F.explode(found(F.col("text"))).alias("x")).select(key, "x.*")
-    salted = words.withColumn("salt", F.pmod(F.xxhash64(key, "start"), F.lit(SALTS)).cast("int"))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[list, list]] = {}  # of a word: keys, starts
+        n = 0
+
+        def sent(kind: pa.DataType) -> pa.RecordBatch:
+            keys, starts = ([x[i] for x in held.values()] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(keys, pa.list_(kind)), pa.array(starts, pa.list_(pa.int32()))], names=["stem", "keys", "starts"])
+
+        for b in batches:
+            kind = b.column(0).type
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    for word, start, _ in candidates(t) if t else ():
+                        if (lists := held.get(word)) is None:
+                            lists = held[word] = ([], [])
+                        lists[0].append(k)
+                        lists[1].append(start)
+                        n += 1
+                    if n >= HELD:
+                        yield sent(kind)
+                        held.clear()
+                        n = 0
+        if held:
+            yield sent(kind)
+
+    of = texts.schema[key].dataType.simpleString()
+    words = texts.select(key, "text").mapInArrow(packed, f"stem string, keys array<{of}>, starts array<int>")
+    salted = words.withColumn("salt", F.pmod(F.xxhash64(F.get("keys", F.lit(0)), F.get("starts", F.lit(0))), F.lit(SALTS)).cast("int"))
     known = stems.select("stem").where("stem is not null").distinct().select("stem", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # by exchange: what Spark guesses of an exploded table's size is too little, and stems may be many
-    return salted.join(known.hint("merge"), ["stem", "salt"], "left_semi").select(key, "stem", "start", "end")
+    found = salted.join(known.hint("merge"), ["stem", "salt"], "left_semi")
+    rows = found.select("stem", F.explode(F.arrays_zip("keys", "starts")).alias("x"))
+    start = F.col("x.starts")
+    return rows.select(F.col("x.keys").alias(key), "stem", start.alias("start"), (start + F.length("stem")).alias("end"))
 
 
 def stem_table(spark, stems: DataFrame | Sequence[str]) -> DataFrame:

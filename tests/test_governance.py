@@ -157,6 +157,29 @@ def test_stems_by_join_equal_a_dictionary(spark, monkeypatch):
     assert got.where("id = 92").count() == 3000 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stem_mentions_move_packed_by_word(spark):
+    texts = spark.range(0, 2000, 1, 1).select("id", F.expr("concat('rfc-1-a and rfc-2-b, ', repeat('word ', 50))").alias("text"))
+    table = spark.createDataFrame([("rfc-1-a",), ("rfc-2-b",)], "stem string")
+    got = validate.stem_mentions(texts, "id", table)
+    assert got.count() == 4000 and got.agg(F.countDistinct("id")).first()[0] == 2000
+    assert [tuple(r) for r in got.where("id = 7").orderBy("start").collect()] == [(7, "rfc-1-a", 0, 7), (7, "rfc-2-b", 12, 19)]
+    # 106,000 places of four words: what crosses from Python is a row for a word, not for a place
+    plan = got._jdf.queryExecution().analyzed()
+    python = plan
+    while "MapInArrow" not in python.nodeName():
+        python = python.children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, python)
+    assert rows.count() < 100
+
+
+def test_candidates_of_a_long_line_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert len(validate.candidates("rfc-1-a `x` " * 20000)) == 20000
+    assert time.process_time() - began < 5
+
+
 def test_bad_rows_are_rows(spark):
     schema = "package string, document_stem string, document_hash string, content binary"
     deep = b"---\na: " + b"[" * 5000 + b"]" * 5000 + b"\n---\n# T\n\nx\n"
