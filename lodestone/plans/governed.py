@@ -42,7 +42,11 @@ TYPES = (
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    spark.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("lodestone_part")
+    """The documents of all parts. A part is a few bytes and its document hundreds, so a file or two would
+    leave the work of a whole cluster to a task or two: the keys are dealt before the texts are made."""
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size").repartition(tasks, "p_partkey")
+    part.createOrReplaceTempView("lodestone_part")
     rows = spark.sql(f"WITH {CORPUS.replace('$part', 'lodestone_part')} SELECT * FROM corpus")
     return rows.withColumn("content", F.col("content").cast("binary"))
 

@@ -180,6 +180,15 @@ def test_candidates_of_a_long_line_take_time_in_proportion():
     assert time.process_time() - began < 5
 
 
+def test_a_corpus_of_one_file_is_dealt_over_the_cluster(spark, sf_dir, tmp_path):
+    from lodestone.plans import governed
+
+    spark.read.parquet(f"{sf_dir}/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = governed.extracted_metadata(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    per = [r["count"] for r in rows.groupBy("task").count().collect()]
+    assert len(per) >= 2 * spark.sparkContext.defaultParallelism and max(per) < sum(per) / 4
+
+
 def test_bad_rows_are_rows(spark):
     schema = "package string, document_stem string, document_hash string, content binary"
     deep = b"---\na: " + b"[" * 5000 + b"]" * 5000 + b"\n---\n# T\n\nx\n"

@@ -126,3 +126,26 @@ def test_scalars():
 def test_hash_depends_on_every_part():
     base = (None, "a-1-b", 0, ["x"], "t")
     assert len({chunk_hash(*base), *(chunk_hash(*base[:i], v, *base[i + 1 :]) for i, v in enumerate(("p", "a-1-c", 1, ["y"], "u")))}) == 6
+
+
+def test_quick_yaml_equals_the_other_loader():
+    import random
+
+    import yaml
+
+    from lodestone.functions import frontmatter as fm
+
+    assert issubclass(fm._Quick, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    rng = random.Random(3)
+    parts = ["a", "key", "- ", ": ", ":", "\n", "\n  ", "\n- ", " ", "'", '"', " #", "x: y", "\nk: ", "\r\n", "true", "yes", "00031", "31", "1.5", "~", "2024-01-01", "...", "<<: ", "0x1f", "http://x/y", "é", "\t", "[", "]", "{a: b}", "!x ", "&a ", "*a", "|", "> "]
+
+    def read(loader, block):
+        try:
+            return repr(loader(block))
+        except yaml.YAMLError as e:
+            return str(e).splitlines()[0]
+
+    made = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)]
+    for b in [*made, "a:\tb", "code: 00031\ntags:\n  - x\n  - yes\n", " " * 70 + "a: b"]:
+        assert read(fm._yaml, b) == read(lambda x: yaml.load(x, fm._Loader), b), b
+    assert sum(not fm._ODD.search(b) for b in made) > 500
