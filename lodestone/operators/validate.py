@@ -188,7 +188,9 @@ def validate(documents: DataFrame, types: Sequence[DocumentType], stems: DataFra
     out = rows.select("path", F.explode(errors).alias("error")).unionByName(unknown)
     if not isinstance(stems, DataFrame) and not stems:
         return out
-    named = stem_mentions(rows.where("encoding is null and fields is not null"), "path", stem_table(spark, stems))
+    # a column, not a filter: Spark would push a filter below what makes the text and write that out for each use, too long to be compiled
+    read = rows.select("path", F.when(F.col("encoding").isNull() & F.col("fields").isNotNull(), F.col("text")).alias("text"))
+    named = stem_mentions(read, "path", stem_table(spark, stems))
     return out.unionByName(named.select("path", _say("Bare governed document stem '", F.col("stem"), "' should be a wikilink; expected '[[", F.col("stem"), "]]'").alias("error")))
 
 

@@ -189,6 +189,13 @@ def test_a_corpus_of_one_file_is_dealt_over_the_cluster(spark, sf_dir, tmp_path)
     assert len(per) >= 2 * spark.sparkContext.defaultParallelism and max(per) < sum(per) / 4
 
 
+def test_rules_and_stems_write_no_text_out_for_each_use(spark, sf_dir):
+    from lodestone.plans import governed
+
+    plan = governed.governed_stems(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("lpad") < 20  # 202 where a filter on the text was pushed below what makes it
+
+
 def test_bad_rows_are_rows(spark):
     schema = "package string, document_stem string, document_hash string, content binary"
     deep = b"---\na: " + b"[" * 5000 + b"]" * 5000 + b"\n---\n# T\n\nx\n"
