@@ -28,7 +28,9 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ BLOCK, PARTS, TIER = 128, 64, 4
 FIRST, HEADS = 2, 50_000
 #: Documents whose other postings are looked up by key; where more may reach the threshold, blocks are chosen by ranges only.
 CANDIDATES = 10_000
-#: Postings that a task packs by term before it sends them.
+#: Words or postings that a task packs by term before it sends them.
 HELD = 1 << 19
 #: Postings of one term that a task brings in key order before it cuts them into blocks.
 SORTED = 1 << 16
@@ -147,10 +149,14 @@ def _by_key(lists: list[list]) -> list[list]:
 
 def tops(tfs: Sequence[int], lengths: Sequence[int]) -> list[int]:
     """Those (tf, length), one after another, that no other has more of the one and less of the other: the best score is one of theirs, whatever the mean."""
+    least: dict[int, int] = {}  # of a tf
+    for tf, length in zip(tfs, lengths):
+        if tf not in least or length < least[tf]:
+            least[tf] = length
     out: list[int] = []
-    for tf, length in sorted(zip(tfs, lengths), key=lambda x: (-x[0], x[1])):
-        if not out or length < out[-1]:
-            out += [tf, length]
+    for tf in sorted(least, reverse=True):
+        if not out or least[tf] < out[-1]:
+            out += [tf, least[tf]]
     return out
 
 
@@ -266,6 +272,26 @@ class TextIndex:
                 names = [("keys", pa.string()), ("tfs", pa.int32()), ("lengths", pa.int32()), *((f"{c}_of", pa.string()) for c in others)]
                 return pa.RecordBatch.from_pydict(columns | {name: pa.array([x[i] for x in of], pa.list_(kind)) for i, (name, kind) in enumerate(names)})
 
+            gathered: list[pa.RecordBatch] = []
+
+            def counted() -> Iterator[pa.RecordBatch]:
+                """The postings of the documents gathered, counted as arrays: no Python object for a word or posting."""
+                docs = pa.Table.from_batches(gathered).combine_chunks()
+                gathered.clear()
+                docs = docs.take(pc.sort_indices(docs["key"]))  # of strings, by bytes
+                words, keys = docs["words"].combine_chunks(), docs["key"].combine_chunks()
+                lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = words.flatten().dictionary_encode()
+                if not len(flat):
+                    return
+                codes = flat.indices.to_numpy().astype(np.int64)
+                pairs, tfs = np.unique(codes * len(keys) + np.repeat(np.arange(len(keys)), lengths), return_counts=True)
+                doc = pairs % len(keys)
+                starts = np.searchsorted(pairs, np.arange(len(flat.dictionary) + 1) * len(keys)).astype(np.int32)
+                lists = [keys.take(pa.array(doc)), pa.array(tfs.astype(np.int32)), pa.array(lengths[doc].astype(np.int32)), *(docs[c].combine_chunks().take(pa.array(doc)) for c in others)]
+                columns = [flat.dictionary, lists[0].take(pa.array(starts[:-1])), *(pa.ListArray.from_arrays(pa.array(starts), x) for x in lists)]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "first", "keys", "tfs", "lengths", *(f"{c}_of" for c in others)])
+
             def add(t: str, *x) -> None:
                 lists = held.get(t)
                 if lists is None:
@@ -275,28 +301,27 @@ class TextIndex:
                         of.append(v)
 
             for b in batches:
-                more = [b.column(c).to_pylist() for c in others]
                 if "words" in b.schema.names:
-                    words_of = b.column("words")
-                    for i, key in enumerate(b.column("key").to_pylist()):
-                        words = words_of[i].as_py()
-                        x = [c[i] for c in more]
-                        counts = Counter(words)
-                        for t, tf in counts.items():
-                            add(t, key, tf, len(words), *x)
-                        n += len(counts)
-                        if n > most:
-                            yield sent()
-                            held.clear()
+                    at = 0
+                    ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column("words")), 0).to_numpy(zero_copy_only=False))
+                    while at < b.num_rows:  # as many documents as have ``most`` words, one at least
+                        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                        gathered.append(b.slice(at, stop - at))
+                        n += int(ends[stop - 1] - (ends[at - 1] if at else 0))
+                        at = stop
+                        if n >= most:
+                            yield from counted()
                             n = 0
                 else:
-                    for x in zip(*(b.column(c).to_pylist() for c in ("term", "key", "tf", "length")), *more):
+                    for x in zip(*(b.column(c).to_pylist() for c in ("term", "key", "tf", "length", *others))):
                         add(*x)
                     n += b.num_rows
                     if n > most:
                         yield sent()
                         held.clear()
                         n = 0
+            if gathered:
+                yield from counted()
             if held:
                 yield sent()
 

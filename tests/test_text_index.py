@@ -159,3 +159,33 @@ def test_bounds_of_shared_keys():
         i, j = sorted(rng.choices(range(20), k=2))
         want = max((x["bound"] for x in blocks if chr(97 + i) <= x["first"] <= chr(97 + j)), default=0.0)
         assert run.within(chr(97 + i), chr(97 + j)) == want
+
+
+def test_packing_counts_words_as_arrays():
+    import collections
+    import random
+    import time
+    import types
+
+    import pyarrow as pa
+
+    from lodestone.sources.text_index import TextIndex, tops
+
+    rng = random.Random(4)
+    docs = [(f"{i:04d}é", [f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randrange(900))], f"o{i % 3}") for i in range(2500)]
+    rng.shuffle(docs)
+    docs += [("none", [], None)]
+    kinds = {"key": pa.string(), "o": pa.string(), "words": pa.list_(pa.string())}
+    batch = pa.RecordBatch.from_arrays([pa.array([d[i] for d in docs], k) for i, k in zip((0, 2, 1), kinds.values())], names=list(kinds))
+    run = TextIndex._packed.fget(types.SimpleNamespace(others=["o"]))
+    began = time.process_time()
+    out = list(run(iter([batch.slice(0, 700), batch.slice(700)])))
+    took = time.process_time() - began
+    assert len(out) > 1
+    got = collections.Counter()
+    for row in (r for b in out for r in b.to_pylist()):
+        assert row["keys"] == sorted(row["keys"]) and row["first"] == row["keys"][0]
+        got.update((row["term"], *x) for x in zip(row["keys"], row["tfs"], row["lengths"], row["o_of"]))
+    want = collections.Counter((t, k, tf, len(w), o) for k, w, o in docs for t, tf in collections.Counter(w).items())
+    assert got == want and took < 3
+    assert all(isinstance(b.column("keys"), pa.ListArray) for b in out) and tops([1, 3, 3, 2], [5, 9, 8, 8]) == [3, 8, 1, 5]
