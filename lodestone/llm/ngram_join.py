@@ -28,6 +28,7 @@ other; other columns are left out; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -44,6 +45,8 @@ from lodestone.llm.sketch import mixed
 GROUP, GROUP_TOKENS = 64, 1 << 16
 #: Tiles that Python holds at once, first shingles in a bucket, pairs of groups for each shingle of a bucket that meet at once.
 TILES, BUCKET, AT_ONCE = 16, 1 << 16, 16
+#: What moves for pairs of groups in a round, in multiples of all groups.
+MOVED = 1
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -102,32 +105,8 @@ def digested(df: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame
     return df.mapInArrow(tidied(run), schema)
 
 
-def _surveyed(docs: DataFrame, words: int) -> DataFrame:
-    """Documents' set sizes and digests (segment under 0), and the shingles' levels by segment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, n_held = Shingler(words), [], 0
-        for b in batches:
-            ids, ns, digests = b.column(0), [], []
-            for text in utf8(b.column(1)):
-                t = shingler.shingles(text)
-                ns.append(len(t))
-                digests.append(_digest(t) if len(t) else None)
-                held.append(t)
-                n_held += len(t)
-                if n_held >= sketch.FLUSH:
-                    yield sketch.sent(held)
-                    held, n_held = [], 0
-            spread = [-1 - k % 4096 for k in range(b.num_rows)]
-            yield batch(sketch.SCHEMA, [spread, pa.nulls(b.num_rows, pa.binary()), ids, ns, digests])
-        if n_held:
-            yield sketch.sent(held)
-
-    return sketch.counted(docs.mapInArrow(tidied(run), sketch.DDL))
-
-
-def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction) -> DataFrame:
-    """Sets that may link: digest, n, prefix (how many of the shingles count as first), k1, k2, tokens (shared ones, rarest first)."""
+def _open_sets(docs: DataFrame, wanted: sketch.Levels, levels: sketch.Levels, words: int, t: Fraction) -> DataFrame:
+    """Sets that may link, of documents whose id is wanted or null: digest, n, prefix (how many of the shingles count as first), k1, k2, tokens (shared ones, rarest first)."""
     schema = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("prefix", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("tokens", pa.binary())])
     salts = mixed(np.array([101, 202], np.uint64))
 
@@ -135,6 +114,8 @@ def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction)
         shingler = Shingler(words)
         for b in batches:
             rows = []
+            ids = b.column(0)
+            b = b.filter(pa.array(sketch.may_be(wanted, ids) | np.array(ids.is_null())))
             for text in utf8(b.column(1)):
                 tokens = shingler.shingles(text)
                 n = len(tokens)
@@ -153,21 +134,21 @@ def _open_sets(docs: DataFrame, levels: sketch.Levels, words: int, t: Fraction)
     return docs.mapInArrow(tidied(run), "digest binary, n long, prefix long, k1 long, k2 long, tokens binary")
 
 
-_GROUP_DDL = "gid binary, members binary, sizes binary, lengths binary, tokens binary, first binary, label binary, links binary"
+_GROUP_DDL = "gid binary, members binary, sizes binary, lengths binary, tokens binary, first binary, label binary, links binary, marks binary"
 _GROUP = pa.schema([(c.split()[0], pa.binary()) for c in _GROUP_DDL.split(", ")])
 
 
 def _grouped(sets: DataFrame, t: Fraction) -> DataFrame:
     """Groups of similar sets: members' digests, set sizes, shared shingles with their counts, union of the first ones.
 
-    Also the links found so far (pairs of digests), and the label of the stretch of groups that they connect (null if
-    some member isn't connected with the others).
+    A set that comes more than once counts once. Also the links found so far (pairs of digests), and the label of the stretch of groups that they connect (null if
+    some member isn't connected with the others), and the members' marks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_held = 0
-        before, label = None, None
+        before, label, last = None, None, None
 
         def group() -> pa.RecordBatch:
             nonlocal before, label
@@ -188,11 +169,14 @@ def _grouped(sets: DataFrame, t: Fraction) -> DataFrame:
             if not (near and label and one == {forest.root(label)}):
                 label = members[0] if len(one) == 1 else None
             before = now, held[0][3]
-            row = (members[0], *now, first.tobytes(), label, b"".join(a + b for a, b in links))
+            row = (members[0], *now, first.tobytes(), label, b"".join(a + b for a, b in links), b"".join(marks(x) for x in tokens))
             return batch(_GROUP, [[x] for x in row])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] == last:
+                    continue
+                last = row[0]
                 size = len(row[5]) // 8
                 if held and (held[0][3] != row[3] or len(held) >= GROUP or n_held + size > GROUP_TOKENS):
                     yield group()
@@ -319,6 +303,62 @@ def tile_links(one: tuple, two: tuple, t: Fraction) -> list[tuple[bytes, bytes]]
     return [(a, b) for a, b in ((m1[opened[r]], m2[c]) for r, c in zip(rows, cols)) if a != b and forest.join(a, b)]
 
 
+def _bits(n: int) -> int:
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def marks(tokens: np.ndarray) -> bytes:
+    """As many bits as tokens, or up to twice: whether an odd number of tokens falls on each."""
+    n = _bits(len(tokens))
+    return np.packbits((np.bincount((tokens & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _rows_of_marks(lengths: np.ndarray, packed: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of bits: members and their marks, a row of 64-bit words each."""
+    bits = np.array([_bits(n) for n in lengths.tolist()])
+    at = np.r_[0, np.cumsum(bits // 8)]
+    return {n: (own := np.flatnonzero(bits == n), np.stack([np.frombuffer(packed, "<u8", n // 64, at[k]) for k in own])) for n in set(bits.tolist())}
+
+
+def may_link(one: tuple, two: tuple, t: Fraction) -> bool:
+    """Whether marks allow a link between members of two groups (sizes, lengths, marks): an odd bit of the one that is
+    even in the other is a token that only one of them has, so bits that differ bound the overlap from above."""
+    (n1, s1), (n2, s2) = ([np.frombuffer(x, np.int64) for x in g[:2]] for g in (one, two))
+    num, den = t.numerator, t.denominator
+    for b1, (i, x) in _rows_of_marks(s1, one[2]).items():
+        for b2, (j, y) in _rows_of_marks(s2, two[2]).items():
+            sizes, shared = n1[i][:, None] + n2[j][None, :], s1[i][:, None] + s2[j][None, :]
+            if not ((num + den) * 2 * np.minimum(s1[i][:, None], s2[j][None, :]) >= 2 * num * sizes).any():
+                continue
+            u, v = x, y
+            while u.shape[1] != v.shape[1]:
+                if u.shape[1] > v.shape[1]:
+                    u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
+                else:
+                    v = v[:, : v.shape[1] // 2] ^ v[:, v.shape[1] // 2 :]
+            for k in range(len(u)):
+                differ = np.bitwise_count(u[k][None, :] ^ v).sum(axis=1, dtype=np.int64)
+                if ((num + den) * (shared[k] - differ) >= 2 * num * sizes[k]).any():
+                    return True
+    return False
+
+
+def _near(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs of groups between which marks allow a link; marks have a sixtieth of the tokens' size."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    columns = ("sizes", "lengths", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns))
+            if found := [(r[0], r[1]) for r in rows if may_link(r[2:5], r[5:8], t)]:
+                yield batch(schema, list(map(list, zip(*found))))
+
+    side = lambda s: groups.select(F.col("gid").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in columns))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{s}_{c}" for s in "ab" for c in columns))
+    return both.mapInArrow(tidied(run), "a binary, b binary")
+
+
 def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     """Links between the members of pairs of groups."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -336,6 +376,23 @@ def _linked(groups: DataFrame, pairs: DataFrame, t: Fraction) -> DataFrame:
     return both.mapInArrow(tidied(run), "a binary, b binary")
 
 
+def _found(groups: DataFrame, pairs: DataFrame, t: Fraction, path: str, name: str) -> DataFrame:
+    """Links between the members of pairs of groups, in as many rounds as keep what moves for pairs within MOVED times the groups."""
+    spark = groups.sparkSession
+    near = stored(_near(groups, pairs, t), f"{path}/{name}-near")
+    weights = groups.select(F.col("gid").alias("a"), F.octet_length("tokens").cast("long").alias("weight"))
+    whole, moved = (df.agg(F.sum("weight")).first()[0] or 0 for df in (weights, near.join(weights, "a")))
+    rounds = max(1, math.ceil(moved / (MOVED * max(1, whole))))
+    out = None
+    for k in range(rounds):
+        part = near if rounds == 1 else near.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)
+        found = stored(_linked(groups, part, t), f"{path}/{name}-{k}", rows=TILES)
+        out = found if out is None else out.union(found)
+        if k + 1 < rounds:
+            sweep(spark)
+    return out
+
+
 def _pieces(column: str, size: int) -> Column:
     """A row for each ``size`` bytes of a binary column that has some."""
     return F.explode(F.expr(f"transform(sequence(0, octet_length({column}) div {size} - 1), i -> substring({column}, cast(i * {size} + 1 as int), {size}))"))
@@ -347,7 +404,7 @@ def _links(groups: DataFrame, t: Fraction, path: str) -> DataFrame:
     links = pair.select(F.expr("substring(l, 1, 16)").alias("a"), F.expr("substring(l, 17, 16)").alias("b"))
     small = groups.select("gid", "members", "sizes", "first", F.octet_length("tokens").cast("long").alias("weight"), "label")
     pairs = stored(_met(small, t, every=False), f"{path}/pairs")
-    found = stored(_linked(groups, pairs.where("a is not null"), t), f"{path}/found", rows=TILES)
+    found = _found(groups, pairs.where("a is not null"), t, path, "found")
     links = links.union(found)
     if pairs.where("a is null").isEmpty():
         return links
@@ -357,7 +414,7 @@ def _links(groups: DataFrame, t: Fraction, path: str) -> DataFrame:
     label = member.where("least = most").select("gid", F.col("least").alias("label"))
     rest = stored(_met(small.drop("label").join(label, "gid", "left"), t, every=True), f"{path}/rest")
     rest = rest.join(pairs.where("a is not null"), ["a", "b"], "left_anti")
-    return links.union(stored(_linked(groups, rest, t), f"{path}/found-rest", rows=TILES))
+    return links.union(_found(groups, rest, t, path, "found-rest"))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: Fraction = Fraction(4, 5), nodes: bool = False) -> DataFrame:
@@ -368,16 +425,23 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     spark = df.sparkSession
     path = shared_dir(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    surveyed = stored(_surveyed(docs, words), f"{path}/surveyed")
+    # of equal texts one is counted, so that only different ones make a shingle shared
+    texts = docs.where("doc_id is not null").groupBy(F.xxhash64("text"), F.hash("text"), F.octet_length("text"))
+    counts = sketch.of_ids(texts.agg(F.min("doc_id").alias("id")).select("id"))
+    surveyed = stored(sketch.surveyed(docs, lambda: Shingler(words).shingles, _digest, counts), f"{path}/surveyed")
+    counts.done()
     sweep(spark)
-    levels = sketch.Levels(surveyed)
-    sets = stored(_open_sets(docs, levels, words, threshold).dropDuplicates(["digest"]), f"{path}/sets")
+    # a set links only if others have at least that share of its shingles; of equal sets one is enough
+    may = surveyed.where("segment < 0 and n > 0").where(F.col("shared") * threshold.denominator >= F.col("n") * threshold.numerator)
+    levels, wanted = sketch.Levels(surveyed), sketch.of_ids(may.groupBy("digest").agg(F.min("doc_id").alias("id")).select("id"))
+    sets = stored(_open_sets(docs, wanted, levels, words, threshold), f"{path}/sets")
     levels.done()
+    wanted.done()
     sweep(spark)
     groups = stored(_grouped(sets, threshold), f"{path}/groups")
     drop(spark, f"{path}/sets")
-    roots = components(_links(groups, threshold, path), path).withColumnRenamed("node", "digest")
-    drop(spark, *(f"{path}/{x}" for x in ("groups", "pairs", "found", "first", "rest", "found-rest")))
+    roots = components(_links(groups, threshold, f"{path}/linking"), path).withColumnRenamed("node", "digest")
+    drop(spark, f"{path}/groups", f"{path}/linking")
     sweep(spark)
     every = surveyed.where("segment < 0").select("doc_id", F.col("n").alias("n_shingles"), "digest")
     some = every.where("digest is not null")

@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lodestone.llm import bpe, ngram_join, packing, quality, suffix_dedup, surrogates, winnowing
+from lodestone.llm import bpe, ngram_join, packing, quality, sketch, suffix_dedup, surrogates, winnowing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 rng = random.Random(7)
@@ -405,6 +405,73 @@ def test_ngram_join_in_two_rounds(spark, monkeypatch, group):
     assert sorted(map(tuple, ngram_join.join(docs).collect())) == whole
 
 
+def test_ngram_join_with_crowded_slots(spark, monkeypatch, tmp_path):
+    """Whatever share of the slots is taken, only sets that others share move, and of equal texts none for that alone."""
+    monkeypatch.setattr(sketch, "SLOT_BITS", 14)
+    rows = [(i, " ".join(f"{w}-{i}" for w in prose(100).split())) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows] + [(2000, BASE), (2001, edited(BASE, 1))]
+    written = {}
+    monkeypatch.setattr(ngram_join, "stored", lambda df, path, *a, f=ngram_join.stored, **b: written.setdefault(path.rsplit("/", 1)[1], f(df, f"file://{tmp_path}/{len(written)}", *a, **b)))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i if i == 2000 else 2000 if i == 2001 else i % 1000 for i, _ in rows}
+    assert 2 <= written["sets"].count() < 20  # a slot of the ids may be shared by chance
+
+
+@pytest.mark.parametrize("texts", [[], [5], [0, 40, 1, 0, 700, 3], [2] * 40 + [30000] + [1] * 200])
+def test_tokens_come_back_to_their_places(texts):
+    """Of every segment the tokens' bits and places, also with steps that don't fit a word."""
+    made = np.random.default_rng(3)
+    tokens = [np.unique(made.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)) for n in texts]
+    want = sorted((int(x) >> 24, k) for k, t in enumerate(tokens) for x in t)
+    got = [(s << 28 | int(v), int(p)) for s, payload in (sketch.placed(tokens) if sum(texts) else ()) for v, p in zip(*sketch._unplaced(payload))]
+    assert sorted(got) == want
+
+
+def test_survey_counts_what_others_share(spark, monkeypatch):
+    """However tokens are cut into chunks; equal texts whose ids don't count share nothing."""
+    words = lambda text: np.unique(np.array([zlib.crc32(w) << 32 for w in text.split()], np.uint64))
+    texts = [None, "", "a b c", "c d e f", "a b c", "x y", "f q"]
+    docs = spark.createDataFrame([(None if i == 6 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    for most in (1, 2, 1 << 16):
+        monkeypatch.setattr(sketch, "PLACES", most)
+        monkeypatch.setattr(sketch, "FLUSH", most)
+        rows = sketch.surveyed(docs, lambda: words, lambda t: t.tobytes()).where("segment < 0").collect()
+        assert {(r.doc_id, r.n, r.shared) for r in rows} == {(0, 0, 0), (1, 0, 0), (2, 3, 3), (3, 4, 2), (4, 3, 3), (5, 2, 0), (None, 2, 1)}
+    counts = sketch.of_ids(spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 5)], "id long"))
+    rows = sketch.surveyed(docs, lambda: words, lambda t: t.tobytes(), counts).where("segment < 0").collect()
+    assert {(r.doc_id, r.n, r.shared) for r in rows} == {(0, 0, 0), (1, 0, 0), (2, 3, 1), (3, 4, 2), (4, 3, 0), (5, 2, 0), (None, 2, 1)}
+
+
+def test_marks_lose_no_link():
+    """Marks never rule out a pair of groups that has a link, and rule out nearly all others."""
+    from fractions import Fraction
+
+    made, t = np.random.default_rng(5), Fraction(4, 5)
+    ruled_out = 0
+    for k in range(200):
+        sets = [np.unique(made.integers(0, 1 << 63, made.integers(1, 400), np.uint64)) for _ in range(8)]
+        near = [x[made.random(len(x)) > made.choice([0, 0.1, 0.3])] for x in sets[:4]] if k % 2 else []
+        halves = [[x for x in part if len(x)] for part in (sets[:4], near + sets[4:])]
+        packed = []
+        for part in halves:
+            n = np.array([len(x) for x in part])
+            packed.append((b"".join(zlib.crc32(x.tobytes()).to_bytes(16, "big") for x in part), n.tobytes(), n.tobytes(), b"".join(x.tobytes() for x in part), b"".join(map(ngram_join.marks, part))))
+        may = ngram_join.may_link(*((g[1], g[2], g[4]) for g in packed), t)
+        linked = any(5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) for a in halves[0] for b in halves[1])
+        assert may or not linked
+        ruled_out += not may
+    assert ruled_out >= 90
+
+
+def test_ngram_join_with_pairs_in_rounds(spark, monkeypatch):
+    """Whatever moves at once, the result is the same."""
+    monkeypatch.setattr(ngram_join, "GROUP", 2)
+    docs = spark.createDataFrame([(i, edited(BASE, i % 9)) for i in range(60)], "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, ngram_join.join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "MOVED", 0.2)
+    assert sorted(map(tuple, ngram_join.join(docs).collect())) == whole
+
+
 def test_components_with_frequent_nodes(spark, tmp_path, monkeypatch):
     """A star, chains and repeated links, with every node frequent, some and none, against a union-find."""
     from lodestone.llm import common
