@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage on what the one before kept."""
 
 import corpus_pipeline
+from lodestone.llm import ngram_join, sketch
 from lodestone.llm.common import shared_dir, stored
 from lodestone.llm.surrogates import found
 
@@ -59,6 +60,20 @@ def test_one_row_of_each_group_stays(spark, sf_dir):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_few_sets_move_in_the_second_stage(spark, sf_dir, monkeypatch):
+    """Of texts that differ none is sent on, however crowded the slots are and however often each is copied."""
+    monkeypatch.setattr(sketch, "SLOT_BITS", 14)
+    text = lambda x: " ".join(f"{x}-{i}" for i in range(60))
+    rows = [(1000 * k + i, text(f"{i} {k // 2}")) for i in range(200) for k in range(4)] + [(9000, text("z")), (9001, text("z") + " end")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    tables = {}
+    monkeypatch.setattr(ngram_join, "stored", lambda df, path, *a, **b: tables.setdefault(path.rsplit("/", 1)[1], stored(df, path, *a, **b)))
+    monkeypatch.setattr(ngram_join, "drop", lambda *a: None)
+    kept = {r.doc_id for r in corpus_pipeline.distinct(spark, docs, sf_dir).collect()}
+    assert kept == {1000 * k + i for i in range(200) for k in (0, 2)} | {9000}
+    assert 2 <= tables["sets"].count() < 40  # a slot of the ids may be shared by chance
+
+
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     lengths = {}
