@@ -4,17 +4,19 @@ A document's set: the distinct n-word shingles of its text (A-Z lower-cased, wor
 bytes outside 0x20 and 0x09-0x0D); with fewer words the whole sequence as one. Two documents link
 when their sets' Jaccard similarity is the threshold or more. Sets are held as 64-bit hashes.
 
-1. One pass over the texts counts in how many documents each shingle occurs (``sketch``) and digests
-   each set; equal sets are one node from here on.
-2. A second pass orders each set's shingles by rarity. Two linked sets share one of their first
-   n - ceil(t n) + 1 shingles, so a set whose first ones occur nowhere else is settled.
+1. One pass over the texts counts in how many documents each shingle occurs and how many of a
+   document's shingles others have (``sketch.surveyed``), one of equal texts, and digests each set;
+   equal sets are one node from here on. A set links only if ceil(t n) of its shingles are shared.
+2. A second pass over one document of each set that may link orders its shingles by rarity. Two
+   linked sets share one of their first n - ceil(t n) + 1 shingles.
 3. The others are sorted by min-hashes of their common shingles and cut into groups of similar sets
    (``GROUP`` sets, ``GROUP_TOKENS`` shingles: a bound on memory, not on partners, as every pair of
    groups is looked at). Each group's row of the matrix is the union of its sets' shingles. Links
    within a group and to the one before are sought at once; a stretch of groups whose sets are all
    connected has one label.
 4. Groups whose unions share one of the first shingles meet, unless they have one label: their sets
-   are in one component already. For each query set of one, the overlap with the other's union bounds
+   are in one component already. Bits that bound the overlap from above (``marks``) rule out most pairs
+   before any set moves; the others move in bounded rounds. For each query set of one, the overlap with the other's union bounds
    its similarity to all members; only where the bound allows a link is the group opened and the
    similarities computed. A tile returns a spanning forest of its links.
 5. Where a bucket of shingles has very many pairs of groups, only neighbours meet first; components
